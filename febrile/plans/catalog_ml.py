@@ -1,7 +1,191 @@
-"""Registered queries for model preparation, training, scoring and evaluation."""
+"""Registered queries for model preparation, training, scoring and evaluation.
+
+Preparation queries fit on the labelled observations (every row with an
+outbreak label); evaluation queries read the ``evaluated`` table.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from febrile.config import JobConfig
+from febrile.operators import evaluation as EV
+from febrile.operators import ml_models as M
+from febrile.operators import ml_prep as MP
+from febrile.operators.filters import drop_null_labels
+from febrile.plans import scoring_job as SJ
+from febrile.sources import fixtures as fx
+
+NUM = ["feat_chars", "feat_spaces"]
+CAT = ["feat_lang"]
+CFG = JobConfig()
+
+
+def _r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return drop_null_labels(fx.observations(spark, d), CFG.label_outbreak)
+
+
+# ------------------------------------------------------------------ preparation
+def q_stratified_split(spark, d):
+    s = MP.stratified_split(_labelled(spark, d), CFG.label_outbreak, CFG.order_col, CFG.test_size, CFG.random_state)
+    return s.groupBy(CFG.label_outbreak, "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_impute_median(spark, d):
+    return _r6(MP.exact_medians(_labelled(spark, d), NUM), "median")
+
+
+def q_standard_scale(spark, d):
+    lab = _labelled(spark, d)
+    med = {r["feature"]: r["median"] for r in MP.exact_medians(lab, NUM).collect()}
+    return _r6(MP.numeric_moments(lab, NUM, med), "mean", "scale")
+
+
+def q_impute_mode(spark, d):
+    return MP.categorical_modes(_labelled(spark, d), CAT)
+
+
+def q_one_hot_ignore_unknown(spark, d):
+    prep = MP.fit_preprocessor(_labelled(spark, d), NUM, CAT)
+    out = MP.one_hot_index(prep.transform(fx.observations(spark, d)), "feat_lang")
+    return out.select("row_seq", F.col("__cat_feat_lang").alias("feat_lang_filled"), "feat_lang_hot_index")
+
+
+def q_assemble_features(spark, d):
+    prep = MP.fit_preprocessor(_labelled(spark, d), NUM, CAT)
+    return prep.transform(fx.observations(spark, d)).select(
+        "row_seq", vector_to_array(F.col(MP.FEATURES)).alias("features"))
+
+
+# ------------------------------------------------------------------ training / scoring
+def _obs(spark, d):
+    return fx.observations(spark, d)
+
+
+def q_train_outbreak_model(spark, d):
+    obs = _obs(spark, d)
+    num, cat = SJ.feature_columns(obs, CFG)
+    _, metrics = SJ.stage1(obs, num, cat, CFG)
+    return metrics
+
+
+def q_train_type_forest(spark, d):
+    obs = _obs(spark, d)
+    num, cat = SJ.feature_columns(obs, CFG)
+    _, mm, _, _, _, _ = SJ.stage2(obs, num, cat, CFG)
+    return mm
+
+
+def q_train_type_boosted(spark, d):
+    obs = _obs(spark, d)
+    num, cat = SJ.feature_columns(obs, CFG)
+    cfg = JobConfig(use_boosting=True)
+    _, mm, _, _, _, _ = SJ.stage2(obs, num, cat, cfg)
+    return mm
+
+
+def q_score_outbreak(spark, d):
+    obs = _obs(spark, d)
+    num, cat = SJ.feature_columns(obs, CFG)
+    model, _ = SJ.stage1(obs, num, cat, CFG)
+    return M.score_outbreak(model, obs).select("row_seq", "P_Outbreak")
+
+
+def q_score_type(spark, d):
+    probs = fx.class_probabilities(spark, d)
+    gated = M.gate_type(probs, "P_Outbreak", "class_probs", fx.FEVER_CLASSES, CFG.threshold)
+    return gated.select("row_seq", "Region", "P_Outbreak", "Fever_Type", "P_Type", "Severity_Index")
+
+
+def q_run_two_stage_scoring(spark, d):
+    return SJ.run_two_stage(_obs(spark, d), CFG).scored
+
+
+def q_feature_importances(spark, d):
+    obs = _obs(spark, d)
+    num, cat = SJ.feature_columns(obs, CFG)
+    _, _, _, _, imp, _ = SJ.stage2(obs, num, cat, CFG)
+    return imp
+
+
+def q_top20_feature_importances(spark, d):
+    return M.top_feature_importances(q_feature_importances(spark, d), 20)
+
+
+# ------------------------------------------------------------------ evaluation
+def _ev(spark, d):
+    return fx.evaluated(spark, d)
+
+
+def q_threshold_predict(spark, d):
+    return EV.with_threshold_prediction(_ev(spark, d), "score", CFG.threshold).select("row_id", "y_bin", "score", "y_hat")
+
+
+def q_roc_auc(spark, d):
+    return _r6(EV.roc_auc(_ev(spark, d), "y_bin", "score"), "roc_auc")
+
+
+def q_roc_curve_points(spark, d):
+    return _r6(EV.roc_curve_points(_ev(spark, d), "y_bin", "score"), "fpr", "tpr")
+
+
+def _bin(spark, d):
+    return EV.binary_metrics(EV.with_threshold_prediction(_ev(spark, d), "score", CFG.threshold), "y_bin", "y_hat")
+
+
+def q_accuracy(spark, d):
+    return _r6(_bin(spark, d).select("accuracy"), "accuracy")
+
+
+def q_f1_binary(spark, d):
+    return _r6(_bin(spark, d).select("f1"), "f1")
+
+
+def q_f1_macro(spark, d):
+    return _r6(EV.multiclass_metrics(_ev(spark, d), "y_true", "y_pred").select("f1_macro"), "f1_macro")
+
+
+def q_f1_weighted(spark, d):
+    return _r6(EV.multiclass_metrics(_ev(spark, d), "y_true", "y_pred").select("f1_weighted"), "f1_weighted")
+
+
+def q_classification_report(spark, d):
+    return _r6(EV.classification_report(_ev(spark, d), "y_true", "y_pred"), "precision", "recall", "f1_score")
+
+
+def q_confusion_matrix(spark, d):
+    return EV.confusion_matrix(_ev(spark, d), "y_true", "y_pred")
+
 
 def ml_queries() -> dict:
-    return {}
+    return {
+        "stratified_split": q_stratified_split,
+        "impute_median": q_impute_median,
+        "standard_scale": q_standard_scale,
+        "impute_mode": q_impute_mode,
+        "one_hot_ignore_unknown": q_one_hot_ignore_unknown,
+        "assemble_features": q_assemble_features,
+        "train_outbreak_model": q_train_outbreak_model,
+        "train_type_forest": q_train_type_forest,
+        "train_type_boosted": q_train_type_boosted,
+        "score_outbreak": q_score_outbreak,
+        "score_type": q_score_type,
+        "run_two_stage_scoring": q_run_two_stage_scoring,
+        "feature_importances": q_feature_importances,
+        "top20_feature_importances": q_top20_feature_importances,
+        "threshold_predict": q_threshold_predict,
+        "roc_auc": q_roc_auc,
+        "roc_curve_points": q_roc_curve_points,
+        "accuracy": q_accuracy,
+        "f1_binary": q_f1_binary,
+        "f1_macro": q_f1_macro,
+        "f1_weighted": q_f1_weighted,
+        "classification_report": q_classification_report,
+        "confusion_matrix": q_confusion_matrix,
+    }

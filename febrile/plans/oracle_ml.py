@@ -1,7 +1,109 @@
-"""Oracle SQL for model preparation and evaluation operators."""
+"""Oracle SQL for model preparation and evaluation operators (DuckDB dialect).
+
+The bodies run after the fixture CTEs of ``oracle_sql``.  Medians use
+``quantile_cont``; cumulative ROC counts use a window over distinct scores.
+"""
 
 from __future__ import annotations
 
+_LAB = "(SELECT * FROM observations WHERE outbreak_label IS NOT NULL)"
+_MED = {c: (f"(SELECT quantile_cont({c}, 0.5) FROM {_LAB} l WHERE {c} IS NOT NULL AND NOT isnan({c}))")
+        for c in ("feat_chars", "feat_spaces")}
+_MODE = (f"(SELECT feat_lang FROM {_LAB} l WHERE feat_lang IS NOT NULL GROUP BY feat_lang "
+         "ORDER BY count(*) DESC, feat_lang LIMIT 1)")
+
+_GROUPED = """(SELECT score, count(*) FILTER (WHERE y_bin = 1) AS pos, count(*) FILTER (WHERE y_bin = 0) AS neg
+  FROM evaluated GROUP BY score)"""
+_CUM = f"""(SELECT score, pos, neg,
+         coalesce(sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_before,
+         coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before,
+         sum(pos) OVER () AS P, sum(neg) OVER () AS N
+  FROM {_GROUPED} g)"""
+_BIN = """(SELECT count(*) FILTER (WHERE y_hat = y_bin) AS correct, count(*) AS total,
+         count(*) FILTER (WHERE y_bin = 1 AND y_hat = 1) AS tp, count(*) FILTER (WHERE y_bin <> 1 AND y_hat = 1) AS fp,
+         count(*) FILTER (WHERE y_bin = 1 AND y_hat <> 1) AS fn
+  FROM (SELECT y_bin, CAST(score >= CAST(0.5 AS DOUBLE) AS INTEGER) AS y_hat FROM evaluated) e)"""
+_CLS = """(SELECT label, support, predicted, tp,
+         CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0 END AS precision,
+         CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS recall,
+         CASE WHEN support + predicted > 0 THEN CAST(2 * tp AS DOUBLE) / (support + predicted) ELSE 0 END AS f1_score
+  FROM (SELECT label, sum(t) AS support, sum(p) AS predicted, sum(tp) AS tp FROM (
+          SELECT y_true AS label, 1 AS t, 0 AS p, CAST(y_true = y_pred AS INTEGER) AS tp FROM evaluated
+          UNION ALL SELECT y_pred, 0, 1, 0 FROM evaluated) u GROUP BY label) c)"""
+
 
 def queries() -> dict[str, str]:
-    return {}
+    q: dict[str, str] = {}
+    q["stratified_split"] = f"""
+SELECT c AS outbreak_label, 'train' AS split, train_c AS n FROM alloc WHERE train_c > 0
+UNION ALL SELECT c, 'test', n_c - train_c FROM alloc WHERE n_c - train_c > 0""".replace(
+        "FROM alloc", f"""FROM (
+  SELECT c, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, CAST(c AS VARCHAR))
+                                  <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS train_c
+  FROM (SELECT c, n_c, n_train, floor(CAST(n_train AS DOUBLE) * n_c / n) AS fl,
+               CAST(n_train AS DOUBLE) * n_c / n - floor(CAST(n_train AS DOUBLE) * n_c / n) AS rem
+        FROM (SELECT outbreak_label AS c, count(*) AS n_c FROM {_LAB} l GROUP BY 1) cls,
+             (SELECT count(*) AS n, count(*) - CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_train
+              FROM {_LAB} l2) tot) q) alloc""")
+    q["impute_median"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round({m}, 6) AS median" for c, m in _MED.items())
+    q["standard_scale"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(avg(coalesce({c}, {m})), 6) AS mean,
+               round(CASE WHEN coalesce(stddev_pop(coalesce({c}, {m})), 0) = 0 THEN 1
+                          ELSE stddev_pop(coalesce({c}, {m})) END, 6) AS scale FROM {_LAB} l"""
+        for c, m in _MED.items())
+    q["impute_mode"] = f"SELECT 'feat_lang' AS feature, {_MODE} AS mode"
+    q["one_hot_ignore_unknown"] = f"""
+SELECT o.row_seq, coalesce(o.feat_lang, {_MODE}) AS feat_lang_filled, CAST(c.idx AS INTEGER) AS feat_lang_hot_index
+FROM observations o LEFT JOIN (
+  SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx
+  FROM (SELECT DISTINCT coalesce(feat_lang, {_MODE}) AS v FROM {_LAB} l) x) c
+  ON coalesce(o.feat_lang, {_MODE}) = c.v"""
+    q["score_type"] = """
+SELECT row_seq, Region, P_Outbreak,
+       CASE WHEN P_Outbreak >= CAST(0.5 AS DOUBLE)
+            THEN ['Dengue', 'Typhoid', 'Viral'][list_position(probs, list_max(probs))] ELSE 'None' END AS Fever_Type,
+       CASE WHEN P_Outbreak >= CAST(0.5 AS DOUBLE) THEN list_max(probs) ELSE CAST(0 AS DOUBLE) END AS P_Type,
+       P_Outbreak * CASE WHEN P_Outbreak >= CAST(0.5 AS DOUBLE) THEN list_max(probs) ELSE CAST(0 AS DOUBLE) END
+           AS Severity_Index
+FROM (SELECT row_seq, Region, P_Outbreak, [a / t, b / t, c / t] AS probs
+      FROM (SELECT event_id AS row_seq, 'R' || CAST(user_id AS VARCHAR) AS Region,
+                   least(value / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) AS P_Outbreak,
+                   CAST(1 + event_id % 3 AS DOUBLE) AS a, CAST(1 + event_id % 5 AS DOUBLE) AS b,
+                   CAST(1 + event_id % 2 AS DOUBLE) AS c,
+                   CAST(1 + event_id % 3 AS DOUBLE) + CAST(1 + event_id % 5 AS DOUBLE)
+                       + CAST(1 + event_id % 2 AS DOUBLE) AS t
+            FROM events) e) p"""
+    q["threshold_predict"] = ("SELECT row_id, y_bin, score, CAST(score >= CAST(0.5 AS DOUBLE) AS INTEGER) AS y_hat "
+                              "FROM evaluated")
+    q["roc_auc"] = f"""
+SELECT round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN 1 - sum(CAST(neg AS DOUBLE) * pos_before
+             + CAST(neg AS DOUBLE) * pos * CAST(0.5 AS DOUBLE)) / (CAST(max(P) AS DOUBLE) * max(N)) END, 6) AS roc_auc
+FROM {_CUM} c"""
+    q["roc_curve_points"] = f"""
+SELECT score AS threshold,
+       round(CASE WHEN N > 0 THEN CAST(N - neg_before AS DOUBLE) / N ELSE 0 END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN CAST(P - pos_before AS DOUBLE) / P ELSE 0 END, 6) AS tpr
+FROM {_CUM} c"""
+    q["accuracy"] = f"SELECT round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM {_BIN} b"
+    q["f1_binary"] = (f"SELECT round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) "
+                      f"ELSE 0 END, 6) AS f1 FROM {_BIN} b")
+    q["f1_macro"] = f"SELECT round(avg(f1_score), 6) AS f1_macro FROM {_CLS} c"
+    q["f1_weighted"] = f"SELECT round(sum(f1_score * support) / sum(support), 6) AS f1_weighted FROM {_CLS} c"
+    q["classification_report"] = f"""
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM {_CLS} c
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6), CAST(sum(support) AS BIGINT)
+FROM {_CLS} c
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6),
+                 CAST(sum(support) AS BIGINT) FROM {_CLS} c
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM {_CLS} c"""
+    q["confusion_matrix"] = """
+SELECT t.label AS y_true, p.label AS y_pred, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM (SELECT DISTINCT y_true AS label FROM evaluated UNION SELECT DISTINCT y_pred FROM evaluated) t
+CROSS JOIN (SELECT DISTINCT y_true AS label FROM evaluated UNION SELECT DISTINCT y_pred FROM evaluated) p
+LEFT JOIN (SELECT y_true, y_pred, count(*) AS n FROM evaluated GROUP BY 1, 2) c
+  ON c.y_true = t.label AND c.y_pred = p.label"""
+    return q
