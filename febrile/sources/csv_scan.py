@@ -21,10 +21,14 @@ def _na_normalised(df: DataFrame) -> DataFrame:
 
 
 def infer_column_types(df: DataFrame) -> dict[str, str]:
-    """One aggregate pass: per column, count values that fail double / bigint parsing."""
+    """One aggregate pass: per column, count values that fail double / bigint parsing.
+
+    Integral columns become bigint only without missing values (a gap makes
+    the column double, as in the tabular read being rebuilt).
+    """
     if not df.columns:
         return {}
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in df.columns:
         v = F.col(c)
         aggs.append(F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"{c}__nondouble"))
@@ -37,8 +41,8 @@ def infer_column_types(df: DataFrame) -> dict[str, str]:
             types[c] = "double"          # all missing: numeric NaN column
         elif row[f"{c}__nondouble"] > 0:
             types[c] = "string"
-        elif row[f"{c}__nonlong"] == 0:
-            types[c] = "bigint"
+        elif row[f"{c}__nonlong"] == 0 and row[f"{c}__n"] == row["__rows"]:
+            types[c] = "bigint"          # integral without gaps; with gaps -> double
         else:
             types[c] = "double"
     return types
