@@ -34,6 +34,16 @@ def first_row_per_region(df: DataFrame, key: str = "Region", order: str = "row_s
     return _row_per_key(df, key, order, F.min_by)
 
 
+def region_batch_summary(scored: DataFrame, key: str = "Region", order: str = "row_seq") -> DataFrame:
+    """One pass, one shuffle: per region the last row (store record) and the
+    first row's severity (stock sizing)."""
+    last = F.struct("P_Outbreak", "Fever_Type", "P_Type", "Severity_Index")
+    return (scored.groupBy(key)
+            .agg(F.max_by(last, F.col(order)).alias("__last"),
+                 F.min_by(F.col("Severity_Index"), F.col(order)).alias("first_severity"))
+            .select(F.col(key).alias("Region"), "__last.*", "first_severity"))
+
+
 def _merge(old: DataFrame, new: DataFrame, cols: list[str], take) -> DataFrame:
     o, n = old.alias("o"), new.withColumn(_NEW, F.lit(True)).alias("n")
     joined = o.join(n, F.col("o.region") == F.col("n.region"), "full_outer")
@@ -58,11 +68,15 @@ def batch_to_predictions(scored: DataFrame, run_ts: str, order: str = "row_seq")
     return stamp_run_ts(rename_scored_columns(last).drop(order), run_ts)
 
 
-def upsert_predictions(old: DataFrame, scored: DataFrame, run_ts: str, order: str = "row_seq") -> DataFrame:
-    new = batch_to_predictions(scored, run_ts, order)
+def merge_prediction_records(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Store records (one per region) replace the old record of their region."""
     return _merge(old, new, ["p_outbreak", "fever_type", "p_type", "severity_index", "ts"], _overwrite)
 
 
+def upsert_predictions(old: DataFrame, scored: DataFrame, run_ts: str, order: str = "row_seq") -> DataFrame:
+    return merge_prediction_records(old, batch_to_predictions(scored, run_ts, order))
+
+
 def collapse_edits(edits: DataFrame, order: str | None = None) -> DataFrame:
     """Several partial edits of one region -> the last non-null value per field."""
     fields = ["lat", "lon", "population", "state"]

@@ -21,6 +21,7 @@ from febrile.operators import stock as S
 from febrile.operators import topk as K
 from febrile.operators import upserts as U
 from febrile.plans import views as V
+from febrile.session import scratch_path
 from febrile.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,6 +288,53 @@ def q_severity_index(spark, d):
     return s.select("row_seq", R.severity_index("P_Outbreak", "P_Type").alias("severity_index"))
 
 
+# ---------------------------------------------------------------- sources / sinks with files
+def q_scan_csv_inferred(spark, d):
+    """Observations written as headered CSV, read back with NA tokens and inferred types."""
+    from febrile.sources.csv_scan import scan_csv_inferred
+    path = scratch_path(spark, "observations-csv")
+    fx.observations(spark, d).write.option("header", True).csv(path)
+    return scan_csv_inferred(spark, path)
+
+
+def q_profile_feature_columns(spark, d):
+    from febrile.sources.csv_scan import profile_feature_columns
+    obs = fx.observations(spark, d)
+    num, cat = profile_feature_columns(obs, ["Region", "outbreak_label", "fever_type", "row_seq"])
+    rows = [(c, "numeric") for c in num] + [(c, "categorical") for c in cat]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
+def q_write_scored_csv(spark, d):
+    """Scored rows written with a header and read back with the scored schema."""
+    from febrile.plans.scoring_job import write_scored_csv
+    from febrile.schemas import SCORED
+    path = scratch_path(spark, "scored-csv")
+    write_scored_csv(fx.scored(spark, d), path)
+    return spark.read.schema(SCORED).option("header", True).csv(path)
+
+
+def _upload_store(spark, d):
+    from febrile.plans.upload_run import run_upload
+    from febrile.sources.store import RegionStore
+    store = RegionStore(spark, scratch_path(spark, "store"))
+    store.commit({"region_metadata": fx.region_metadata(spark, d), "pharma_stock": fx.pharma_stock(spark, d)})
+    run_upload(store, fx.scored(spark, d), fx.candidates(spark, d), fx.RUN_TS)
+    return store
+
+
+def q_upload_run_predictions(spark, d):
+    return _upload_store(spark, d).read("predictions")
+
+
+def q_upload_run_metadata(spark, d):
+    return _upload_store(spark, d).read("region_metadata")
+
+
+def q_upload_run_stock(spark, d):
+    return _upload_store(spark, d).read("pharma_stock")
+
+
 def core_queries() -> dict[str, Query]:
     return {
         "scan_predictions": q_scan_predictions,
@@ -340,6 +388,12 @@ def core_queries() -> dict[str, Query]:
         "regeocode_report": q_regeocode_report,
         "pharma_kpis": q_pharma_kpis,
         "severity_index": q_severity_index,
+        "scan_csv_inferred": q_scan_csv_inferred,
+        "profile_feature_columns": q_profile_feature_columns,
+        "write_scored_csv": q_write_scored_csv,
+        "upload_run_predictions": q_upload_run_predictions,
+        "upload_run_metadata": q_upload_run_metadata,
+        "upload_run_stock": q_upload_run_stock,
     }
 
 

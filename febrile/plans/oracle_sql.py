@@ -345,6 +345,12 @@ SELECT CAST(count(*) * 10000 AS BIGINT) AS total_stock_units,
        80 AS stock_fulfilment_pct
 FROM region_view"""
     q["severity_index"] = "SELECT row_seq, P_Outbreak * P_Type AS severity_index FROM scored"
+    q["scan_csv_inferred"] = ("SELECT row_seq, Region, feat_chars, feat_spaces, feat_lang, "
+                              "CAST(outbreak_label AS DOUBLE) AS outbreak_label, fever_type FROM observations")
+    q["write_scored_csv"] = "SELECT * FROM scored"
+    q["upload_run_predictions"] = q["scan_predictions"]
+    q["upload_run_metadata"] = q["register_unresolved_region"]
+    q["upload_run_stock"] = q["upsert_pharma_stock"]
     return q
 
 

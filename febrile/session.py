@@ -7,8 +7,8 @@ override ``spark.sql.shuffle.partitions``.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: under the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root.replace("file:", "", 1) if root.startswith("file:") else root, "tables")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediate tables, under the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/tables/{name}-{uuid.uuid4().hex}"
