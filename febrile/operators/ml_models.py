@@ -56,6 +56,7 @@ def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> T
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=cfg.rf_num_trees,
                                 maxDepth=cfg.rf_max_depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt",
                                 impurity="gini", bootstrap=True, maxBins=128, seed=cfg.random_state,
+                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
                                 probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__pred")
     rf_model = rf.fit(data)
     return TypeModel(PipelineModel(stages=[*prep.stages, rf_model]), list(idx.labels), "RandomForest")

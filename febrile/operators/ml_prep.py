@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from febrile.operators.prefix import exclusive_prefix_sums
 
 FEATURES = "features"
+MAX_CLASSES = 100_000     # bound on distinct labels for a stratified split
 
 
 def _num(c: str):
@@ -178,7 +179,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     exact = F.lit(float(n_train)) * F.col("n_c").cast("double") / F.lit(float(n))
     fl = F.floor(exact)
     q = classes.select("__c", "n_c", fl.alias("fl"), (exact - fl).alias("rem"))
-    # class-level table: one row per class (bounded by the label set)
+    # class-level table: one row per class; its size is checked before the
+    # single-partition windows below and before it is broadcast
+    n_classes = classes.count()
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"{n_classes} classes exceed the stratification bound {MAX_CLASSES}")
     w_all = Window.partitionBy()
     w_rank = Window.orderBy(F.col("rem").desc(), F.col("__c"))
     quotas = q.select("__c", "n_c", (F.col("fl") + F.when(

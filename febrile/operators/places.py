@@ -35,7 +35,8 @@ def resolve_places(cities: DataFrame, candidates: DataFrame, key: str = "region"
                       .alias("pick"))
                  .select("city", "query_rank", "pick.*"))
     lat, lon = F.col("lat").try_cast("double"), F.col("lon").try_cast("double")
-    valid = per_query.filter(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
+    # a pick counts only when both coordinates parse as numbers (text 'nan' parses, as a float does)
+    valid = per_query.filter(lat.isNotNull() & lon.isNotNull())
     out_cols = ["query_rank", "result_rank", "place_type", "lat", "lon", "importance", "address"]
     best = (valid.groupBy("city").agg(F.min_by(F.struct(*out_cols), F.col("query_rank")).alias("b"))
             .select("city", "b.*"))
