@@ -43,18 +43,17 @@ def get_spark(app_name: str = "febrile", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created so that ``DataFrame.checkpoint()`` works.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
+    as is.  Only when it is unset (local tests) a scratch folder is created so
+    that ``DataFrame.checkpoint()`` works.
     """
     sc = spark.sparkContext
-    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="febrile-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="febrile-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

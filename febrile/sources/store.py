@@ -13,11 +13,14 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from febrile.schemas import STORE_SCHEMAS
 
 COMMITS = "_commits"
+COMMIT_SCHEMA = T.StructType([T.StructField("commit", T.LongType())] +
+                             [T.StructField(name, T.LongType()) for name in STORE_SCHEMAS])
 
 
 def empty_store(spark: SparkSession, name: str) -> DataFrame:
@@ -30,23 +33,25 @@ class RegionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._versions: dict[str, int] | None = None     # known after a read or a commit
+        self._last_commit = 0
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v={version}"
 
-    def current_versions(self) -> dict[str, int]:
+    def current_versions(self, refresh: bool = False) -> dict[str, int]:
         """Versions named by the latest commit record; empty if none."""
+        if self._versions is not None and not refresh:
+            return dict(self._versions)
         try:
-            log = self.spark.read.json(f"{self.root}/{COMMITS}")
+            log = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/{COMMITS}")
+            last = log.orderBy(F.col("commit").desc()).limit(1).collect()
         except AnalysisException:
-            return {}
-        if "commit" not in log.columns:
-            return {}
-        last = log.orderBy(F.col("commit").desc()).limit(1).collect()
-        if not last:
-            return {}
-        row = last[0].asDict()
-        return {k: int(v) for k, v in row.items() if k != "commit" and v is not None}
+            last = []
+        row = last[0].asDict() if last else {}
+        self._last_commit = int(row.get("commit") or 0)
+        self._versions = {k: int(v) for k, v in row.items() if k != "commit" and v is not None}
+        return dict(self._versions)
 
     def read(self, name: str) -> DataFrame:
         """Current table; a store never written reads as an empty table."""
@@ -62,8 +67,8 @@ class RegionStore:
 
     def commit(self, tables: dict[str, DataFrame]) -> dict[str, int]:
         """Write new versions of the given stores, then the commit record."""
-        versions = self.current_versions()
-        commit_id = int(time.time() * 1000)
+        versions = self.current_versions(refresh=True)
+        commit_id = max(int(time.time() * 1000), self._last_commit + 1)
         new_versions = dict(versions)
         for name, df in tables.items():
             schema = STORE_SCHEMAS[name]
@@ -71,7 +76,8 @@ class RegionStore:
             out.write.mode("errorifexists").parquet(self._path(name, commit_id))
             new_versions[name] = commit_id
         record = {"commit": commit_id, **{k: int(v) for k, v in new_versions.items()}}
-        (self.spark.createDataFrame([record]).coalesce(1)
-         .write.mode("append").json(f"{self.root}/{COMMITS}"))
+        (self.spark.createDataFrame([tuple(record.get(f.name) for f in COMMIT_SCHEMA.fields)], COMMIT_SCHEMA)
+         .coalesce(1).write.mode("append").json(f"{self.root}/{COMMITS}"))
+        self._versions, self._last_commit = dict(new_versions), commit_id
         return new_versions
 
