@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from febrile.operators.prefix import exclusive_prefix_sums
+from febrile.session import ensure_checkpoint_dir
 
 FEATURES = "features"
 MAX_CLASSES = 100_000     # bound on distinct labels for a stratified split
@@ -151,8 +152,7 @@ def one_hot_index(df: DataFrame, cat: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- split
-def _bucket_count(n: int) -> int:
-    return int(min(1 << 22, max(1024, n // 1000)))
+HASH_BUCKETS = 1 << 20   # ranking buckets: a boundary bucket holds ~ n_class / 2^20 rows
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
@@ -160,30 +160,33 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     """Add ``split`` ('train' / 'test') keeping class shares exactly.
 
     Test size is ceil(test_size x n); train quotas per class are the largest
-    remainders of n_train x n_class / n (ties -> class order).  Rows are ranked
-    by a seeded hash of the id: counts per (class, hash bucket) locate the
-    bucket where each class's quota ends, and only rows of that one bucket
+    remainders of (n_class / n) x n_train (ties -> class order).  Rows are
+    ranked by a seeded hash of the id: counts per (class, hash bucket) locate
+    the bucket where each class's quota ends, and only rows of that one bucket
     are ranked individually, so no class is ever ranked in a single task.
     """
-    n = df.count()
-    if n == 0:
-        return df.withColumn("split", F.lit(None).cast("string"))
-    n_test = math.ceil(test_size * n)
-    n_train = n - n_test
-    buckets = _bucket_count(n)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    keyed = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    keyed = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(HASH_BUCKETS)))
     lab = F.col(label).cast("string")
-    per_bucket = keyed.groupBy(lab.alias("__c"), "__b").agg(F.count(F.lit(1)).alias("cnt"))
+    # at most classes x buckets rows; materialised once, read by every later step
+    per_bucket = (keyed.groupBy(lab.alias("__c"), "__b").agg(F.count(F.lit(1)).alias("cnt"))
+                  .checkpoint(eager=True))
     classes = per_bucket.groupBy("__c").agg(F.sum("cnt").alias("n_c"))
-    exact = F.lit(float(n_train)) * F.col("n_c").cast("double") / F.lit(float(n))
-    fl = F.floor(exact)
-    q = classes.select("__c", "n_c", fl.alias("fl"), (exact - fl).alias("rem"))
+    size = classes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, n_classes = int(size["n"]), int(size["k"])
+    if n == 0:
+        return df.withColumn("split", F.lit(None).cast("string"))
     # class-level table: one row per class; its size is checked before the
     # single-partition windows below and before it is broadcast
-    n_classes = classes.count()
     if n_classes > MAX_CLASSES:
         raise ValueError(f"{n_classes} classes exceed the stratification bound {MAX_CLASSES}")
+    n_test = math.ceil(test_size * n)
+    n_train = n - n_test
+    exact = F.col("n_c").cast("double") / F.lit(float(n)) * F.lit(float(n_train))
+    fl = F.floor(exact)
+    q = classes.select("__c", "n_c", fl.alias("fl"), (exact - fl).alias("rem"))
     w_all = Window.partitionBy()
     w_rank = Window.orderBy(F.col("rem").desc(), F.col("__c"))
     quotas = q.select("__c", "n_c", (F.col("fl") + F.when(

@@ -40,8 +40,8 @@ UNION ALL SELECT c, 'test', n_c - train_c FROM alloc WHERE n_c - train_c > 0""".
         "FROM alloc", f"""FROM (
   SELECT c, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, CAST(c AS VARCHAR))
                                   <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS train_c
-  FROM (SELECT c, n_c, n_train, floor(CAST(n_train AS DOUBLE) * n_c / n) AS fl,
-               CAST(n_train AS DOUBLE) * n_c / n - floor(CAST(n_train AS DOUBLE) * n_c / n) AS rem
+  FROM (SELECT c, n_c, n_train, floor(CAST(n_c AS DOUBLE) / n * n_train) AS fl,
+               CAST(n_c AS DOUBLE) / n * n_train - floor(CAST(n_c AS DOUBLE) / n * n_train) AS rem
         FROM (SELECT outbreak_label AS c, count(*) AS n_c FROM {_LAB} l GROUP BY 1) cls,
              (SELECT count(*) AS n, count(*) - CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_train
               FROM {_LAB} l2) tot) q) alloc""")

@@ -19,6 +19,7 @@ from febrile.config import JobConfig
 from febrile.plans.scoring_job import run_two_stage
 from febrile.plans.upload_run import run_upload
 from febrile.sources.csv_scan import _na_normalised
+from febrile.session import ensure_checkpoint_dir
 from febrile.sources.store import RegionStore
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -40,17 +41,19 @@ def start_upload_stream(spark: SparkSession, watch_dir: str, schema: T.StructTyp
     source = (spark.readStream.schema(text_schema).option("header", True)
               .option("maxFilesPerTrigger", 1).csv(watch_dir))
 
+    ensure_checkpoint_dir(spark)
+
     def per_upload(batch: DataFrame, batch_id: int) -> None:
         obs = typed(batch, schema)
         if cfg.order_col not in obs.columns:
             obs = obs.withColumn(cfg.order_col, F.monotonically_increasing_id())
-        obs = obs.persist()
+        # one materialised copy in the checkpoint folder: generated ids and the
+        # file contents stay fixed if an executor is lost mid-run
+        obs = obs.checkpoint(eager=True)
         if obs.limit(1).count() == 0:
-            obs.unpersist()
             return
         scored = run_two_stage(obs, cfg).scored
         run_upload(RegionStore(spark, store_root), scored, candidates, batch_ts(batch_id))
-        obs.unpersist()
 
     writer = source.writeStream.foreachBatch(per_upload).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
