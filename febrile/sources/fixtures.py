@@ -84,7 +84,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(earlier batch, current batch), split at a fixed event time."""
     s = scored_events(spark, sf_dir)
-    cut = F.lit(BATCH_CUTOFF).cast("timestamp")
+    # the literal takes the column's own type (TIMESTAMP_NTZ here): no session time zone involved
+    cut = F.lit(BATCH_CUTOFF).cast(s.schema["event_ts"].dataType)
     return (s.filter(F.col("event_ts") < cut).drop("event_ts"),
             s.filter(F.col("event_ts") >= cut).drop("event_ts"))
 
