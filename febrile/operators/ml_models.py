@@ -38,7 +38,10 @@ class TypeModel:
 def train_outbreak_model(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> PipelineModel:
     prep = fit_preprocessor(train, num_cols, cat_cols)
     data = prep.transform(train).withColumn(LABEL, F.col(cfg.label_outbreak).cast("double"))
-    n = data.count()
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(LABEL).alias("k")).first()
+    n = size["n"]
+    if size["k"] < 2:
+        raise ValueError("Stage 1 needs samples of at least 2 classes in the training data.")
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=cfg.lr_max_iter, tol=1e-4,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
                             family="binomial")

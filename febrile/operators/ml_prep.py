@@ -174,16 +174,23 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     per_bucket = (keyed.groupBy(lab.alias("__c"), "__b").agg(F.count(F.lit(1)).alias("cnt"))
                   .checkpoint(eager=True))
     classes = per_bucket.groupBy("__c").agg(F.sum("cnt").alias("n_c"))
-    size = classes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    size = classes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"),
+                       F.min("n_c").alias("least")).first()
     n, n_classes = int(size["n"]), int(size["k"])
     if n == 0:
         return df.withColumn("split", F.lit(None).cast("string"))
+    if size["least"] < 2:
+        raise ValueError("The least populated class has only 1 member, which is too few; "
+                         "the minimum number of members in any class cannot be less than 2.")
     # class-level table: one row per class; its size is checked before the
     # single-partition windows below and before it is broadcast
     if n_classes > MAX_CLASSES:
         raise ValueError(f"{n_classes} classes exceed the stratification bound {MAX_CLASSES}")
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
+    if n_test < n_classes or n_train < n_classes:
+        raise ValueError(f"train size {n_train} and test size {n_test} must each be at least "
+                         f"the number of classes {n_classes}")
     exact = F.col("n_c").cast("double") / F.lit(float(n)) * F.lit(float(n_train))
     fl = F.floor(exact)
     q = classes.select("__c", "n_c", fl.alias("fl"), (exact - fl).alias("rem"))

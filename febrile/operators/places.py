@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from febrile import config as C
-from febrile.functions.rules import estimate_population, extract_state
-from febrile.operators.joins import distinct_regions, regions_with_cached_coords, usable_coords
+from febrile.functions.rules import estimate_population, extract_state, usable_coords
+from febrile.operators.joins import distinct_regions, regions_missing_coords
 from febrile.operators.upserts import merge_region_metadata
 
 
@@ -90,7 +90,6 @@ def regeocode_missing(predictions: DataFrame, metadata: DataFrame, candidates: D
     Returns (new metadata, one-row report of hits and total).  No stock change
     and no 'Unknown' record on this path.
     """
-    from febrile.operators.joins import regions_missing_coords
     missing = regions_missing_coords(predictions, metadata)
     resolved = resolve_places(missing, candidates)
     new_meta = merge_region_metadata(metadata, resolved.select("region", "lat", "lon", "population", "state"))
@@ -98,6 +97,3 @@ def regeocode_missing(predictions: DataFrame, metadata: DataFrame, candidates: D
               .agg(F.count("_hit").alias("resolved"), F.count(F.lit(1)).alias("total")))
     return new_meta, report
 
-
-def cached_regions(batch_regions: DataFrame, metadata: DataFrame, key: str = "Region") -> DataFrame:
-    return regions_with_cached_coords(batch_regions, metadata, key)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from febrile import config as C
 
 
-def _na_normalised(df: DataFrame) -> DataFrame:
+def na_normalised(df: DataFrame) -> DataFrame:
     return df.select([F.when(F.col(c).isin(*C.NA_TOKENS), F.lit(None).cast("string"))
                        .otherwise(F.col(c)).alias(c) for c in df.columns])
 
@@ -51,7 +51,7 @@ def infer_column_types(df: DataFrame) -> dict[str, str]:
 def scan_csv_inferred(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Headered CSV -> typed DataFrame with NA tokens as null."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    text = _na_normalised(raw)
+    text = na_normalised(raw)
     if schema is not None:
         return text.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     types = infer_column_types(text)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from febrile.config import JobConfig
 from febrile.plans.scoring_job import run_two_stage
 from febrile.plans.upload_run import run_upload
-from febrile.sources.csv_scan import _na_normalised
+from febrile.sources.csv_scan import na_normalised
 from febrile.session import ensure_checkpoint_dir
 from febrile.sources.store import RegionStore
 
@@ -30,7 +30,7 @@ def batch_ts(batch_id: int) -> str:
 
 
 def typed(batch: DataFrame, schema: T.StructType) -> DataFrame:
-    text = _na_normalised(batch)
+    text = na_normalised(batch)
     return text.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -59,3 +59,9 @@ def test_stratified_split_exact_and_deterministic(spark):
     a = {r["id"]: r["split"] for r in s.collect()}
     b = {r["id"]: r["split"] for r in again.collect()}
     assert a == b and len(a) == 997
+
+
+def test_split_rejects_singleton_class(spark):
+    df = spark.createDataFrame([(i, 0) for i in range(20)] + [(99, 1)], "id long, y int")
+    with pytest.raises(ValueError, match="least populated class"):
+        MP.stratified_split(df, "y", "id", 0.2, 42)
