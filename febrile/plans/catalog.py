@@ -335,6 +335,17 @@ def q_upload_run_stock(spark, d):
     return _upload_store(spark, d).read("pharma_stock")
 
 
+# ---------------------------------------------------------------- dashboard screens
+def q_public_search(spark, d):
+    from febrile.plans.dashboards import public_search
+    return public_search(*V.stores(spark, d), LOOKUP_CITY)
+
+
+def q_government_map(spark, d):
+    from febrile.plans.dashboards import map_table
+    return _r6(map_table(V.region_view(spark, d)), "opacity", "fill_opacity", "radius_m")
+
+
 def core_queries() -> dict[str, Query]:
     return {
         "scan_predictions": q_scan_predictions,
@@ -394,6 +405,8 @@ def core_queries() -> dict[str, Query]:
         "upload_run_predictions": q_upload_run_predictions,
         "upload_run_metadata": q_upload_run_metadata,
         "upload_run_stock": q_upload_run_stock,
+        "public_search": q_public_search,
+        "government_map": q_government_map,
     }
 
 

@@ -351,6 +351,25 @@ FROM region_view"""
     q["upload_run_predictions"] = q["scan_predictions"]
     q["upload_run_metadata"] = q["register_unresolved_region"]
     q["upload_run_stock"] = q["upsert_pharma_stock"]
+    q["public_search"] = f"""
+SELECT region, severity_index, fever_type, p_outbreak, population, state,
+       {_band('severity_index', [('0.4', 'HIGH RISK'), ('0.2', 'MODERATE RISK')], 'LOW RISK')} AS risk_level,
+       {_band('severity_index', [('0.4', '#EF4444'), ('0.2', '#F59E0B')], '#10B981')} AS risk_color,
+       {_band('severity_index', [('0.4', '#FEE2E2'), ('0.2', '#FEF3C7')], '#D1FAE5')} AS risk_bg,
+       {_band('severity_index', [('0.4', 'High risk detected. Take immediate precautions and seek medical help if symptomatic.'),
+                                 ('0.2', 'Moderate risk level. Be vigilant and follow preventive measures.')],
+              'Low risk currently. Continue following regular hygiene practices.')} AS advice
+FROM region_view WHERE region = 'R7'"""
+    q["government_map"] = f"""
+SELECT region, lat, lon, population, state, fever_type, p_outbreak, severity_index,
+       {_band('severity_index', [('0.6', 'Critical'), ('0.4', 'High'), ('0.2', 'Moderate')], 'Low')} AS risk_label,
+       {_band('severity_index', [('0.6', '#EF4444'), ('0.4', '#F97316'), ('0.2', '#F59E0B')], '#10B981')} AS risk_color,
+       round(CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE), 6) AS opacity,
+       round((CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE)) * CAST(0.5 AS DOUBLE), 6) AS fill_opacity,
+       round(CASE WHEN population > 0 THEN greatest(CAST(2000 AS DOUBLE), least(CAST(20000 AS DOUBLE),
+                 sqrt(CAST(population AS DOUBLE) / CAST(5000 AS DOUBLE) / pi()) * CAST(1000 AS DOUBLE)))
+            ELSE CAST(3000 AS DOUBLE) + severity_index * CAST(7000 AS DOUBLE) END, 6) AS radius_m
+FROM region_view WHERE lat IS NOT NULL AND lon IS NOT NULL"""
     return q
 
 

@@ -40,6 +40,25 @@ def get_spark(app_name: str = "febrile", master: str | None = None,
     return spark
 
 
+def cluster_profile(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster (tens of TB per job).
+
+    Shuffles start wide (several partitions per core) and AQE coalesces
+    them to ~256 MB; skewed partitions above 5x the median are split.
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, 4 * total_cores)),
+        "spark.sql.shuffle.partitions": str(max(200, 2 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
