@@ -46,3 +46,33 @@ def test_top_k_is_take_ordered(spark):
 def test_top3_candidates_trimmed_before_shuffle(spark):
     plan = _plan(E.queries()["resolve_places"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name", ["last_row_per_region", "first_row_per_region", "gov_kpis", "pharma_kpis",
+                                  "state_summary", "size_run_stock", "classification_report", "confusion_matrix"])
+def test_partial_aggregation_before_shuffle(spark, name):
+    """A key holding a third of the rows is combined map-side before any exchange."""
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "partial_" in plan, name
+
+
+def test_hot_region_reduced_map_side(spark):
+    from febrile.operators.upserts import region_batch_summary
+    rows = [(i, "HOT" if i % 3 == 0 else f"R{i}", 0.5, "Viral", 0.5, 0.25) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_seq long, Region string, P_Outbreak double, Fever_Type string, "
+                                     "P_Type double, Severity_Index double").repartition(6)
+    out = region_batch_summary(df)
+    plan = _plan(out)
+    head, _, tail = plan.partition("Exchange hashpartitioning(Region")
+    assert "partial_max_by" in tail and "partial_min_by" in tail     # below the exchange = map side
+    hot = out.filter("Region = 'HOT'").first()
+    assert hot["first_severity"] == 0.25 and out.count() == 2001
+
+
+def test_region_tables_not_broadcast_by_hint(spark):
+    """Region-keyed joins carry no broadcast hint: AQE decides from measured sizes."""
+    import inspect
+
+    from febrile.operators import joins, places, stock, upserts
+    for mod in (joins, places, stock, upserts):
+        assert "F.broadcast(" not in inspect.getsource(mod)
