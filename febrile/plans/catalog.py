@@ -1,8 +1,10 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
 Every query reads whole driver tables (through ``febrile.sources.fixtures``)
-and runs the library operator on them.  Double aggregates are rounded to six
-places in the output, because their last bits depend on summation order.
+and runs the library operator on them.  Double aggregates (sums, means) are
+rounded to six places in the output, because their last bits depend on
+summation order; row-level doubles are left exact (both engines compute the
+same IEEE operations, and rounding would only add half-way disagreements).
 """
 
 from __future__ import annotations
@@ -194,11 +196,10 @@ def q_map_risk_band(spark, d):
 
 def q_map_geometry(spark, d):
     v = FL.filter_mappable(V.region_view(spark, d))
-    return _r6(v.select("region", "lat", "lon", "population",
-                        R.map_opacity("severity_index").alias("opacity"),
-                        R.map_fill_opacity("severity_index").alias("fill_opacity"),
-                        R.map_radius_m("severity_index", "population").alias("radius_m")),
-               "opacity", "fill_opacity", "radius_m")
+    return v.select("region", "lat", "lon", "population",
+                    R.map_opacity("severity_index").alias("opacity"),
+                    R.map_fill_opacity("severity_index").alias("fill_opacity"),
+                    R.map_radius_m("severity_index", "population").alias("radius_m"))
 
 
 def q_public_risk_band(spark, d):
@@ -343,7 +344,7 @@ def q_public_search(spark, d):
 
 def q_government_map(spark, d):
     from febrile.plans.dashboards import map_table
-    return _r6(map_table(V.region_view(spark, d)), "opacity", "fill_opacity", "radius_m")
+    return map_table(V.region_view(spark, d))
 
 
 def core_queries() -> dict[str, Query]:

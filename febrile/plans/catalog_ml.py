@@ -132,7 +132,7 @@ def q_roc_auc(spark, d):
 
 
 def q_roc_curve_points(spark, d):
-    return _r6(EV.roc_curve_points(_ev(spark, d), "y_bin", "score"), "fpr", "tpr")
+    return EV.roc_curve_points(_ev(spark, d), "y_bin", "score")
 
 
 def _bin(spark, d):

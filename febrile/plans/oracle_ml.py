@@ -82,8 +82,8 @@ SELECT round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN 1 - sum(CAST(neg AS DOUBLE
 FROM {_CUM} c"""
     q["roc_curve_points"] = f"""
 SELECT score AS threshold,
-       round(CASE WHEN N > 0 THEN CAST(N - neg_before AS DOUBLE) / N ELSE 0 END, 6) AS fpr,
-       round(CASE WHEN P > 0 THEN CAST(P - pos_before AS DOUBLE) / P ELSE 0 END, 6) AS tpr
+       CASE WHEN N > 0 THEN CAST(N - neg_before AS DOUBLE) / N ELSE 0 END AS fpr,
+       CASE WHEN P > 0 THEN CAST(P - pos_before AS DOUBLE) / P ELSE 0 END AS tpr
 FROM {_CUM} c"""
     q["accuracy"] = f"SELECT round(CAST(correct AS DOUBLE) / total, 6) AS accuracy FROM {_BIN} b"
     q["f1_binary"] = (f"SELECT round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) "

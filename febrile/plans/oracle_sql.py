@@ -275,11 +275,11 @@ SELECT region, severity_index,
 FROM region_view WHERE lat IS NOT NULL AND lon IS NOT NULL"""
     q["map_geometry"] = """
 SELECT region, lat, lon, population,
-       round(CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE), 6) AS opacity,
-       round((CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE)) * CAST(0.5 AS DOUBLE), 6) AS fill_opacity,
-       round(CASE WHEN population > 0 THEN greatest(CAST(2000 AS DOUBLE), least(CAST(20000 AS DOUBLE),
+       CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE) AS opacity,
+       (CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE)) * CAST(0.5 AS DOUBLE) AS fill_opacity,
+       CASE WHEN population > 0 THEN greatest(CAST(2000 AS DOUBLE), least(CAST(20000 AS DOUBLE),
                  sqrt(CAST(population AS DOUBLE) / CAST(5000 AS DOUBLE) / pi()) * CAST(1000 AS DOUBLE)))
-            ELSE CAST(3000 AS DOUBLE) + severity_index * CAST(7000 AS DOUBLE) END, 6) AS radius_m
+            ELSE CAST(3000 AS DOUBLE) + severity_index * CAST(7000 AS DOUBLE) END AS radius_m
 FROM region_view WHERE lat IS NOT NULL AND lon IS NOT NULL"""
     q["public_risk_band"] = f"""
 SELECT region, severity_index,
@@ -364,11 +364,11 @@ FROM region_view WHERE region = 'R7'"""
 SELECT region, lat, lon, population, state, fever_type, p_outbreak, severity_index,
        {_band('severity_index', [('0.6', 'Critical'), ('0.4', 'High'), ('0.2', 'Moderate')], 'Low')} AS risk_label,
        {_band('severity_index', [('0.6', '#EF4444'), ('0.4', '#F97316'), ('0.2', '#F59E0B')], '#10B981')} AS risk_color,
-       round(CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE), 6) AS opacity,
-       round((CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE)) * CAST(0.5 AS DOUBLE), 6) AS fill_opacity,
-       round(CASE WHEN population > 0 THEN greatest(CAST(2000 AS DOUBLE), least(CAST(20000 AS DOUBLE),
+       CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE) AS opacity,
+       (CAST(0.4 AS DOUBLE) + severity_index * CAST(0.6 AS DOUBLE)) * CAST(0.5 AS DOUBLE) AS fill_opacity,
+       CASE WHEN population > 0 THEN greatest(CAST(2000 AS DOUBLE), least(CAST(20000 AS DOUBLE),
                  sqrt(CAST(population AS DOUBLE) / CAST(5000 AS DOUBLE) / pi()) * CAST(1000 AS DOUBLE)))
-            ELSE CAST(3000 AS DOUBLE) + severity_index * CAST(7000 AS DOUBLE) END, 6) AS radius_m
+            ELSE CAST(3000 AS DOUBLE) + severity_index * CAST(7000 AS DOUBLE) END AS radius_m
 FROM region_view WHERE lat IS NOT NULL AND lon IS NOT NULL"""
     return q
 
