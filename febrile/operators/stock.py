@@ -23,14 +23,8 @@ def _base(pop, sev):
     return trunc_long(pop * sev * F.lit(C.STOCK_BASE_FACTOR))
 
 
-def size_run_stock(scored: DataFrame, populations: DataFrame, run_ts: str,
-                   order: str = "row_seq") -> DataFrame:
-    """Per region of the batch: the first row's severity and the run population.
-
-    ``populations`` holds (region, population) for every region of the batch.
-    """
-    first = (first_row_per_region(scored.select(order, "Region", "Severity_Index"), "Region", order)
-             .select(F.col("Region").alias("region"), F.col("Severity_Index").alias("sev")))
+def stock_from_first_severity(first: DataFrame, populations: DataFrame, run_ts: str) -> DataFrame:
+    """Run-time rule on (region, sev): base = max(50, int(pop x sev x 0.001)), then derived."""
     base = F.greatest(F.lit(C.RUN_STOCK_BASE_FLOOR).cast("bigint"),
                       _base(F.col("population").cast("double"), F.col("sev")))
     return (first.join(populations.select("region", "population"), "region", "left")
@@ -42,6 +36,17 @@ def size_run_stock(scored: DataFrame, populations: DataFrame, run_ts: str,
                     F.lit(run_ts).alias("last_updated")))
 
 
+def size_run_stock(scored: DataFrame, populations: DataFrame, run_ts: str,
+                   order: str = "row_seq") -> DataFrame:
+    """Per region of the batch: the first row's severity and the run population.
+
+    ``populations`` holds (region, population) for every region of the batch.
+    """
+    first = (first_row_per_region(scored.select(order, "Region", "Severity_Index"), "Region", order)
+             .select(F.col("Region").alias("region"), F.col("Severity_Index").alias("sev")))
+    return stock_from_first_severity(first, populations, run_ts)
+
+
 def recommend_stock(view: DataFrame, k: int = 6) -> DataFrame:
     """Quantities for the k most severe regions with the per-drug floors."""
     top = stock_top6(view, k)

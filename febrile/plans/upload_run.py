@@ -17,13 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from febrile import config as C
-from febrile.functions.rules import trunc_long
 from febrile.operators import aggregates as A
 from febrile.operators import places as P
 from febrile.operators import upserts as U
 from febrile.operators.filters import stamp_run_ts
 from febrile.operators.joins import regions_missing_coords
+from febrile.operators.stock import stock_from_first_severity
 from febrile.session import ensure_checkpoint_dir
 from febrile.sources.store import RegionStore
 
@@ -36,18 +35,6 @@ class UploadResult:
     failed_regions: DataFrame
 
 
-def _stock_from_summary(summary: DataFrame, outcomes: DataFrame, run_ts: str) -> DataFrame:
-    pop = F.coalesce(F.col("population"), F.lit(C.DEFAULT_POPULATION).cast("bigint")).cast("double")
-    base = F.greatest(F.lit(C.RUN_STOCK_BASE_FLOOR).cast("bigint"),
-                      trunc_long(pop * F.col("first_severity") * F.lit(C.STOCK_BASE_FACTOR)))
-    j = summary.select(F.col("Region").alias("region"), "first_severity").join(
-        outcomes.select("region", "population"), "region", "left")
-    return (j.select("region", base.alias("paracetamol"))
-             .select("region", "paracetamol",
-                     *[trunc_long(F.col("paracetamol") * F.lit(s)).alias(n) for n, s in C.RUN_STOCK_SHARES.items()],
-                     F.lit(run_ts).alias("last_updated")))
-
-
 def run_upload(store: RegionStore, scored: DataFrame, candidates: DataFrame, run_ts: str,
                order: str = "row_seq") -> UploadResult:
     spark = scored.sparkSession
@@ -65,8 +52,40 @@ def run_upload(store: RegionStore, scored: DataFrame, candidates: DataFrame, run
     resolved = P.resolve_places(missing, candidates)
     outcomes = P.classify_batch_regions(summary, meta_old, resolved).checkpoint(eager=True)
     meta = U.merge_region_metadata(meta_old, P.run_metadata_updates(outcomes, resolved))
-    stock = U.upsert_pharma_stock(stock_old, _stock_from_summary(summary, outcomes, run_ts))
+    first = summary.select(F.col("Region").alias("region"), F.col("first_severity").alias("sev"))
+    stock = U.upsert_pharma_stock(stock_old, stock_from_first_severity(first, outcomes, run_ts))
 
     versions = store.commit({"predictions": preds, "region_metadata": meta, "pharma_stock": stock})
     return UploadResult(versions, A.run_summary(scored), A.geocode_outcome_summary(outcomes),
                         outcomes.filter(F.col("outcome") == "failed").select("region"))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Batch form of the upload: score a CSV of observations and apply it to the stores."""
+    import argparse
+    import json
+    from datetime import datetime, timezone
+
+    from pyspark.sql import SparkSession
+
+    from febrile.config import JobConfig
+    from febrile.plans.scoring_job import run_two_stage
+    from febrile.sources.csv_scan import scan_csv_inferred
+
+    ap = argparse.ArgumentParser(description="Score an upload and update the region stores")
+    ap.add_argument("--input", required=True, help="headered CSV of observations")
+    ap.add_argument("--store", required=True, help="root folder of the region stores")
+    ap.add_argument("--candidates", required=True, help="parquet table of place candidates")
+    ap.add_argument("--threshold", type=float, default=JobConfig().threshold)
+    a = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("febrile-upload").getOrCreate()
+    obs = scan_csv_inferred(spark, a.input)
+    scored = run_two_stage(obs, JobConfig(input_path=a.input, threshold=a.threshold)).scored
+    run_ts = datetime.now(timezone.utc).isoformat()
+    res = run_upload(RegionStore(spark, a.store), scored, spark.read.parquet(a.candidates), run_ts)
+    print(json.dumps({"versions": res.versions, "run": res.run_summary.first().asDict(),
+                      "geocoding": res.geocode_summary.first().asDict()}))
+
+
+if __name__ == "__main__":
+    main()
