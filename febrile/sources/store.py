@@ -10,6 +10,7 @@ reader sees either the old or the new set of tables.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +71,18 @@ class RegionStore:
         versions = self.current_versions(refresh=True)
         commit_id = max(int(time.time() * 1000), self._last_commit + 1)
         new_versions = dict(versions)
-        for name, df in tables.items():
+
+        def write(item):
+            name, df = item
             schema = STORE_SCHEMAS[name]
             out = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
             out.write.mode("errorifexists").parquet(self._path(name, commit_id))
-            new_versions[name] = commit_id
+            return name
+
+        # independent table writes run as concurrent jobs; the record goes last
+        with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+            for name in pool.map(write, tables.items()):
+                new_versions[name] = commit_id
         record = {"commit": commit_id, **{k: int(v) for k, v in new_versions.items()}}
         (self.spark.createDataFrame([tuple(record.get(f.name) for f in COMMIT_SCHEMA.fields)], COMMIT_SCHEMA)
          .coalesce(1).write.mode("append").json(f"{self.root}/{COMMITS}"))
