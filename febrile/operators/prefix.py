@@ -30,7 +30,6 @@ def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list
                 .checkpoint(eager=True))
     totals = ranged.groupBy(*group_cols, _PID).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     w_off = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, partition): bounded by partitions x groups
     w_all = Window.partitionBy(*group_cols)
     offsets = totals.select(*group_cols, _PID,
                             *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
@@ -38,7 +37,9 @@ def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list
                             *[F.sum(f"__t_{v}").over(w_all).alias(f"{v}_total") for v in value_cols])
     w_in = Window.partitionBy(*group_cols, _PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.select("*", *[F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"__i_{v}") for v in value_cols])
-    joined = inner.join(F.broadcast(offsets), [*group_cols, _PID])
+    # offsets hold one row per (group, partition); AQE broadcasts them when the
+    # measured size is small and falls back to a sort-merge join otherwise
+    joined = inner.join(offsets, [*group_cols, _PID])
     return joined.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__i_{v}")).alias(f"{v}_before")
                                         for v in value_cols],
                          *[f"{v}_total" for v in value_cols])
