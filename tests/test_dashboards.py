@@ -4,7 +4,6 @@ from conftest import SF_SMALL
 from febrile.plans import dashboards as D
 from febrile.plans import views as V
 from febrile.session import cluster_profile
-from febrile.sources import fixtures as fx
 from febrile.sources.store import RegionStore
 
 

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from febrile.operators import places as P
 from febrile.schemas import REGION_METADATA

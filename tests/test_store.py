@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from febrile.operators import upserts as U
 from febrile.schemas import PHARMA_STOCK, PREDICTIONS, REGION_METADATA
