@@ -312,6 +312,7 @@ FROM candidates"""
     q["format_kpis"] = f"""
 SELECT CAST(count(*) FILTER (WHERE {_HIGH}) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS high_risk_text,
        CAST(count(*) FILTER (WHERE p_outbreak >= CAST(0.5 AS DOUBLE)) AS VARCHAR) AS active_alerts_text,
+       printf('%.2f', coalesce(avg(severity_index), CAST(0 AS DOUBLE))) AS avg_risk_text,
        format('{{:,}}', CAST(CASE WHEN count(population) = 0 THEN count(*) FILTER (WHERE {_HIGH}) * 1000000
                  ELSE coalesce(sum(population) FILTER (WHERE {_HIGH}), 0) END AS BIGINT)) AS population_at_risk_text
 FROM region_view"""
