@@ -57,3 +57,15 @@ def test_binary_metrics_undefined_f1_is_zero(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y int, p int")
     r = EV.binary_metrics(df, "y", "p").first()
     assert (r["accuracy"], r["f1"]) == (1.0, 0.0)
+
+
+def test_auc_agrees_with_spark_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from conftest import SF_SMALL
+    from febrile.sources import fixtures as fx
+    ev = fx.evaluated(spark, SF_SMALL).selectExpr("CAST(y_bin AS DOUBLE) AS label", "score")
+    ours = EV.roc_auc(ev, "label", "score").first()[0]
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                           numBins=0).evaluate(ev)
+    assert ours == pytest.approx(theirs, abs=1e-12)
