@@ -69,3 +69,26 @@ def test_auc_agrees_with_spark_evaluator(spark):
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
                                            numBins=0).evaluate(ev)
     assert ours == pytest.approx(theirs, abs=1e-12)
+
+
+PUBLISHED_REPORT = (
+    "              precision    recall  f1-score   support\n"
+    "\n"
+    "      Dengue       0.50      0.50      0.50         2\n"
+    "     Typhoid       0.00      0.00      0.00         1\n"
+    "       Viral       0.50      0.50      0.50         2\n"
+    "\n"
+    "    accuracy                           0.40         5\n"
+    "   macro avg       0.33      0.33      0.33         5\n"
+    "weighted avg       0.40      0.40      0.40         5\n")
+
+
+def test_report_text_layout(spark):
+    from febrile.plans.scoring_job import metrics_text, report_text
+    pairs = [("Dengue", "Dengue"), ("Dengue", "Typhoid"), ("Typhoid", "Viral"), ("Viral", "Viral"), ("Viral", "Dengue")]
+    df = spark.createDataFrame(pairs, "y_true string, y_pred string")
+    text = report_text(EV.classification_report(df, "y_true", "y_pred").collect())
+    assert text == PUBLISHED_REPORT
+    m = metrics_text({"accuracy": 0.4, "report": text, "model": "RandomForest"})
+    assert m.startswith("accuracy: 0.4\n\nCLASSIFICATION REPORT\n              precision")
+    assert '"model": "RandomForest"' in m
