@@ -78,7 +78,10 @@ def upsert_predictions(old: DataFrame, scored: DataFrame, run_ts: str, order: st
 
 
 def collapse_edits(edits: DataFrame, order: str | None = None) -> DataFrame:
-    """Several partial edits of one region -> the last non-null value per field."""
+    """Several partial edits of one region -> the last non-null value per field.
+
+    Without ``order`` the edits must already hold one row per region.
+    """
     fields = ["lat", "lon", "population", "state"]
     if order is None:
         return edits.select("region", *fields)

@@ -61,6 +61,13 @@ def refresh(store: RegionStore) -> dict[str, dict[str, DataFrame]]:
     return {"government": government(view), "pharmacy": pharmacy(view), "public": public(view)}
 
 
+def dispatch(store: RegionStore, chosen_regions: DataFrame, run_ts: str) -> dict:
+    """Commit the recommended quantities of the chosen regions as the new stock version."""
+    preds, meta, stock = (store.read(n) for n in ("predictions", "region_metadata", "pharma_stock"))
+    view = J.join_region_view(preds, meta, stock)
+    return store.commit({"pharma_stock": S.dispatch_orders(view, stock, chosen_regions, run_ts)})
+
+
 def with_display_text(kpis: DataFrame) -> DataFrame:
     """Government KPI row with its display strings."""
     return kpis.select("*", F.concat(F.col("high_risk_districts").cast("string"), F.lit("/"),

@@ -36,3 +36,21 @@ def test_cluster_profile_scales_partitions():
     p = cluster_profile(8000)
     assert int(p["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) == 32000
     assert p["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_dispatch_commits_recommended_stock(spark, scratch):
+    store = RegionStore(spark, scratch + "/store")
+    preds, meta, stock = V.stores(spark, SF_SMALL)
+    store.commit({"predictions": preds, "region_metadata": meta, "pharma_stock": stock})
+    rec = D.pharmacy(D.J.join_region_view(preds, meta, stock))["recommendations"]
+    chosen = rec.select("region").limit(2)
+    names = sorted(r[0] for r in chosen.collect())
+    D.dispatch(store, spark.createDataFrame([(n,) for n in names], "region string"), "t-dispatch")
+    new = store.read("pharma_stock")
+    got = {r["region"]: r for r in new.filter(F.col("last_updated") == "t-dispatch").collect()}
+    assert sorted(got) == names
+    expected = {r["region"]: r for r in rec.collect()}
+    for n in names:
+        assert got[n]["paracetamol"] == expected[n]["paracetamol"] and got[n]["iv_fluids"] == expected[n]["iv_fluids"]
+    # no stock record is lost; unchosen regions keep theirs
+    assert new.join(stock.select("region"), "region", "left_semi").count() == stock.count()
