@@ -71,6 +71,15 @@ STAGE2_PREFERRED_MIN_ROWS = 20
 STAGE2_MIN_ROWS = 10
 # "none" fever type for rows below the stage 1 threshold
 NO_FEVER_TYPE = "None"
+# placeholder shown when a card has no data
+NOT_AVAILABLE = "N/A"
+# joined view: defaults for absent prediction fields (metadata and stock stay null)
+VIEW_PREDICTION_DEFAULTS = {"p_outbreak": 0.0, "fever_type": "", "p_type": 0.0, "severity_index": 0.0, "ts": ""}
+# classification report layout: column headers, summary rows, block title, JSON marker
+REPORT_HEADERS = ["precision", "recall", "f1-score", "support"]
+REPORT_SUMMARY_ROWS = ["accuracy", "macro avg", "weighted avg"]
+REPORT_BLOCK_TITLE = "CLASSIFICATION REPORT"
+METRICS_JSON_MARKER = "JSON:"
 
 
 @dataclass(frozen=True)

@@ -50,7 +50,7 @@ def top_fever_type(view: DataFrame) -> DataFrame:
     """Most frequent fever type (nulls skipped, ties -> smallest); 'N/A' if none."""
     counts = view.filter(F.col("fever_type").isNotNull()).groupBy("fever_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.min_by("fever_type", F.struct(-F.col("n"), F.col("fever_type"))),
-                                 F.lit("N/A")).alias("top_fever_type"))
+                                 F.lit(C.NOT_AVAILABLE)).alias("top_fever_type"))
 
 
 def total_stock_units(view: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def pharma_kpis(view: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("n"), F.lit(0)) * F.lit(C.STOCK_UNITS_PER_ROW)).cast("bigint").alias("total_stock_units"),
         F.coalesce(F.min_by(F.when(typed, F.col("fever_type")),
                             F.when(typed, F.struct(-F.col("n"), F.col("fever_type")))),
-                   F.lit("N/A")).alias("top_fever_type"),
-        F.coalesce(F.min("best").getField("region"), F.lit("N/A")).alias("highest_risk_region"),
+                   F.lit(C.NOT_AVAILABLE)).alias("top_fever_type"),
+        F.coalesce(F.min("best").getField("region"), F.lit(C.NOT_AVAILABLE)).alias("highest_risk_region"),
         F.lit(C.STOCK_FULFILMENT_PCT).alias("stock_fulfilment_pct"),
     )
 

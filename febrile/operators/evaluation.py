@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from febrile import config as C
 from febrile.functions.rules import threshold_predict
 from febrile.operators.prefix import exclusive_prefix_sums
 
@@ -105,9 +106,10 @@ def classification_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
         return F.struct(F.lit(label).alias("label"), prec.cast("double").alias("precision"),
                         rec.cast("double").alias("recall"), f1.alias("f1_score"), F.col("total").alias("support"))
 
-    rows = F.array(row("accuracy", F.lit(None), F.lit(None), F.col("accuracy")),
-                   row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
-                   row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))
+    acc_row, macro_row, weighted_row = C.REPORT_SUMMARY_ROWS
+    rows = F.array(row(acc_row, F.lit(None), F.lit(None), F.col("accuracy")),
+                   row(macro_row, F.col("mp"), F.col("mr"), F.col("mf")),
+                   row(weighted_row, F.col("wp"), F.col("wr"), F.col("wf")))
     summary_rows = summary.select(F.explode(rows).alias("r")).select("r.*")
     return cls.select("label", "precision", "recall", "f1_score", "support").unionByName(summary_rows)
 

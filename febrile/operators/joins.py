@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from febrile import config as C
 from febrile.functions.rules import usable_coords
 from febrile.schemas import REGION_VIEW_COLUMNS
 
-_PRED_DEFAULTS = {"p_outbreak": 0.0, "fever_type": "", "p_type": 0.0, "severity_index": 0.0, "ts": ""}
 
 
 def join_region_view(predictions: DataFrame, metadata: DataFrame, stock: DataFrame) -> DataFrame:
     """predictions LEFT metadata LEFT stock; prediction fields get their defaults."""
     p = predictions.select("region", *[F.coalesce(F.col(c), F.lit(v)).alias(c)
-                                       for c, v in _PRED_DEFAULTS.items()])
+                                       for c, v in C.VIEW_PREDICTION_DEFAULTS.items()])
     m = metadata.select("region", "lat", "lon", "population", "state")
     s = stock.select("region", "paracetamol", "ors", "antibiotics", "iv_fluids")
     return p.join(m, "region", "left").join(s, "region", "left").select(*REGION_VIEW_COLUMNS)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from febrile import config as C
 from febrile.functions.rules import priority_badge, priority_color
 from febrile.operators.filters import filter_high_risk
 
@@ -27,7 +28,7 @@ def stock_top6(view: DataFrame, k: int = 6) -> DataFrame:
 def highest_risk_region(view: DataFrame) -> DataFrame:
     """Region with the largest p_outbreak (ties -> smallest region); 'N/A' if empty."""
     return view.agg(F.coalesce(F.min(F.struct(-F.col("p_outbreak"), F.col("region"))).getField("region"),
-                               F.lit("N/A")).alias("highest_risk_region"))
+                               F.lit(C.NOT_AVAILABLE)).alias("highest_risk_region"))
 
 
 def public_high_risk_3(view: DataFrame, k: int = 3) -> DataFrame:
