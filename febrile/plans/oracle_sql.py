@@ -51,10 +51,10 @@ SELECT 'R' || CAST(p_partkey AS VARCHAR) AS region, CAST(p_size AS BIGINT) * 10
        CAST(p_size AS BIGINT) * 3 AS iv_fluids, '{STOCK_TS}' AS last_updated
 FROM part WHERE p_type <> 'PROMO'"""),
     ("candidates", """
-SELECT 'R' || CAST(o_custkey AS VARCHAR) AS city, CAST(o_orderkey % 3 AS INTEGER) AS query_rank,
+SELECT 'R' || CAST(o_custkey * 2 AS VARCHAR) AS city, CAST(o_orderkey % 3 AS INTEGER) AS query_rank,
        o_orderkey AS result_rank,
        CASE WHEN o_orderkey % 4 = 0 THEN 'elsewhere'
-            ELSE 'district r' || CAST(o_custkey AS VARCHAR) || ', country' END AS display_name,
+            ELSE 'district r' || CAST(o_custkey * 2 AS VARCHAR) || ', country' END AS display_name,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'city' WHEN '2' THEN 'village'
             WHEN '3' THEN 'administrative' WHEN '4' THEN 'road' ELSE 'suburb' END AS place_type,
        CASE WHEN o_orderstatus = 'F' THEN 'relation' ELSE 'node' END AS osm_type,

@@ -121,16 +121,19 @@ def pharma_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
+    # candidate places are named after twice the customer key: odd-numbered
+    # regions have no candidate at all, so runs also exercise failed resolution
+    place = ck * 2
     prio = F.substring("o_orderpriority", 1, 1)
     state = F.when(ok % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("STATE_"), (ck % 25).cast("string")))
     district = F.when(ok % 10 == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit("DIST_"), (ck % 40).cast("string")))
     return o.select(
-        _r(ck).alias("city"),
+        _r(place).alias("city"),
         (ok % 3).cast("int").alias("query_rank"),
         ok.alias("result_rank"),
         F.when(ok % 4 == 0, F.lit("elsewhere"))
-         .otherwise(F.concat(F.lit("district r"), ck.cast("string"), F.lit(", country"))).alias("display_name"),
+         .otherwise(F.concat(F.lit("district r"), place.cast("string"), F.lit(", country"))).alias("display_name"),
         F.when(prio == "1", F.lit("city")).when(prio == "2", F.lit("village"))
          .when(prio == "3", F.lit("administrative")).when(prio == "4", F.lit("road"))
          .otherwise(F.lit("suburb")).alias("place_type"),
