@@ -49,7 +49,7 @@ def _pick_columns(df: DataFrame, key: str, order: str, pick) -> tuple[list, list
             aggs.append(pick(F.col(f.name), ordering).alias(f.name))
             continue
         values = _dictionary(df, f.name) if isinstance(f.dataType, T.StringType) else None
-        if values is None:
+        if not values:                       # not a small string column, or nothing but nulls
             rest.append(f.name)
             continue
         code = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(f.name)).cast("int")

@@ -44,3 +44,13 @@ def test_upload_into_empty_store_without_candidates(spark, scratch):
     assert sorted(r[0] for r in res.failed_regions.collect()) == ["A", "B"]
     assert res.run_summary.first()["total_rows"] == 3
     assert store.read("predictions").filter(F.col("region") == "C").count() == 0
+
+
+def test_row_per_region_on_empty_and_all_null_strings(spark):
+    from febrile.operators import upserts as U
+    empty = spark.createDataFrame([], SCORED)
+    assert U.last_row_per_region(empty).count() == 0
+    assert U.region_batch_summary(empty).count() == 0
+    nulls = spark.createDataFrame([(1, "A", 0.5, None, 0.1, 0.05), (2, "A", 0.6, None, 0.2, 0.12)], SCORED)
+    r = U.last_row_per_region(nulls).first()
+    assert (r["row_seq"], r["Fever_Type"], r["Severity_Index"]) == (2, None, 0.12)
