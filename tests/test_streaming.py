@@ -25,3 +25,25 @@ def test_each_upload_updates_the_store(spark, scratch):
     n = fx.observations(spark, SF_SMALL).select("Region").distinct().count()
     assert preds.count() == n
     assert preds.filter("ts = '2024-01-01T00:00:00+00:00'").count() == n
+
+
+def test_two_uploads_never_delete(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from febrile.streaming.upload_stream import batch_ts
+    sf = "/root/testdata/sf0.01"
+    watch = os.path.join(scratch, "incoming2")
+    obs = fx.observations(spark, sf)
+    # two uploads that each hold every source (sources cycle with the document id);
+    # only the first carries the 'src0' source
+    first = obs.filter(F.col("row_seq") % 40 < 20)
+    second = obs.filter((F.col("row_seq") % 40 >= 20) & (F.col("Region") != "src0"))
+    first.coalesce(1).write.option("header", True).csv(watch + "/a")
+    second.coalesce(1).write.option("header", True).csv(watch + "/b")
+    q = start_upload_stream(spark, watch + "/*", SCHEMA, scratch + "/store", fx.candidates(spark, sf),
+                            scratch + "/ckpt", available_now=True)
+    q.awaitTermination(1200)
+    preds = {r["region"]: r["ts"] for r in RegionStore(spark, scratch + "/store").read("predictions").collect()}
+    assert set(preds) == {r[0] for r in obs.select("Region").distinct().collect()}
+    assert preds["src0"] == batch_ts(0)                 # only in the first upload: kept
+    assert {preds[k] for k in preds if k != "src0"} == {batch_ts(1)}
