@@ -11,6 +11,7 @@ from febrile.llm.hilbert_shards import op5_hilbert_shards
 from febrile.llm.line_clean import op9_line_clean
 from febrile.llm.mix_temperature import op2_mix_temperature
 from febrile.llm.ngram_join import op4_ngram_join
+from febrile.llm.oracle import oracle_sql
 from febrile.llm.pii_crf import op1_pii_crf
 from febrile.llm.suffix_dedup import op3_suffix_dedup
 from febrile.llm.token_frames import op6_token_frames
@@ -18,11 +19,10 @@ from febrile.llm.toxicity import op10_toxicity
 from febrile.llm.warc_derive import op7_warc_derive
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_pii_crf, op2_mix_temperature, op3_suffix_dedup, op4_ngram_join, op5_hilbert_shards, op6_token_frames,
            op7_warc_derive, op8_decontaminate, op9_line_clean, op10_toxicity]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
