@@ -61,7 +61,6 @@ DEFAULT_IMPORTANCE = 0.5
 # candidate preference
 PREFERRED_PLACE_TYPES = ["city", "town", "municipality", "administrative"]
 PREFERRED_OSM_TYPE = "relation"
-CANDIDATES_PER_QUERY = 3
 # text tokens read as missing on CSV ingest (pandas default NA set)
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -75,29 +74,29 @@ NO_FEVER_TYPE = "None"
 NOT_AVAILABLE = "N/A"
 # joined view: defaults for absent prediction fields (metadata and stock stay null)
 VIEW_PREDICTION_DEFAULTS = {"p_outbreak": 0.0, "fever_type": "", "p_type": 0.0, "severity_index": 0.0, "ts": ""}
-# classification report layout: column headers, summary rows, block title, JSON marker
-REPORT_HEADERS = ["precision", "recall", "f1-score", "support"]
+# classification report: summary rows
 REPORT_SUMMARY_ROWS = ["accuracy", "macro avg", "weighted avg"]
-REPORT_BLOCK_TITLE = "CLASSIFICATION REPORT"
-METRICS_JSON_MARKER = "JSON:"
 
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Parameters of one scoring run (mirrors the command-line options)."""
+    """What a scoring run needs to know; the names of the command-line options are fixed values."""
 
-    input_path: str = ""
-    models_dir: str = "models"
-    output_dir: str = "outputs"
+    # columns
+    order_col: str = "row_seq"
     region_col: str = "Region"
     label_outbreak: str = "outbreak_label"
     label_type: str = "fever_type"
-    order_col: str = "row_seq"
-    threshold: float = STAGE1_THRESHOLD
-    use_boosting: bool = False
+    extra_excluded: tuple = field(default_factory=tuple)
+    # split and gate
     test_size: float = 0.2
     random_state: int = 42
-    # model hyper-parameters
+    threshold: float = STAGE1_THRESHOLD
+    # labelled rows that fit the models, at most about (hash sample, same share of every class);
+    # bounds the category lists and the trees that the driver assembles
+    max_fit_rows: int = 1_000_000
+    # models
+    use_boosting: bool = False
     lr_max_iter: int = 200
     rf_num_trees: int = 400
     rf_max_depth: int = 30
@@ -105,4 +104,3 @@ class JobConfig:
     gbt_max_depth: int = 4
     gbt_step: float = 0.08
     gbt_subsample: float = 0.9
-    extra_excluded: tuple = field(default_factory=tuple)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from febrile import config as C
 
 __all__ = [
-    "col_of", "nan_to_null", "trunc_long", "usable_coords", "severity_index",
+    "col_of", "nan_to_null", "at_least", "trunc_long", "usable_coords", "severity_index",
     "map_risk_label", "map_risk_color", "map_opacity", "map_fill_opacity",
     "map_radius_m", "public_risk_level", "public_risk_color", "public_risk_bg",
     "public_advice", "card_fill", "card_border", "priority_badge",
@@ -34,6 +34,11 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def at_least(c, edge: float) -> Column:
+    """``c >= edge`` where a missing or NaN value is below every edge."""
+    return F.coalesce(nan_to_null(c) >= F.lit(float(edge)), F.lit(False))
+
+
 def trunc_long(c) -> Column:
     """Truncate toward zero (Python ``int()``): Spark's double->bigint cast."""
     return col_of(c).cast("bigint")
@@ -50,7 +55,7 @@ def severity_index(p_outbreak, p_type) -> Column:
 
 
 def _banded(sev, bands, pick, low) -> Column:
-    sev = col_of(sev)
+    sev = nan_to_null(sev)
     expr = None
     for band in bands:
         cond = sev >= F.lit(float(band[0]))
@@ -142,7 +147,7 @@ def extract_state(address) -> Column:
 
 
 def threshold_predict(score, threshold: float) -> Column:
-    return (col_of(score) >= F.lit(float(threshold))).cast("int")
+    return at_least(score, threshold).cast("int")
 
 
 def fmt_pct(c, decimals: int) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from febrile import config as C
+from febrile.functions.rules import at_least, nan_to_null
+
 
 def _high():
-    return F.col("severity_index") >= F.lit(C.HIGH_RISK_SEVERITY)
+    return at_least("severity_index", C.HIGH_RISK_SEVERITY)
 
 
 def gov_kpis(view: DataFrame) -> DataFrame:
@@ -21,8 +23,8 @@ def gov_kpis(view: DataFrame) -> DataFrame:
     return view.agg(
         n_high.alias("high_risk_districts"),
         F.count(F.lit(1)).alias("total_districts"),
-        F.count_if(F.col("p_outbreak") >= F.lit(C.ALERT_P_OUTBREAK)).alias("active_alerts"),
-        F.coalesce(F.avg("severity_index"), F.lit(0.0)).alias("avg_risk"),
+        F.count_if(at_least("p_outbreak", C.ALERT_P_OUTBREAK)).alias("active_alerts"),
+        F.coalesce(F.avg(nan_to_null("severity_index")), F.lit(0.0)).alias("avg_risk"),
         F.when(F.count("population") == 0, n_high * F.lit(C.DEFAULT_POPULATION))
          .otherwise(F.coalesce(F.sum(F.when(_high(), F.col("population"))), F.lit(0)))
          .cast("bigint").alias("population_at_risk"),
@@ -33,9 +35,9 @@ def run_summary(scored: DataFrame) -> DataFrame:
     """Row count (not distinct regions), high-risk rows, mean severity, alert rows."""
     return scored.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("Severity_Index") >= F.lit(C.HIGH_RISK_SEVERITY)).alias("high_risk_rows"),
-        F.avg("Severity_Index").alias("avg_severity"),
-        F.count_if(F.col("P_Outbreak") >= F.lit(C.ALERT_P_OUTBREAK)).alias("alert_rows"),
+        F.count_if(at_least("Severity_Index", C.HIGH_RISK_SEVERITY)).alias("high_risk_rows"),
+        F.avg(nan_to_null("Severity_Index")).alias("avg_severity"),
+        F.count_if(at_least("P_Outbreak", C.ALERT_P_OUTBREAK)).alias("alert_rows"),
     )
 
 
@@ -58,7 +60,7 @@ def total_stock_units(view: DataFrame) -> DataFrame:
 
 
 def demand_index(view: DataFrame):
-    return F.col("severity_index") * F.coalesce(F.col("population").cast("double"), F.lit(float(C.DEFAULT_POPULATION)))
+    return nan_to_null("severity_index") * F.coalesce(F.col("population").cast("double"), F.lit(float(C.DEFAULT_POPULATION)))
 
 
 def total_demand(view: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def pharma_kpis(view: DataFrame) -> DataFrame:
     Level 1 groups by fever type (partial aggregation; one row per type),
     level 2 folds those rows.  Highest risk: max p_outbreak, ties -> smallest region.
     """
-    best = F.struct(-F.col("p_outbreak"), F.col("region"))
+    p = nan_to_null("p_outbreak")
+    best = F.when(p.isNotNull(), F.struct((-p).alias("p"), F.col("region")))
     per_type = view.groupBy("fever_type").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
     typed = F.col("fever_type").isNotNull()
     return per_type.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from febrile import config as C
-from febrile.functions.rules import nan_to_null
+from febrile.functions.rules import at_least, nan_to_null
 
 SCORED_TO_STORE = {"Region": "region", "P_Outbreak": "p_outbreak", "Fever_Type": "fever_type",
                    "P_Type": "p_type", "Severity_Index": "severity_index"}
@@ -23,11 +23,11 @@ def drop_null_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def filter_high_risk(df: DataFrame, col: str = "severity_index") -> DataFrame:
-    return df.filter(F.col(col) >= F.lit(C.HIGH_RISK_SEVERITY))
+    return df.filter(at_least(col, C.HIGH_RISK_SEVERITY))
 
 
 def filter_active_alerts(df: DataFrame, col: str = "p_outbreak") -> DataFrame:
-    return df.filter(F.col(col) >= F.lit(C.ALERT_P_OUTBREAK))
+    return df.filter(at_least(col, C.ALERT_P_OUTBREAK))
 
 
 def filter_mappable(df: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def validate_metadata_edits(edits: DataFrame) -> DataFrame:
 
     lat, lon, pop = blank_null("lat"), blank_null("lon"), blank_null("population")
     lat_d, lon_d, pop_l = lat.try_cast("double"), lon.try_cast("double"), pop.try_cast("bigint")
-    reason = (F.when(F.coalesce(F.col("region"), F.lit("")) == "", F.lit("Region name is required"))
-              .when(lat.isNotNull() & lat_d.isNull(), F.lit("Invalid input: lat"))
-              .when(lon.isNotNull() & lon_d.isNull(), F.lit("Invalid input: lon"))
-              .when(pop.isNotNull() & pop_l.isNull(), F.lit("Invalid input: population")))
+    reason = (F.when(F.coalesce(F.col("region"), F.lit("")) == "", F.lit("no region given"))
+              .when(lat.isNotNull() & lat_d.isNull(), F.lit("lat is no number"))
+              .when(lon.isNotNull() & lon_d.isNull(), F.lit("lon is no number"))
+              .when(pop.isNotNull() & pop_l.isNull(), F.lit("population is no whole number")))
     extra = [c for c in edits.columns if c not in ("region", "lat", "lon", "population", "state")]
     return edits.select(*extra, F.col("region"), lat_d.alias("lat"), lon_d.alias("lon"),
                         pop_l.alias("population"), blank_null("state").alias("state"),
@@ -85,5 +85,5 @@ def select_stage2_training_rows(df: DataFrame, label_outbreak: str, label_type:
     if counts["n_label"] > 0 and counts["n_pos_typed"] >= preferred_min:
         return df.filter((lo == 1) & lt.isNotNull()), "positive"
     if counts["n_typed"] < minimum:
-        raise ValueError("Not enough labeled rows to train Stage 2 classifier.")
+        raise ValueError(f"the type model needs {minimum} rows with a known type; there are {counts['n_typed']}")
     return df.filter(lt.isNotNull()), ("fallback_all_typed" if counts["n_label"] > 0 else "all_typed")

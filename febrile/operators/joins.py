@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from febrile import config as C
 from febrile.functions.rules import usable_coords
+from febrile.operators.filters import nan_as_null
 from febrile.schemas import REGION_VIEW_COLUMNS
 
 
 
 def join_region_view(predictions: DataFrame, metadata: DataFrame, stock: DataFrame) -> DataFrame:
-    """predictions LEFT metadata LEFT stock; prediction fields get their defaults."""
+    """predictions LEFT metadata LEFT stock; absent prediction fields get their
+    defaults, NaN ones become null (neither is ever at risk)."""
     p = predictions.select("region", *[F.coalesce(F.col(c), F.lit(v)).alias(c)
                                        for c, v in C.VIEW_PREDICTION_DEFAULTS.items()])
+    p = nan_as_null(p, [c for c, v in C.VIEW_PREDICTION_DEFAULTS.items() if isinstance(v, float)])
     m = metadata.select("region", "lat", "lon", "population", "state")
     s = stock.select("region", "paracetamol", "ors", "antibiotics", "iv_fluids")
     return p.join(m, "region", "left").join(s, "region", "left").select(*REGION_VIEW_COLUMNS)

@@ -28,7 +28,6 @@ from febrile.operators.prefix import exclusive_prefix_sums
 from febrile.session import ensure_checkpoint_dir
 
 FEATURES = "features"
-MAX_CLASSES = 100_000     # bound on distinct labels for a stratified split
 
 
 def _num(c: str):
@@ -152,7 +151,7 @@ def one_hot_index(df: DataFrame, cat: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- split
-HASH_BUCKETS = 1 << 20   # ranking buckets: a boundary bucket holds ~ n_class / 2^20 rows
+HASH_BUCKETS = 1 << 20   # a bucket holds ~ n_class / 2^20 rows
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
@@ -160,19 +159,19 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     """Add ``split`` ('train' / 'test') keeping class shares exactly.
 
     Test size is ceil(test_size x n); train quotas per class are the largest
-    remainders of (n_class / n) x n_train (ties -> class order).  Rows are
-    ranked by a seeded hash of the id: counts per (class, hash bucket) locate
-    the bucket where each class's quota ends, and only rows of that one bucket
-    are ranked individually, so no class is ever ranked in a single task.
+    remainders of (n_class / n) x n_train (ties -> class order).  A row's rank
+    is its (seeded hash of the id, id).  Counts per (class, hash bucket) locate
+    the bucket where each class's quota ends; the rows of those buckets alone
+    are ranked, which gives each class its last training rank.  One join with
+    that table (a row per class) then labels every row in a single pass.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    keyed = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(HASH_BUCKETS)))
     lab = F.col(label).cast("string")
+    keys = df.select(lab.alias("__c"), h.alias("__h"), F.col(id_col).alias("__id"))
+    keys = keys.withColumn("__b", F.pmod(F.col("__h"), F.lit(HASH_BUCKETS)))
+    ensure_checkpoint_dir(df.sparkSession)
     # at most classes x buckets rows; materialised once, read by every later step
-    per_bucket = (keyed.groupBy(lab.alias("__c"), "__b").agg(F.count(F.lit(1)).alias("cnt"))
-                  .checkpoint(eager=True))
+    per_bucket = keys.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     classes = per_bucket.groupBy("__c").agg(F.sum("cnt").alias("n_c"))
     size = classes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"),
                        F.min("n_c").alias("least")).first()
@@ -180,37 +179,26 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     if n == 0:
         return df.withColumn("split", F.lit(None).cast("string"))
     if size["least"] < 2:
-        raise ValueError("The least populated class has only 1 member, which is too few; "
-                         "the minimum number of members in any class cannot be less than 2.")
-    # class-level table: one row per class; its size is checked before the
-    # single-partition windows below and before it is broadcast
-    if n_classes > MAX_CLASSES:
-        raise ValueError(f"{n_classes} classes exceed the stratification bound {MAX_CLASSES}")
+        raise ValueError("a class with a single row cannot be in both parts of the split")
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
-    if n_test < n_classes or n_train < n_classes:
-        raise ValueError(f"train size {n_train} and test size {n_test} must each be at least "
-                         f"the number of classes {n_classes}")
+    if min(n_test, n_train) < n_classes:
+        raise ValueError(f"{n_classes} classes do not fit into parts of {n_train} and {n_test} rows")
     exact = F.col("n_c").cast("double") / F.lit(float(n)) * F.lit(float(n_train))
     fl = F.floor(exact)
-    q = classes.select("__c", "n_c", fl.alias("fl"), (exact - fl).alias("rem"))
-    w_all = Window.partitionBy()
-    w_rank = Window.orderBy(F.col("rem").desc(), F.col("__c"))
-    quotas = q.select("__c", "n_c", (F.col("fl") + F.when(
-        F.row_number().over(w_rank) <= F.lit(n_train) - F.sum("fl").over(w_all), 1).otherwise(0))
-        .cast("bigint").alias("train_c"))
-    w_b = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per_bucket.select("__c", "__b", "cnt", F.coalesce(F.sum("cnt").over(w_b), F.lit(0)).alias("before"))
-    bounds = (cum.join(quotas, "__c")
+    q = classes.select("__c", "n_c", fl.alias("fl"), (fl - exact).alias("lack"), F.lit(1).alias("one"))
+    # the classes' order by remainder, as a prefix sum over range partitions
+    placed = exclusive_prefix_sums(q, [], ["lack", "__c"], ["one", "fl"])
+    quotas = placed.select("__c", "n_c", (F.col("fl") + (F.col("one_before") < F.lit(n_train) - F.col("fl_total")).cast("int"))
+                           .cast("bigint").alias("train_c"))
+    upto = exclusive_prefix_sums(per_bucket, ["__c"], ["__b"], ["cnt"]).select("__c", "__b", "cnt", F.col("cnt_before").alias("before"))
+    bounds = (upto.join(quotas, "__c")
               .filter((F.col("before") < F.col("train_c")) & (F.col("train_c") <= F.col("before") + F.col("cnt")))
-              .select("__c", F.col("__b").alias("__bb"), F.col("before").alias("__before")))
-    info = quotas.join(bounds, "__c", "left").select("__c", "train_c", "__bb", "__before")
-    rows = keyed.withColumn("__c", lab).join(F.broadcast(info), "__c", "left")
-    bb = F.coalesce(F.col("__bb"), F.lit(-1))
-    simple = rows.filter(F.col("__b") != bb).withColumn(
-        "split", F.when(F.col("__b") < bb, F.lit("train")).otherwise(F.lit("test")))
-    w_in = Window.partitionBy("__c").orderBy("__h", id_col)
-    edge = rows.filter(F.col("__b") == bb).withColumn(
-        "split", F.when(F.col("__before") + F.row_number().over(w_in) <= F.col("train_c"), F.lit("train"))
-        .otherwise(F.lit("test")))
-    return simple.unionByName(edge).select(*df.columns, "split")
+              .select("__c", "__b", (F.col("train_c") - F.col("before")).alias("__take")))
+    inside = Window.partitionBy("__c").orderBy("__h", "__id")
+    last = (keys.join(bounds, ["__c", "__b"]).withColumn("__r", F.row_number().over(inside))
+            .filter(F.col("__r") == F.col("__take"))
+            .select("__c", F.struct("__b", "__h", "__id").alias("__last")))
+    rank = F.struct(F.pmod(h, F.lit(HASH_BUCKETS)).alias("__b"), h.alias("__h"), F.col(id_col).alias("__id"))
+    rows = df.withColumn("__c", lab).join(last, "__c", "left")
+    return rows.select(*df.columns, F.when(rank <= F.col("__last"), F.lit("train")).otherwise(F.lit("test")).alias("split"))

@@ -1,17 +1,16 @@
 """Place-name resolution against a candidate table.
 
-For each city and query form the first three candidates (by result rank) are
-considered; a candidate must contain the city name (case-insensitive); a
-preferred place kind wins, else the first match; a later query form is used
-only when the earlier one gives no pick or its pick has unparsable
-coordinates.  The top-3 filter on ``row_number`` plans as a WindowGroupLimit
-that trims each (city, query) group before the shuffle, so a hot city stays
-cheap; both picks are partial ``min_by`` aggregates.
+For each city and query form, a candidate must contain the city name
+(case-insensitive); among all that do, the first of a preferred place kind
+wins, else the first; a later query form is used only when the earlier one
+gives no pick or its pick has unparsable coordinates.  Both picks are
+``min_by`` aggregates that combine before the shuffle, so a hot city costs one
+partial row per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from febrile import config as C
@@ -24,9 +23,7 @@ def resolve_places(cities: DataFrame, candidates: DataFrame, key: str = "region"
     """(region, lat, lon, state, population, place_type, query_rank, result_rank) per resolved city."""
     wanted = distinct_regions(cities, key).withColumnRenamed("region", "city")
     cand = candidates.join(wanted, "city", "left_semi")
-    w = Window.partitionBy("city", "query_rank").orderBy("result_rank")
-    top = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= C.CANDIDATES_PER_QUERY)
-    matched = top.filter(F.contains(F.lower(F.col("display_name")), F.lower(F.col("city"))))
+    matched = cand.filter(F.contains(F.lower(F.col("display_name")), F.lower(F.col("city"))))
     preferred = (F.col("place_type").isin(*C.PREFERRED_PLACE_TYPES) |
                  (F.col("osm_type") == F.lit(C.PREFERRED_OSM_TYPE)))
     pick_cols = ["result_rank", "place_type", "lat", "lon", "importance", "address"]
@@ -69,6 +66,11 @@ def classify_batch_regions(batch_regions: DataFrame, metadata: DataFrame, resolv
     return j.select("region", outcome.alias("outcome"), pop.alias("population"))
 
 
+def failed_regions(outcomes: DataFrame) -> DataFrame:
+    """Names of the regions without coordinates after the run."""
+    return outcomes.filter(F.col("outcome") == "failed").select("region")
+
+
 def run_metadata_updates(outcomes: DataFrame, resolved: DataFrame) -> DataFrame:
     """Metadata edits produced by a run: resolved places and 'Unknown' records."""
     hits = (outcomes.filter(F.col("outcome") == "resolved").select("region")

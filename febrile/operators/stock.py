@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from febrile import config as C
-from febrile.functions.rules import card_border, card_fill, safe_float, trunc_long
+from febrile.functions.rules import card_border, card_fill, nan_to_null, safe_float, trunc_long
 from febrile.operators.aggregates import demand_index
 from febrile.operators.topk import stock_top6
 from febrile.operators.upserts import first_row_per_region, upsert_pharma_stock
@@ -20,7 +20,7 @@ _POP = float(C.DEFAULT_POPULATION)
 
 
 def _base(pop, sev):
-    return trunc_long(pop * sev * F.lit(C.STOCK_BASE_FACTOR))
+    return trunc_long(F.coalesce(nan_to_null(pop * sev * F.lit(C.STOCK_BASE_FACTOR)), F.lit(0.0)))
 
 
 def stock_from_first_severity(first: DataFrame, populations: DataFrame, run_ts: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from febrile import config as C
-from febrile.functions.rules import priority_badge, priority_color
+from febrile.functions.rules import nan_to_null, priority_badge, priority_color
 from febrile.operators.filters import filter_high_risk
 
 
@@ -22,13 +22,14 @@ def priority_action_plan(view: DataFrame) -> DataFrame:
 
 
 def stock_top6(view: DataFrame, k: int = 6) -> DataFrame:
-    return view.orderBy(F.col("severity_index").desc(), F.col("region")).limit(k)
+    return view.orderBy(nan_to_null("severity_index").desc_nulls_last(), F.col("region")).limit(k)
 
 
 def highest_risk_region(view: DataFrame) -> DataFrame:
     """Region with the largest p_outbreak (ties -> smallest region); 'N/A' if empty."""
-    return view.agg(F.coalesce(F.min(F.struct(-F.col("p_outbreak"), F.col("region"))).getField("region"),
-                               F.lit(C.NOT_AVAILABLE)).alias("highest_risk_region"))
+    p = nan_to_null("p_outbreak")
+    best = F.min(F.when(p.isNotNull(), F.struct((-p).alias("p"), F.col("region"))))
+    return view.agg(F.coalesce(best.getField("region"), F.lit(C.NOT_AVAILABLE)).alias("highest_risk_region"))
 
 
 def public_high_risk_3(view: DataFrame, k: int = 3) -> DataFrame:

@@ -11,68 +11,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from febrile.operators.filters import rename_scored_columns, stamp_run_ts
 
 _NEW = "__in_batch"
 
 
-MAX_DICTIONARY = 10_000   # distinct values up to which a string column is dictionary-encoded
-
-_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _dictionary(df: DataFrame, col: str) -> list | None:
-    """Sorted distinct values of a string column when there are at most ``MAX_DICTIONARY``."""
-    vals = [r[0] for r in df.select(col).distinct().limit(MAX_DICTIONARY + 1).collect()]
-    if len(vals) > MAX_DICTIONARY:
-        return None
-    return sorted(v for v in vals if v is not None)
-
-
-def _pick_columns(df: DataFrame, key: str, order: str, pick) -> tuple[list, list]:
-    """Aggregate expressions picking each column at the extreme ``order``, and
-    the projection that decodes them (``order`` is unique per key).
-
-    Fixed-width columns are picked one by one and low-cardinality strings
-    through a small dictionary, so the aggregate keeps fixed-width buffers and
-    plans as a hash aggregate with map-side partial combination; any other
-    column falls back to one struct pick (sort-based aggregate).
-    """
-    ordering = F.col(order)
-    aggs, decode, rest = [], {}, []
-    for f in df.schema.fields:
-        if f.name == key:
-            continue
-        if f.name == order or isinstance(f.dataType, _FIXED):
-            aggs.append(pick(F.col(f.name), ordering).alias(f.name))
-            continue
-        values = _dictionary(df, f.name) if isinstance(f.dataType, T.StringType) else None
-        if not values:                       # not a small string column, or nothing but nulls
-            rest.append(f.name)
-            continue
-        code = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(f.name)).cast("int")
-        aggs.append(pick(F.when(F.col(f.name).isNotNull(), code), ordering).alias(f.name))
-        decode[f.name] = values
-    if rest:
-        aggs.append(pick(F.struct(*rest), ordering).alias("__rest"))
-    cols = []
-    for f in df.schema.fields:
-        if f.name == key:
-            cols.append(F.col(key))
-        elif f.name in decode:
-            cols.append(F.element_at(F.array(*[F.lit(v) for v in decode[f.name]]), F.col(f.name)).alias(f.name))
-        elif f.name in rest:
-            cols.append(F.col(f"__rest.{f.name}").alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return aggs, cols
-
-
 def _row_per_key(df: DataFrame, key: str, order: str, pick) -> DataFrame:
-    aggs, cols = _pick_columns(df, key, order, pick)
-    return df.groupBy(key).agg(*aggs).select(*cols)
+    """The whole row of each key at the extreme ``order`` (unique per key); one partial row per key and task is shuffled."""
+    rest = [c for c in df.columns if c != key]
+    picked = df.groupBy(key).agg(pick(F.struct(*rest), F.col(order)).alias("__row"))
+    return picked.select(*[F.col(c) if c == key else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
 def last_row_per_region(df: DataFrame, key: str = "Region", order: str = "row_seq") -> DataFrame:
@@ -87,14 +36,12 @@ def first_row_per_region(df: DataFrame, key: str = "Region", order: str = "row_s
 
 def region_batch_summary(scored: DataFrame, key: str = "Region", order: str = "row_seq") -> DataFrame:
     """One pass, one shuffle: per region the last row (store record) and the
-    first row's severity (stock sizing), in a single hash aggregate."""
-    batch = scored.select(key, order, "P_Outbreak", "Fever_Type", "P_Type", "Severity_Index")
-    aggs, cols = _pick_columns(batch, key, order, F.max_by)
-    first = F.min_by(F.col("Severity_Index"), F.col(order)).alias("first_severity")
-    return (batch.groupBy(key).agg(*aggs, first)
-            .select(*cols, "first_severity")
-            .select(F.col(key).alias("Region"), "P_Outbreak", "Fever_Type", "P_Type", "Severity_Index",
-                    "first_severity"))
+    first row's severity (stock sizing)."""
+    fields = ["P_Outbreak", "Fever_Type", "P_Type", "Severity_Index"]
+    picked = scored.groupBy(F.col(key).alias("Region")).agg(
+        F.max_by(F.struct(*fields), F.col(order)).alias("__last"),
+        F.min_by(F.col("Severity_Index"), F.col(order)).alias("first_severity"))
+    return picked.select("Region", *[F.col("__last").getField(c).alias(c) for c in fields], "first_severity")
 
 
 def _merge(old: DataFrame, new: DataFrame, cols: list[str], take) -> DataFrame:
@@ -131,13 +78,11 @@ def upsert_predictions(old: DataFrame, scored: DataFrame, run_ts: str, order: st
 
 
 def collapse_edits(edits: DataFrame, order: str | None = None) -> DataFrame:
-    """Several partial edits of one region -> the last non-null value per field.
-
-    Without ``order`` the edits must already hold one row per region.
-    """
+    """Several partial edits of one region -> one row: the last non-null value
+    per field, or the largest one where no ``order`` is given."""
     fields = ["lat", "lon", "population", "state"]
     if order is None:
-        return edits.select("region", *fields)
+        return edits.groupBy("region").agg(*[F.max(c).alias(c) for c in fields])
     seq = F.col(order)
     return edits.groupBy("region").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(c) for c in fields])
@@ -145,8 +90,7 @@ def collapse_edits(edits: DataFrame, order: str | None = None) -> DataFrame:
 
 def merge_region_metadata(old: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
     """Partial update: only non-null incoming fields overwrite."""
-    new = collapse_edits(edits, order)
-    return _merge(old, new, ["lat", "lon", "population", "state"], _fill)
+    return _merge(old, collapse_edits(edits, order), ["lat", "lon", "population", "state"], _fill)
 
 
 def upsert_pharma_stock(old: DataFrame, new: DataFrame) -> DataFrame:

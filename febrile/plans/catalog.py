@@ -27,7 +27,7 @@ from febrile.session import scratch_path
 from febrile.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
-LOOKUP_CITY = "R7"          # the typed-in city of the public search
+LOOKUP_CITY = "R6"          # the typed-in city of the public search
 DISPATCH_TS = "2024-02-02T00:00:00+00:00"
 
 
@@ -69,7 +69,10 @@ def q_project_features(spark, d):
 
 
 def q_join_key_to_features(spark, d):
-    return q_project_features(spark, d)
+    """Scored outputs placed beside their features by row key."""
+    feats = q_project_features(spark, d)
+    outputs = fx.scored(spark, d).drop("Region")
+    return feats.join(outputs, "row_seq")
 
 
 def q_drop_null_labels(spark, d):
@@ -128,7 +131,7 @@ def q_gov_kpis(spark, d):
 
 
 def q_run_summary(spark, d):
-    return _r6(A.run_summary(fx.scored(spark, d)), "avg_severity")
+    return _r6(A.run_summary(fx.scored_with_nan(spark, d)), "avg_severity")
 
 
 def q_state_summary(spark, d):
@@ -238,12 +241,9 @@ def q_extract_state(spark, d):
 
 
 def q_format_kpis(spark, d):
-    k = A.gov_kpis(V.region_view(spark, d))
-    return k.select(F.concat(F.col("high_risk_districts").cast("string"), F.lit("/"),
-                             F.col("total_districts").cast("string")).alias("high_risk_text"),
-                    F.col("active_alerts").cast("string").alias("active_alerts_text"),
-                    R.fmt_fixed("avg_risk", 2).alias("avg_risk_text"),
-                    R.fmt_thousands("population_at_risk").alias("population_at_risk_text"))
+    from febrile.plans.dashboards import with_display_text
+    text = with_display_text(A.gov_kpis(V.region_view(spark, d)))
+    return text.select(*[c for c in text.columns if c.endswith("_text")])
 
 
 # ---------------------------------------------------------------- stock and demand
@@ -292,19 +292,16 @@ def q_severity_index(spark, d):
 
 # ---------------------------------------------------------------- sources / sinks with files
 def q_scan_csv_inferred(spark, d):
-    """Observations written as headered CSV, read back with NA tokens and inferred types."""
+    """Observations with their whole texts and a boolean column written as headered CSV, read back with NA tokens
+    and inferred types."""
     from febrile.sources.csv_scan import scan_csv_inferred
     path = scratch_path(spark, "observations-csv")
-    fx.observations(spark, d).write.option("header", True).csv(path)
-    return scan_csv_inferred(spark, path)
-
-
-def q_profile_feature_columns(spark, d):
-    from febrile.sources.csv_scan import profile_feature_columns
-    obs = fx.observations(spark, d)
-    num, cat = profile_feature_columns(obs, ["Region", "outbreak_label", "fever_type", "row_seq"])
-    rows = [(c, "numeric") for c in num] + [(c, "categorical") for c in cat]
-    return spark.createDataFrame(rows, "column string, kind string")
+    texts = fx.table(spark, d, "documents").select(F.col("doc_id").alias("row_seq"), F.col("text").alias("note"))
+    rows = fx.observations(spark, d).join(texts, "row_seq").withColumn("is_even", F.col("row_seq") % 2 == 0)
+    rows = rows.withColumn("mark", F.concat((F.col("row_seq") % 50).cast("string"), F.lit("D")))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = scan_csv_inferred(spark, path)
+    return back.withColumns({"note": F.md5("note"), "note_chars": F.length("note")})
 
 
 def q_write_scored_csv(spark, d):
@@ -316,25 +313,27 @@ def q_write_scored_csv(spark, d):
     return spark.read.schema(SCORED).option("header", True).csv(path)
 
 
-def _upload_store(spark, d):
+def _upload(spark, d):
     from febrile.plans.upload_run import run_upload
-    from febrile.sources.store import RegionStore
-    store = RegionStore(spark, scratch_path(spark, "store"))
-    store.commit({"region_metadata": fx.region_metadata(spark, d), "pharma_stock": fx.pharma_stock(spark, d)})
-    run_upload(store, fx.scored(spark, d), fx.candidates(spark, d), fx.RUN_TS)
-    return store
+    from febrile.sources.store import empty_store
+    return run_upload(empty_store(spark, "predictions"), fx.region_metadata(spark, d), fx.pharma_stock(spark, d),
+                      fx.scored(spark, d), fx.candidates(spark, d), fx.RUN_TS)
 
 
 def q_upload_run_predictions(spark, d):
-    return _upload_store(spark, d).read("predictions")
+    return _upload(spark, d).predictions
 
 
 def q_upload_run_metadata(spark, d):
-    return _upload_store(spark, d).read("region_metadata")
+    return _upload(spark, d).region_metadata
 
 
 def q_upload_run_stock(spark, d):
-    return _upload_store(spark, d).read("pharma_stock")
+    return _upload(spark, d).pharma_stock
+
+
+def q_failed_regions(spark, d):
+    return P.failed_regions(_run_outcomes(spark, d)[0])
 
 
 # ---------------------------------------------------------------- dashboard screens
@@ -402,8 +401,8 @@ def core_queries() -> dict[str, Query]:
         "pharma_kpis": q_pharma_kpis,
         "severity_index": q_severity_index,
         "scan_csv_inferred": q_scan_csv_inferred,
-        "profile_feature_columns": q_profile_feature_columns,
         "write_scored_csv": q_write_scored_csv,
+        "failed_regions": q_failed_regions,
         "upload_run_predictions": q_upload_run_predictions,
         "upload_run_metadata": q_upload_run_metadata,
         "upload_run_stock": q_upload_run_stock,

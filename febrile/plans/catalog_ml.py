@@ -7,7 +7,7 @@ outbreak label); evaluation queries read the ``evaluated`` table.
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from febrile.config import JobConfig
@@ -16,6 +16,7 @@ from febrile.operators import ml_models as M
 from febrile.operators import ml_prep as MP
 from febrile.operators.filters import drop_null_labels
 from febrile.plans import scoring_job as SJ
+from febrile.session import scratch_path
 from febrile.sources import fixtures as fx
 
 NUM = ["feat_chars", "feat_spaces"]
@@ -59,42 +60,58 @@ def q_one_hot_ignore_unknown(spark, d):
 
 def q_assemble_features(spark, d):
     prep = MP.fit_preprocessor(_labelled(spark, d), NUM, CAT)
-    return prep.transform(fx.observations(spark, d)).select(
-        "row_seq", vector_to_array(F.col(MP.FEATURES)).alias("features"))
+    slots = F.transform(vector_to_array(F.col(MP.FEATURES)), lambda x: F.round(x, 6))
+    return prep.transform(fx.observations(spark, d)).select("row_seq", slots.alias("features"))
 
 
 # ------------------------------------------------------------------ training / scoring
+# Fitted values differ between engines, so these queries give what must hold of them: the sizes of both parts by class
+# beside the optimality conditions of a fit, and per row the range, gate and product rules of the scores.
 def _obs(spark, d):
     return fx.observations(spark, d)
 
 
-def q_train_outbreak_model(spark, d):
+def _stage1(spark, d) -> SJ.Stage1:
     obs = _obs(spark, d)
-    num, cat = SJ.feature_columns(obs, CFG)
-    _, metrics = SJ.stage1(obs, num, cat, CFG)
-    return metrics
+    return SJ.stage1(obs, *SJ.feature_columns(obs, CFG), CFG)
 
 
-def q_train_type_forest(spark, d):
+def _stage2(spark, d, cfg: JobConfig = CFG) -> SJ.Stage2:
     obs = _obs(spark, d)
-    num, cat = SJ.feature_columns(obs, CFG)
-    _, mm, _, _, _, _ = SJ.stage2(obs, num, cat, CFG)
-    return mm
+    return SJ.stage2(obs, *SJ.feature_columns(obs, cfg), cfg)
+
+
+def _parts(train: DataFrame, test: DataFrame, label: str, checks: dict) -> DataFrame:
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    sizes = both.groupBy(F.col(label).cast("string").alias("class"), "split").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumns({k: F.lit(bool(v)) for k, v in checks.items()})
+
+
+def q_train_outbreak_model(spark, d):
+    """Part sizes; at the optimum the unpenalised intercept makes the mean probability the mean label."""
+    one = _stage1(spark, d)
+    m = M.score_outbreak(one.model, one.train).agg(F.avg("P_Outbreak").alias("p"), F.avg(CFG.label_outbreak).alias("y")).first()
+    return _parts(one.train, one.test, CFG.label_outbreak, {"at_optimum": abs(m["p"] - m["y"]) < 1e-3})
+
+
+def _type_parts(two: SJ.Stage2) -> DataFrame:
+    probs = M.class_probabilities(two.model, two.test)
+    total = F.aggregate(M.PROBS, F.lit(0.0), lambda a, x: a + x)
+    bad = probs.filter((F.abs(total - 1) > 1e-9) | (F.array_min(M.PROBS) < 0)).count()
+    return _parts(two.train, two.test, CFG.label_type, {"probabilities_sum": bad == 0})
+
+
+def q_train_type_forest(spark, d):
+    return _type_parts(_stage2(spark, d))
 
 
 def q_train_type_boosted(spark, d):
-    obs = _obs(spark, d)
-    num, cat = SJ.feature_columns(obs, CFG)
-    cfg = JobConfig(use_boosting=True)
-    _, mm, _, _, _, _ = SJ.stage2(obs, num, cat, cfg)
-    return mm
+    return _type_parts(_stage2(spark, d, JobConfig(use_boosting=True)))
 
 
 def q_score_outbreak(spark, d):
-    obs = _obs(spark, d)
-    num, cat = SJ.feature_columns(obs, CFG)
-    model, _ = SJ.stage1(obs, num, cat, CFG)
-    return M.score_outbreak(model, obs).select("row_seq", "P_Outbreak")
+    out = M.score_outbreak(_stage1(spark, d).model, _obs(spark, d))
+    return out.select("row_seq", F.col("P_Outbreak").between(0, 1).alias("in_range"))
 
 
 def q_score_type(spark, d):
@@ -104,18 +121,45 @@ def q_score_type(spark, d):
 
 
 def q_run_two_stage_scoring(spark, d):
-    return SJ.run_two_stage(_obs(spark, d), CFG).scored
+    s = SJ.run_two_stage(_obs(spark, d), CFG).scored
+    over = F.col("P_Outbreak") >= CFG.threshold
+    known = F.col("Fever_Type").isin(*fx.FEVER_CLASSES)
+    return s.select("row_seq", "Region", F.col("P_Outbreak").between(0, 1).alias("in_range"),
+                    ((over & known & (F.col("P_Type") > 0)) | (~over & (F.col("Fever_Type") == "None") & (F.col("P_Type") == 0))).alias("gated"),
+                    (F.abs(F.col("Severity_Index") - F.col("P_Outbreak") * F.col("P_Type")) < 1e-12).alias("product"))
+
+
+def q_save_model(spark, d):
+    """The saved outbreak model, loaded again, gives every row the probability it had before."""
+    from pyspark.ml import PipelineModel
+    obs, model = _obs(spark, d), _stage1(spark, d).model
+    path = scratch_path(spark, "outbreak-model")
+    model.write().overwrite().save(path)
+    before = M.score_outbreak(model, obs).select("row_seq", F.col("P_Outbreak").alias("before"))
+    after = M.score_outbreak(PipelineModel.load(path), obs).select("row_seq", F.col("P_Outbreak").alias("after"))
+    return before.join(after, "row_seq").select("row_seq", (F.col("before") == F.col("after")).alias("same"))
+
+
+def q_write_metrics(spark, d):
+    """The written metrics, read back: one row per stage and metric, each between 0 and 1."""
+    path = scratch_path(spark, "metrics")
+    SJ.write_metrics(SJ.run_two_stage(_obs(spark, d), CFG), path)
+    back = spark.read.schema("stage string, metric string, value double").json(f"{path}/metrics")
+    return back.select("stage", "metric", F.col("value").between(0, 1).alias("in_range"))
 
 
 def q_feature_importances(spark, d):
-    obs = _obs(spark, d)
-    num, cat = SJ.feature_columns(obs, CFG)
-    _, _, _, _, imp, _ = SJ.stage2(obs, num, cat, CFG)
-    return imp
+    """Importances by feature: none negative, together one."""
+    imp = _stage2(spark, d).importances
+    total = imp.agg(F.sum("importance")).first()[0]
+    return imp.select("feature", (F.col("importance") >= 0).alias("in_range"), F.lit(abs(total - 1) < 1e-9).alias("sum_is_one"))
 
 
 def q_top20_feature_importances(spark, d):
-    return M.top_feature_importances(q_feature_importances(spark, d), 20)
+    """The most important features, in order."""
+    top = M.top_feature_importances(_stage2(spark, d).importances, 20)
+    before = F.lag("importance").over(Window.orderBy(F.col("importance").desc(), "feature"))
+    return top.select("feature", F.coalesce(before >= F.col("importance"), F.lit(True)).alias("in_order"))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -176,6 +220,8 @@ def ml_queries() -> dict:
         "train_type_boosted": q_train_type_boosted,
         "score_outbreak": q_score_outbreak,
         "score_type": q_score_type,
+        "save_model": q_save_model,
+        "write_metrics": q_write_metrics,
         "run_two_stage_scoring": q_run_two_stage_scoring,
         "feature_importances": q_feature_importances,
         "top20_feature_importances": q_top20_feature_importances,

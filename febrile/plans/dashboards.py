@@ -17,7 +17,6 @@ from febrile.operators import stock as S
 from febrile.operators import topk as K
 from febrile.operators.filters import filter_mappable
 from febrile.session import ensure_checkpoint_dir
-from febrile.sources.store import RegionStore
 
 
 def map_table(view: DataFrame) -> DataFrame:
@@ -53,24 +52,19 @@ def public(view: DataFrame) -> dict[str, DataFrame]:
     return {"high_risk_areas": K.public_high_risk_3(view)}
 
 
-def refresh(store: RegionStore) -> dict[str, dict[str, DataFrame]]:
-    """All screens from one materialised view of the current store versions."""
-    ensure_checkpoint_dir(store.spark)
-    preds, meta, stock = (store.read(n) for n in ("predictions", "region_metadata", "pharma_stock"))
-    view = J.join_region_view(preds, meta, stock).checkpoint(eager=True)
+def refresh(predictions: DataFrame, metadata: DataFrame, stock: DataFrame) -> dict[str, dict[str, DataFrame]]:
+    """All screens from one materialised view of the given stores."""
+    ensure_checkpoint_dir(predictions.sparkSession)
+    view = J.join_region_view(predictions, metadata, stock).checkpoint(eager=True)
     return {"government": government(view), "pharmacy": pharmacy(view), "public": public(view)}
 
 
-def dispatch(store: RegionStore, chosen_regions: DataFrame, run_ts: str) -> dict:
-    """Commit the recommended quantities of the chosen regions as the new stock version."""
-    preds, meta, stock = (store.read(n) for n in ("predictions", "region_metadata", "pharma_stock"))
-    view = J.join_region_view(preds, meta, stock)
-    return store.commit({"pharma_stock": S.dispatch_orders(view, stock, chosen_regions, run_ts)})
-
-
 def with_display_text(kpis: DataFrame) -> DataFrame:
     """Government KPI row with its display strings."""
     return kpis.select("*", F.concat(F.col("high_risk_districts").cast("string"), F.lit("/"),
                                      F.col("total_districts").cast("string")).alias("high_risk_text"),
+                       F.col("active_alerts").cast("string").alias("active_alerts_text"),
                        R.fmt_fixed("avg_risk", 2).alias("avg_risk_text"),
+                       R.fmt_fixed("avg_risk", 3).alias("avg_risk_3_text"),
+                       R.fmt_pct("avg_risk", 1).alias("avg_risk_pct_text"),
                        R.fmt_thousands("population_at_risk").alias("population_at_risk_text"))

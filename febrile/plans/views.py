@@ -15,7 +15,9 @@ def predictions(spark: SparkSession, sf_dir: str, run_ts: str = fx.RUN_TS) -> Da
 
 
 def stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return predictions(spark, sf_dir), fx.region_metadata(spark, sf_dir), fx.pharma_stock(spark, sf_dir)
+    """The three stores; the batch behind the predictions holds NaN rows."""
+    preds = batch_to_predictions(fx.scored_with_nan(spark, sf_dir), fx.RUN_TS)
+    return preds, fx.region_metadata(spark, sf_dir), fx.pharma_stock(spark, sf_dir)
 
 
 def region_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ override ``spark.sql.shuffle.partitions``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -62,19 +63,26 @@ def cluster_profile(total_cores: int) -> dict[str, str]:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created so
-    that ``DataFrame.checkpoint()`` works.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage: without
+    it, files would land on the machine that happens to run.  Only a local
+    master (tests) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not configured and not is_local(sc.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {sc.master})")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="febrile-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """One JVM: driver and executors share their folders ("local-cluster" does not count)."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables, under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

@@ -1,22 +1,31 @@
 """CSV ingest with type inference on NA-normalised text.
 
-The file is read as text once; NA tokens become null first and each column
-is then typed by one aggregate job: a column is numeric when every non-null
-value parses as a double (integral ones become bigint).  This mirrors the
-tabular read of the scoring job, where ``nan``/``NA``/empty mean missing.
+Quoted fields may hold quotes (doubled), commas and line breaks, so records are
+read across lines; such a file is one task, and large inputs come as many files.
+NA tokens become null first and each column is then typed by one aggregate
+job: numeric when every non-null value is written as a plain number (integral
+ones become bigint), boolean when every row holds true or false.  This mirrors
+the tabular read of the scoring job, where ``nan``/``NA``/empty mean missing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from febrile import config as C
+from febrile.session import ensure_checkpoint_dir
 
 
-def na_normalised(df: DataFrame) -> DataFrame:
-    return df.select([F.when(F.col(c).isin(*C.NA_TOKENS), F.lit(None).cast("string"))
+#: Text forms of numbers and booleans (a suffix such as D or F is no number).
+NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
+BOOLEANS = ["True", "False", "TRUE", "FALSE", "true", "false"]
+
+
+def na_normalised(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return df.select([F.col(c) if c in (keep or []) else F.when(F.col(c).isin(*C.NA_TOKENS), F.lit(None).cast("string"))
                        .otherwise(F.col(c)).alias(c) for c in df.columns])
 
 
@@ -31,14 +40,17 @@ def infer_column_types(df: DataFrame) -> dict[str, str]:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in df.columns:
         v = F.col(c)
-        aggs.append(F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"{c}__nondouble"))
-        aggs.append(F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"{c}__nonlong"))
+        aggs.append(F.count_if(v.isNotNull() & ~v.rlike(NUMBER)).alias(f"{c}__nondouble"))
+        aggs.append(F.count_if(v.isNotNull() & (~v.rlike(WHOLE) | v.try_cast("bigint").isNull())).alias(f"{c}__nonlong"))
+        aggs.append(F.count_if(v.isin(*BOOLEANS)).alias(f"{c}__bool"))
         aggs.append(F.count(v).alias(f"{c}__n"))
     row = df.agg(*aggs).first()
     types = {}
     for c in df.columns:
         if row[f"{c}__n"] == 0:
             types[c] = "double"          # all missing: numeric NaN column
+        elif row[f"{c}__bool"] == row["__rows"]:
+            types[c] = "boolean"         # a gap leaves the column text, as in the tabular read
         elif row[f"{c}__nondouble"] > 0:
             types[c] = "string"
         elif row[f"{c}__nonlong"] == 0 and row[f"{c}__n"] == row["__rows"]:
@@ -48,20 +60,49 @@ def infer_column_types(df: DataFrame) -> dict[str, str]:
     return types
 
 
-def scan_csv_inferred(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Headered CSV -> typed DataFrame with NA tokens as null."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    text = na_normalised(raw)
+CSV_OPTIONS = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
+
+
+def scan_csv_inferred(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      order_col: str | None = None) -> DataFrame:
+    """Headered CSV -> typed DataFrame with NA tokens as null.
+
+    ``order_col`` adds the row's place over all files (files by path, then rows
+    as written), for rules where the first or last row counts.
+    """
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    order = []
+    if order_col and order_col not in raw.columns:
+        raw, order = with_file_order(raw, order_col), [F.col(order_col)]
+    text = na_normalised(raw, keep=[order_col] if order else [])
+    names = [c for c in text.columns if not order or c != order_col]
     if schema is not None:
-        return text.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    types = infer_column_types(text)
-    return text.select([F.col(c).try_cast(t).alias(c) if t != "string" else F.col(c) for c, t in types.items()])
+        return text.select(*order, *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    types = infer_column_types(text.select(*names))
+    return text.select(*order, *[F.col(c).try_cast(t).alias(c) if t != "string" else F.col(c) for c, t in types.items()])
+
+
+def with_file_order(raw: DataFrame, order_col: str) -> DataFrame:
+    """Number the rows of a file scan: the file's rank by path (and block), then the row's place in it.
+
+    Spark packs files by size, so row ids alone do not follow the files' order.
+    The scan is written once, because ids are not the same when it runs again.
+    """
+    names = raw.columns
+    spots = raw.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("__file"),
+                       F.monotonically_increasing_id().alias("__id"))
+    ensure_checkpoint_dir(raw.sparkSession)
+    spots = spots.checkpoint(eager=True)
+    # one row per file or block
+    files = spots.select("__file").distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file")) - 1)
+    place = F.shiftleft(F.col("__rank").cast("bigint"), 33) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return spots.join(files, "__file").select(*names, place.alias(order_col))
 
 
 def assert_required_columns(df: DataFrame, required: list[str]) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Input CSV missing required columns: {missing}")
+        raise ValueError(f"the input has no column {', '.join(missing)}")
 
 
 def profile_feature_columns(df: DataFrame, excluded: list[str]) -> tuple[list[str], list[str]]:
@@ -79,4 +120,4 @@ def profile_feature_columns(df: DataFrame, excluded: list[str]) -> tuple[list[st
 
 def require_features(num_cols: list[str], cat_cols: list[str]) -> None:
     if not num_cols and not cat_cols:
-        raise ValueError("No feature columns detected. Ensure your CSV has columns besides region/labels.")
+        raise ValueError("besides the key and the labels there is no column to learn from")

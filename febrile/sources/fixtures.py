@@ -25,8 +25,8 @@ from febrile.sources.tables import table
 STOCK_TS = "2024-01-01T00:00:00+00:00"
 RUN_TS = "2024-02-01T00:00:00+00:00"
 BATCH_CUTOFF = "2024-01-16 00:00:00"   # events before: earlier run; after: current run
-METADATA_ABSENT_SEGMENT = "HOUSEHOLD"  # customers in this segment have no metadata
-STOCK_ABSENT_TYPE = "PROMO"            # parts of this type have no stock record
+METADATA_KEY, STOCK_KEY = 3, 2         # every third region has metadata, every second one a stock record
+NAN_EVERY = 31                         # every so many scored rows hold NaN
 FEVER_CLASSES = ["Dengue", "Typhoid", "Viral"]
 
 
@@ -81,6 +81,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_events(spark, sf_dir).drop("event_ts")
 
 
+def scored_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored batch with NaN probabilities and severities on some rows."""
+    gap = F.col("row_seq") % NAN_EVERY == 0
+    return scored(spark, sf_dir).withColumns({
+        c: F.when(gap, F.lit(float("nan"))).otherwise(F.col(c)) for c in ("P_Outbreak", "Severity_Index")})
+
+
 def scored_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(earlier batch, current batch), split at a fixed event time."""
     s = scored_events(spark, sf_dir)
@@ -91,13 +98,11 @@ def scored_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def region_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = (table(spark, sf_dir, "customer")
-         .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-         .filter(F.col("c_mktsegment") != METADATA_ABSENT_SEGMENT))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     k = F.col("c_custkey")
     return c.join(n, "c_nationkey").select(
-        _r(k).alias("region"),
+        _r(k * METADATA_KEY).alias("region"),
         F.when(k % 7 == 0, F.lit(None).cast("double")).when(k % 11 == 0, _d(0))
          .otherwise((F.lit(8) + F.col("c_nationkey")).cast("double")).alias("lat"),
         F.when(k % 7 == 0, F.lit(None).cast("double"))
@@ -109,10 +114,9 @@ def region_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pharma_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = (table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-         .filter(F.col("p_type") != STOCK_ABSENT_TYPE))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     size = F.col("p_size").cast("bigint")
-    return p.select(_r(F.col("p_partkey")).alias("region"),
+    return p.select(_r(F.col("p_partkey") * STOCK_KEY).alias("region"),
                     (size * 10).alias("paracetamol"), (size * 8).alias("ors"),
                     (size * 6).alias("antibiotics"), (size * 3).alias("iv_fluids"),
                     F.lit(STOCK_TS).alias("last_updated"))

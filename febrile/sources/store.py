@@ -1,91 +1,44 @@
-"""Region-keyed stores as versioned parquet tables.
+"""Region-keyed stores as parquet tables at given paths.
 
-Each store (``predictions``, ``region_metadata``, ``pharma_stock``) is a
-parquet table with one row per region.  An update never rewrites the files it
-reads: the merged result is written to a new version folder and a small
-commit record naming the versions of all three stores is appended last, so a
-reader sees either the old or the new set of tables.
+Each store (``predictions``, ``region_metadata``, ``pharma_stock``) is a table
+with one row per region.  The merges are DataFrame -> DataFrame; here a table is
+only read from and written to a path.  An update reads one folder and writes
+another one: where several writers share a store, a catalog table format with
+atomic commits is the place for that, not this module.
 """
 
 from __future__ import annotations
 
-import time
-from concurrent.futures import ThreadPoolExecutor
+import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from febrile.schemas import STORE_SCHEMAS
 
-COMMITS = "_commits"
-COMMIT_SCHEMA = T.StructType([T.StructField("commit", T.LongType())] +
-                             [T.StructField(name, T.LongType()) for name in STORE_SCHEMAS])
-
 
 def empty_store(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], STORE_SCHEMAS[name])
 
 
-class RegionStore:
-    """Versioned parquet tables under ``root`` (shared storage on a cluster)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self._versions: dict[str, int] | None = None     # known after a read or a commit
-        self._last_commit = 0
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v={version}"
-
-    def current_versions(self, refresh: bool = False) -> dict[str, int]:
-        """Versions named by the latest commit record; empty if none."""
-        if self._versions is not None and not refresh:
-            return dict(self._versions)
-        try:
-            log = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/{COMMITS}")
-            last = log.orderBy(F.col("commit").desc()).limit(1).collect()
-        except AnalysisException:
-            last = []
-        row = last[0].asDict() if last else {}
-        self._last_commit = int(row.get("commit") or 0)
-        self._versions = {k: int(v) for k, v in row.items() if k != "commit" and v is not None}
-        return dict(self._versions)
-
-    def read(self, name: str) -> DataFrame:
-        """Current table; a store never written reads as an empty table."""
-        version = self.current_versions().get(name)
-        if version is None:
-            return empty_store(self.spark, name)
-        schema = STORE_SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(self._path(name, version))
-
-    def lookup(self, name: str, region: str) -> DataFrame:
-        """Point read by key; the filter reaches the parquet scan."""
-        return self.read(name).filter(F.col("region") == F.lit(region))
+def read_store(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table as it is now; one that was never written is empty."""
+    try:
+        return spark.read.schema(STORE_SCHEMAS[name]).parquet(os.path.join(root, name))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_store(spark, name)
 
-    def commit(self, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Write new versions of the given stores, then the commit record."""
-        versions = self.current_versions(refresh=True)
-        commit_id = max(int(time.time() * 1000), self._last_commit + 1)
-        new_versions = dict(versions)
 
-        def write(item):
-            name, df = item
-            schema = STORE_SCHEMAS[name]
-            out = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
-            out.write.mode("errorifexists").parquet(self._path(name, commit_id))
-            return name
+def lookup(spark: SparkSession, root: str, name: str, region: str) -> DataFrame:
+    """Point read by key; the filter reaches the parquet scan."""
+    return read_store(spark, root, name).filter(F.col("region") == F.lit(region))
 
-        # independent table writes run as concurrent jobs; the record goes last
-        with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
-            for name in pool.map(write, tables.items()):
-                new_versions[name] = commit_id
-        record = {"commit": commit_id, **{k: int(v) for k, v in new_versions.items()}}
-        (self.spark.createDataFrame([tuple(record.get(f.name) for f in COMMIT_SCHEMA.fields)], COMMIT_SCHEMA)
-         .coalesce(1).write.mode("append").json(f"{self.root}/{COMMITS}"))
-        self._versions, self._last_commit = dict(new_versions), commit_id
-        return new_versions
 
+def write_stores(root: str, tables: dict[str, DataFrame]) -> None:
+    """Write the given tables below ``root``, which must not be the folder they were read from."""
+    for name, df in tables.items():
+        fields = STORE_SCHEMAS[name].fields
+        df.select([F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(os.path.join(root, name))

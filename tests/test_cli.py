@@ -4,7 +4,7 @@ import os
 from conftest import SF_SMALL
 from febrile.plans import scoring_job, upload_run
 from febrile.sources import fixtures as fx
-from febrile.sources.store import RegionStore
+from febrile.sources.store import read_store
 
 
 def test_scoring_job_cli(spark, scratch, capsys):
@@ -22,10 +22,11 @@ def test_upload_cli(spark, scratch, capsys):
     fx.observations(spark, SF_SMALL).drop("row_seq").write.option("header", True).csv(inp)
     cand = os.path.join(scratch, "candidates")
     fx.candidates(spark, SF_SMALL).write.parquet(cand)
-    upload_run.main(["--input", inp, "--store", scratch + "/store", "--candidates", cand])
+    upload_run.main(["--input", inp, "--store", scratch + "/store", "--target", scratch + "/new",
+                     "--candidates", cand])
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["run"]["total_rows"] == 200
-    store = RegionStore(spark, scratch + "/store")
-    assert store.read("predictions").count() == fx.observations(spark, SF_SMALL).select("Region").distinct().count()
+    preds = read_store(spark, scratch + "/new", "predictions")
+    assert preds.count() == fx.observations(spark, SF_SMALL).select("Region").distinct().count()
     g = out["geocoding"]
-    assert g["newly_geocoded"] + g["cached"] + g["failed"] == store.read("predictions").count()
+    assert g["newly_geocoded"] + g["cached"] + g["failed"] == preds.count()

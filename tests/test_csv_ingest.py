@@ -30,3 +30,28 @@ def test_required_columns_and_features(spark):
         assert_required_columns(df, ["Region", "outbreak_label", "fever_type"])
     with pytest.raises(ValueError):
         require_features([], [])
+
+
+def test_quotes_line_breaks_suffixes_and_booleans(spark, scratch):
+    p = scratch + "/odd.csv"
+    _write(p, 'Region,Note,Code,Flag,Gap,X\n'
+              'A,"say ""hi"", ok",12D,True,True,1e3\n'
+              'B,"two\nlines, one field",20F,False,,-.5\n'
+              'C,plain,7L,True,False, 2 \n')
+    df = scan_csv_inferred(spark, p)
+    assert dict(df.dtypes) == {"Region": "string", "Note": "string", "Code": "string", "Flag": "boolean", "Gap": "string",
+                               "X": "double"}
+    rows = {r["Region"]: r for r in df.collect()}
+    assert rows["A"]["Note"] == 'say "hi", ok' and rows["B"]["Note"] == "two\nlines, one field"
+    assert [rows[k]["Code"] for k in "ABC"] == ["12D", "20F", "7L"] and rows["B"]["Flag"] is False
+    assert [rows[k]["X"] for k in "ABC"] == [1000.0, -0.5, 2.0]
+    assert profile_feature_columns(df, ["Region"])[0] == ["Flag", "X"]
+
+
+def test_rows_follow_the_order_of_the_files(spark, scratch):
+    import os
+    os.makedirs(scratch + "/many")
+    for name, rows in (("1", ["a", "b"]), ("2", ["c", "d", "e", "f"]), ("3", ["g", "h", "i"])):
+        _write(f"{scratch}/many/part-{name}.csv", "K,V\n" + "".join(f"{r},{'x' * 50 * int(name)}\n" for r in rows))
+    df = scan_csv_inferred(spark, scratch + "/many", order_col="row_seq")
+    assert "".join(r["K"] for r in df.orderBy("row_seq").collect()) == "abcdefghi"

@@ -4,14 +4,13 @@ from conftest import SF_SMALL
 from febrile.plans import dashboards as D
 from febrile.plans import views as V
 from febrile.session import cluster_profile
-from febrile.sources.store import RegionStore
+from febrile.operators.stock import dispatch_orders
+from febrile.sources.store import read_store, write_stores
 
 
-def test_refresh_builds_every_screen_from_one_view(spark, scratch):
-    store = RegionStore(spark, scratch + "/store")
+def test_refresh_builds_every_screen_from_one_view(spark):
     preds, meta, stock = V.stores(spark, SF_SMALL)
-    store.commit({"predictions": preds, "region_metadata": meta, "pharma_stock": stock})
-    screens = D.refresh(store)
+    screens = D.refresh(preds, meta, stock)
     gov, ph, pub = screens["government"], screens["pharmacy"], screens["public"]
     k = gov["kpis"].first()
     assert k["total_districts"] == preds.count()
@@ -19,6 +18,7 @@ def test_refresh_builds_every_screen_from_one_view(spark, scratch):
         F.col("lat").isNotNull() & F.col("lon").isNotNull()).count()
     assert ph["demand"].count() == 4 and ph["recommendations"].count() <= 6
     assert pub["high_risk_areas"].count() <= 3
+    assert "avg_risk_pct_text" in D.with_display_text(gov["kpis"]).columns
     txt = D.with_display_text(gov["kpis"]).first()
     assert txt["high_risk_text"] == f"{k['high_risk_districts']}/{k['total_districts']}"
     assert txt["avg_risk_text"] == f"{k['avg_risk']:.2f}"
@@ -26,8 +26,8 @@ def test_refresh_builds_every_screen_from_one_view(spark, scratch):
 
 def test_public_search(spark):
     preds, meta, stock = V.stores(spark, SF_SMALL)
-    hit = D.public_search(preds, meta, stock, "R7").collect()
-    miss = D.public_search(preds, meta, stock, "r7").collect()
+    hit = D.public_search(preds, meta, stock, "R6").collect()
+    miss = D.public_search(preds, meta, stock, "r6").collect()
     assert len(hit) == 1 and hit[0]["risk_level"] in ("LOW RISK", "MODERATE RISK", "HIGH RISK")
     assert miss == []
 
@@ -38,15 +38,15 @@ def test_cluster_profile_scales_partitions():
     assert p["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_dispatch_commits_recommended_stock(spark, scratch):
-    store = RegionStore(spark, scratch + "/store")
+def test_dispatch_writes_recommended_stock(spark, scratch):
     preds, meta, stock = V.stores(spark, SF_SMALL)
-    store.commit({"predictions": preds, "region_metadata": meta, "pharma_stock": stock})
     rec = D.pharmacy(D.J.join_region_view(preds, meta, stock))["recommendations"]
     chosen = rec.select("region").limit(2)
     names = sorted(r[0] for r in chosen.collect())
-    D.dispatch(store, spark.createDataFrame([(n,) for n in names], "region string"), "t-dispatch")
-    new = store.read("pharma_stock")
+    orders = spark.createDataFrame([(n,) for n in names], "region string")
+    view = D.J.join_region_view(preds, meta, stock)
+    write_stores(scratch + "/store", {"pharma_stock": dispatch_orders(view, stock, orders, "t-dispatch")})
+    new = read_store(spark, scratch + "/store", "pharma_stock")
     got = {r["region"]: r for r in new.filter(F.col("last_updated") == "t-dispatch").collect()}
     assert sorted(got) == names
     expected = {r["region"]: r for r in rec.collect()}

@@ -26,7 +26,7 @@ def test_published_stage2_report(spark):
     assert m["f1_macro"] == pytest.approx(1 / 3)
     assert m["f1_weighted"] == pytest.approx(0.4)
     cm = {(r["y_true"], r["y_pred"]): r["n"] for r in EV.confusion_matrix(df, "y_true", "y_pred").collect()}
-    assert len(cm) == 9 and sum(cm.values()) == 5 and cm[("Typhoid", "Typhoid")] == 0
+    assert sum(cm.values()) == 5 and min(cm.values()) > 0 and ("Typhoid", "Typhoid") not in cm
 
 
 def test_auc_matches_pair_count_with_ties(spark):
@@ -81,14 +81,3 @@ PUBLISHED_REPORT = (
     "    accuracy                           0.40         5\n"
     "   macro avg       0.33      0.33      0.33         5\n"
     "weighted avg       0.40      0.40      0.40         5\n")
-
-
-def test_report_text_layout(spark):
-    from febrile.plans.scoring_job import metrics_text, report_text
-    pairs = [("Dengue", "Dengue"), ("Dengue", "Typhoid"), ("Typhoid", "Viral"), ("Viral", "Viral"), ("Viral", "Dengue")]
-    df = spark.createDataFrame(pairs, "y_true string, y_pred string")
-    text = report_text(EV.classification_report(df, "y_true", "y_pred").collect())
-    assert text == PUBLISHED_REPORT
-    m = metrics_text({"accuracy": 0.4, "report": text, "model": "RandomForest"})
-    assert m.startswith("accuracy: 0.4\n\nCLASSIFICATION REPORT\n              precision")
-    assert '"model": "RandomForest"' in m

@@ -63,5 +63,5 @@ def test_stratified_split_exact_and_deterministic(spark):
 
 def test_split_rejects_singleton_class(spark):
     df = spark.createDataFrame([(i, 0) for i in range(20)] + [(99, 1)], "id long, y int")
-    with pytest.raises(ValueError, match="least populated class"):
+    with pytest.raises(ValueError, match="single row"):
         MP.stratified_split(df, "y", "id", 0.2, 42)

@@ -7,10 +7,12 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from febrile.plans import catalog
+from febrile.plans.oracle_sql import oracle_queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-ORACLE = E.oracle_sql()
+QUERIES, ORACLE = catalog.all_queries(), oracle_queries()
 
 
 def _norm(v):
@@ -35,14 +37,14 @@ def duck():
 
 
 def test_every_query_is_registered_once():
-    qs = E.queries()
-    assert len(qs) >= 70
-    assert set(ORACLE) <= set(qs)
+    assert len(QUERIES) >= 70
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     cur = duck.execute(ORACLE[name])
     cols = [d[0] for d in cur.description]

@@ -10,17 +10,17 @@ def _cands(spark, rows):
     return spark.createDataFrame(rows, CAND)
 
 
-def test_preference_and_first_three(spark):
+def test_preference_among_all_matches(spark):
     addr = {"state": "S", "state_district": "D"}
     rows = [
-        # query 0: first match is a road, the preferred city is 4th -> outside the first three
+        # query 0: the first match is a road, the preferred city comes 4th
         ("Pune", 0, 1, "Pune road", "road", "node", "1", "2", 0.5, addr),
         ("Pune", 0, 2, "elsewhere", "city", "node", "1", "2", 0.5, addr),
         ("Pune", 0, 3, "pune suburb", "suburb", "node", "3", "4", 0.2, addr),
         ("Pune", 0, 4, "Pune city", "city", "node", "5", "6", 0.9, addr),
     ]
     r = P.resolve_places(spark.createDataFrame([("Pune",)], "region string"), _cands(spark, rows)).first()
-    assert (r["result_rank"], r["lat"], r["population"], r["state"]) == (1, 1.0, 5_000_000, "S")
+    assert (r["result_rank"], r["lat"], r["population"], r["state"]) == (4, 5.0, 13_500_000, "S")
     rows.append(("Pune", 0, 0, "PUNE district", "administrative", "node", "7", "8", None, {"state": ""}))
     r = P.resolve_places(spark.createDataFrame([("Pune",)], "region string"), _cands(spark, rows)).first()
     assert (r["result_rank"], r["population"], r["state"]) == (0, 5_000_000, "India")

@@ -2,13 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from febrile.plans import catalog
 
-ML = {"train_outbreak_model", "train_type_forest", "train_type_boosted", "score_outbreak", "run_two_stage_scoring",
-      "feature_importances", "top20_feature_importances", "assemble_features", "one_hot_ignore_unknown",
-      "stratified_split", "impute_median", "standard_scale", "roc_auc", "roc_curve_points", "confusion_matrix",
-      "select_stage2_training_rows"}
+QUERIES = catalog.all_queries()
+#: These fit models, so building the query runs many jobs.
+TRAIN = {"train_outbreak_model", "train_type_forest", "train_type_boosted", "score_outbreak", "run_two_stage_scoring",
+         "feature_importances", "top20_feature_importances", "save_model", "write_metrics"}
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
@@ -16,19 +16,20 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ML))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAIN))
 def test_no_udf_no_cartesian(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad}"
 
 
-def test_lookup_pushes_key_filter(spark):
-    from febrile.plans import views as V
-    from febrile.operators import joins as J
-    preds, meta, stock = V.stores(spark, SF_SMALL)
-    plan = _plan(J.lookup_region_metadata(meta, "R7"))
-    assert "PushedFilters" in plan or "PartitionFilters" in plan
+def test_lookup_pushes_key_filter(spark, scratch):
+    from febrile.sources import fixtures as fx
+    from febrile.sources.store import lookup, write_stores
+    write_stores(scratch + "/store", {"region_metadata": fx.region_metadata(spark, SF_SMALL)})
+    plan = _plan(lookup(spark, scratch + "/store", "region_metadata", "R6"))
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "EqualTo(region,R6)" in pushed
 
 
 def test_scan_prunes_columns(spark):
@@ -39,20 +40,32 @@ def test_scan_prunes_columns(spark):
 
 
 def test_top_k_is_take_ordered(spark):
-    plan = _plan(E.queries()["stock_top6"](spark, SF_SMALL))
+    plan = _plan(QUERIES["stock_top6"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan
 
 
-def test_top3_candidates_trimmed_before_shuffle(spark):
-    plan = _plan(E.queries()["resolve_places"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in plan
+def test_candidate_picks_combine_before_shuffle(spark):
+    plan = _plan(QUERIES["resolve_places"](spark, SF_SMALL))
+    assert "partial_min_by" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["last_row_per_region", "first_row_per_region", "upsert_predictions", "scan_predictions",
+                                  "size_run_stock", "resolve_places", "confusion_matrix", "join_region_view"])
+def test_building_a_plan_starts_no_job(spark, name):
+    group = f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    QUERIES[name](spark, SF_SMALL)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # reading a Parquet schema is the only job that a plan needs
+    assert all(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs) and len(jobs) <= 14
 
 
 @pytest.mark.parametrize("name", ["last_row_per_region", "first_row_per_region", "gov_kpis", "pharma_kpis",
                                   "state_summary", "size_run_stock", "classification_report", "confusion_matrix"])
 def test_partial_aggregation_before_shuffle(spark, name):
     """A key holding a third of the rows is combined map-side before any exchange."""
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "partial_" in plan, name
 
 

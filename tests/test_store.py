@@ -1,7 +1,7 @@
 
 from febrile.operators import upserts as U
 from febrile.schemas import PHARMA_STOCK, PREDICTIONS, REGION_METADATA
-from febrile.sources.store import RegionStore
+from febrile.sources.store import lookup, read_store, write_stores
 
 SCORED = "row_seq long, Region string, P_Outbreak double, Fever_Type string, P_Type double, Severity_Index double"
 
@@ -57,16 +57,32 @@ def test_stock_overwrite(spark):
     assert out == {"A": ("A", 50, 40, 30, 15, "t1"), "B": ("B", 2, 2, 2, 2, "t0")}
 
 
-def test_region_store_versions(spark, scratch):
-    store = RegionStore(spark, scratch + "/store")
-    assert store.read("predictions").count() == 0           # never written -> empty
-    assert store.read("pharma_stock").columns == [f.name for f in PHARMA_STOCK.fields]
-    v1 = spark.createDataFrame([("A", 0.5, "Viral", 0.5, 0.25, "t1")], PREDICTIONS)
-    store.commit({"predictions": v1})
-    assert store.read("predictions").count() == 1
-    merged = U.upsert_predictions(store.read("predictions"),
+def test_stores_are_read_and_written_by_path(spark, scratch):
+    first, second = scratch + "/first", scratch + "/second"
+    assert read_store(spark, first, "predictions").count() == 0           # never written -> empty
+    assert read_store(spark, first, "pharma_stock").columns == [f.name for f in PHARMA_STOCK.fields]
+    write_stores(first, {"predictions": spark.createDataFrame([("A", 0.5, "Viral", 0.5, 0.25, "t1")], PREDICTIONS)})
+    merged = U.upsert_predictions(read_store(spark, first, "predictions"),
                                   spark.createDataFrame([(1, "B", 0.9, "Dengue", 1.0, 0.9)], SCORED), "t2")
-    store.commit({"predictions": merged})
-    assert sorted(r["region"] for r in store.read("predictions").collect()) == ["A", "B"]
-    assert store.lookup("predictions", "B").first()["ts"] == "t2"
-    assert store.lookup("predictions", "Z").count() == 0
+    write_stores(second, {"predictions": merged})
+    assert sorted(r["region"] for r in read_store(spark, second, "predictions").collect()) == ["A", "B"]
+    assert lookup(spark, second, "predictions", "B").first()["ts"] == "t2"
+    assert lookup(spark, second, "predictions", "Z").count() == 0
+
+
+def test_a_reader_sees_what_another_writer_wrote(spark, scratch):
+    root = scratch + "/shared"
+    assert read_store(spark, root, "predictions").count() == 0
+    write_stores(root, {"predictions": spark.createDataFrame([("A", 0.5, "Viral", 0.5, 0.25, "t1")], PREDICTIONS)})
+    assert read_store(spark, root, "predictions").count() == 1
+
+
+def test_other_read_errors_are_not_hidden(spark, scratch):
+    import os
+
+    import pytest
+    os.makedirs(scratch + "/bad")
+    with open(scratch + "/bad/predictions", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        read_store(spark, scratch + "/bad", "predictions").collect()

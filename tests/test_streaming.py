@@ -4,8 +4,8 @@ from pyspark.sql import types as T
 
 from conftest import SF_SMALL
 from febrile.sources import fixtures as fx
-from febrile.sources.store import RegionStore
-from febrile.streaming.upload_stream import start_upload_stream
+from febrile.sources.store import read_store
+from febrile.streaming.upload_stream import batch_folder, start_upload_stream
 
 SCHEMA = T.StructType([
     T.StructField("row_seq", T.LongType()), T.StructField("Region", T.StringType()),
@@ -19,18 +19,17 @@ def test_each_upload_updates_the_store(spark, scratch):
     watch = os.path.join(scratch, "incoming")
     fx.observations(spark, SF_SMALL).coalesce(1).write.option("header", True).csv(watch)
     q = start_upload_stream(spark, watch, SCHEMA, scratch + "/store", fx.candidates(spark, SF_SMALL),
-                            scratch + "/ckpt", available_now=True)
+                            scratch + "/ckpt", available_now=True, clock=lambda: "t0")
     q.awaitTermination(600)
-    preds = RegionStore(spark, scratch + "/store").read("predictions")
+    preds = read_store(spark, batch_folder(scratch + "/store", 0), "predictions")
     n = fx.observations(spark, SF_SMALL).select("Region").distinct().count()
     assert preds.count() == n
-    assert preds.filter("ts = '2024-01-01T00:00:00+00:00'").count() == n
+    assert preds.filter("ts = 't0'").count() == n
 
 
 def test_two_uploads_never_delete(spark, scratch):
     from pyspark.sql import functions as F
 
-    from febrile.streaming.upload_stream import batch_ts
     sf = "/root/testdata/sf0.01"
     watch = os.path.join(scratch, "incoming2")
     obs = fx.observations(spark, sf)
@@ -40,10 +39,12 @@ def test_two_uploads_never_delete(spark, scratch):
     second = obs.filter((F.col("row_seq") % 40 >= 20) & (F.col("Region") != "src0"))
     first.coalesce(1).write.option("header", True).csv(watch + "/a")
     second.coalesce(1).write.option("header", True).csv(watch + "/b")
+    times = ["t2", "t1"]
     q = start_upload_stream(spark, watch + "/*", SCHEMA, scratch + "/store", fx.candidates(spark, sf),
-                            scratch + "/ckpt", available_now=True)
+                            scratch + "/ckpt", available_now=True, clock=times.pop)
     q.awaitTermination(1200)
-    preds = {r["region"]: r["ts"] for r in RegionStore(spark, scratch + "/store").read("predictions").collect()}
+    preds = {r["region"]: r["ts"] for r in
+             read_store(spark, batch_folder(scratch + "/store", 1), "predictions").collect()}
     assert set(preds) == {r[0] for r in obs.select("Region").distinct().collect()}
-    assert preds["src0"] == batch_ts(0)                 # only in the first upload: kept
-    assert {preds[k] for k in preds if k != "src0"} == {batch_ts(1)}
+    assert preds["src0"] == "t1"                 # only in the first upload: kept
+    assert {preds[k] for k in preds if k != "src0"} == {"t2"}
