@@ -77,17 +77,21 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     d = d.select(*carried, "__t",
                  F.array_remove(F.split("__t", WORD_SPLIT), "").alias("__w"),
                  F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("__lines"))
-    windows = F.when(F.size("__w") >= WINDOW,
-                     F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)),
-                                 lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))
-                     ).otherwise(F.array().cast("array<bigint>"))
+    # no lambda below refers to a column: a filter that the optimiser moves in here then costs one more pass, not a square
+    d = d.select("*", F.transform("__w", lambda w: F.xxhash64(w)).alias("__wh"))
+    n = F.greatest(F.size("__wh") - (WINDOW - 1), F.lit(0))
+    windows = F.transform(F.arrays_zip(*[F.slice("__wh", k + 1, n) for k in range(WINDOW)]), lambda x: F.xxhash64(x))
     d = d.select("*", windows.alias("__h"))
     # only a text with a repeated window pays for the ordering below
     pairs = F.when(F.size(F.array_distinct("__h")) < F.size("__h"),
                    F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     d = d.select("*", pairs.alias("__s"))
-    same = lambda x, j: F.coalesce(F.get("__s", j)["h"] == x["h"], F.lit(False))
-    found = F.sort_array(F.transform(F.filter("__s", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    edge = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("i")))
+    before = F.concat(edge, F.slice("__s", 1, F.size("__s") - 1))
+    after = F.concat(F.slice("__s", 2, F.size("__s") - 1), edge)
+    beside = F.zip_with(before, after, lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
+    twice = F.zip_with("__s", beside, lambda x, y: F.when((x["h"] == y["a"]) | (x["h"] == y["b"]), x["i"]))
+    found = F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
     covered = F.aggregate(
         found, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"), (i + WINDOW).alias("end")),

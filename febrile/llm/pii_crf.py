@@ -202,6 +202,11 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+def context_word(token: str) -> str:
+    """The word as a context: a full stop or colon stays, so "is." does not lead on as "is" does."""
+    return token.lstrip(EDGES).rstrip(",;!?\"')]}>").lower()
+
+
 @dataclass
 class Field:
     """Trained weights: emission tables of a token and its neighbours (index 0: unknown), transitions, labels."""
@@ -212,7 +217,7 @@ class Field:
     first: np.ndarray
 
     def rows(self, token: str) -> tuple[int, int]:
-        return self.index.get("s:" + shape(token), 0), self.index.get("w:" + token.strip(EDGES).lower(), 0)
+        return self.index.get("s:" + shape(token), 0), self.index.get("w:" + context_word(token), 0)
 
 
 def _emissions(field: Field, s: np.ndarray, w: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -244,10 +249,10 @@ def train(labelled: DataFrame, steps: int = 150, ridge: float = 0.02, max_lines:
     seen: dict[str, int] = {}
     for tokens, _ in lines:
         for t in tokens:
-            for name in ("s:" + shape(t), "w:" + t.strip(EDGES).lower()):
+            for name in ("s:" + shape(t), "w:" + context_word(t)):
                 seen[name] = seen.get(name, 0) + 1
     fillers = {w.lower() for words in FILLERS.values() for v in words for w in v.split()} | set(SYLLABLES) - set(SMALL_WORDS)
-    names = sorted(n for n, c in seen.items() if n[0] == "s" or (c >= 3 and n[2:].isalpha() and n[2:] not in fillers))
+    names = sorted(n for n, c in seen.items() if n[0] == "s" or (c >= 3 and n[2:].rstrip(".:").isalpha() and n[2:].rstrip(".:") not in fillers))
     index = {n: k + 1 for k, n in enumerate(names)}
     n_rows, n_labels = len(index) + 1, len(labels)
     field = Field(labels, index, np.zeros((3, 2, n_rows, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
