@@ -5,7 +5,7 @@ Latin ones, accents dropped, digit and sign substitutions inside words undone.
 The lexicon is learned from labelled rows: word beginnings and whole words, each
 weighted by its log odds.  Two-word phrases around a lexicon word that clean
 documents use are learned as exceptions and matched in the same automaton; a
-hit inside one does not count.  A text's hits, normalised by its length, become a
+hit inside one does not count.  A text's hits (each word once), normalised by its length, become a
 score through a logistic curve fitted on the labelled rows.
 
 Defined results: a null or empty text has no hits and gets the score of a text
@@ -71,7 +71,7 @@ class ToxicityParams:
     min_share: float = 0.01          # of the toxic documents must hold an entry: bounds the lexicon
     min_documents: int = 3
     min_evidence: float = 20.0       # log likelihood ratio of an entry against chance
-    min_weight: float = 1.5          # log odds of an entry
+    min_weight: float = 2.3          # log odds of an entry
     exception_documents: int = 5     # clean documents that make a phrase an exception
     max_labels: int = 250_000        # labels (by hash of the id) that teach, about; the rest are not read
     fit_rows: int = 50_000           # labelled rows (by hash) that fit the logistic curve, at most about
@@ -123,9 +123,9 @@ def hits(folded: str, matcher) -> dict[int, float]:
 
 
 def measures(text: str, matcher, table: FoldTable) -> tuple[float, float, int]:
-    """Total weight of the hits, weight for each hundred words, and the words."""
+    """Total weight of the different words that hit, weight for each hundred words, and the words."""
     folded = fold(text, table)
-    total = sum(hits(folded, matcher).values())
+    total = sum({folded[s + 1:folded.index(" ", s + 1)]: w for s, w in hits(folded, matcher).items()}.values())
     n = len(folded.split())
     return total, 100.0 * total / max(n, 1), n
 
