@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -25,9 +26,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with files that every executor can read, so a lost
     executor costs no recomputation of what came before.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark removes them once the driver's garbage collector has found them
+    unused, which by itself may take half an hour; a job of many steps would
+    fill the executors' disks until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

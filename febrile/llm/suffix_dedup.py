@@ -16,9 +16,15 @@ Across tasks, only strings that can repeat are compared:
    owns a run of neighbouring starts (its block, 30 odd on average).
 2. Anchors whose k-gram occurs once in the corpus are dropped.
 3. Blocks with the same bytes collapse: all but the first occurrence go whole.
-4. First occurrences of blocks that share their k-gram with other blocks, or hold
-   it twice, are suffix-sorted start by start inside each task; the first of each distinct
-   string is then compared across tasks by a 128-bit digest of its bytes.
+4. First occurrences of blocks that share their k-gram with other blocks are cut
+   into cells of eight starts at fixed distances from the k-gram, so that equal
+   strings lie at the same place of equal cells.  Each task suffix-sorts its
+   cells and drops its own repeats; across tasks, equal cells collapse as blocks
+   did.  What all strings of a cell have in common is its core; only cells whose
+   core occurs in different cells are looked at string by string, which core
+   digest and the few bytes around it decide.
+5. Blocks that hold their k-gram twice (short periods), and those that share it
+   with such a block, are suffix-sorted start by start instead.
 
 All groupings are sums or minima that combine before the shuffle, so a passage
 in a third of all documents is no hot spot; the joins back to occurrences are
@@ -36,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +52,11 @@ from febrile.llm.common import mix64, read_table, text_or_empty, written
 from febrile.llm.hilbert_shards import ranked
 
 LENGTH, KGRAM = 100, 32
+#: Starts of a cell.
+CELL = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-#: Bytes of text that a task holds as one array.
-CHUNK = 4 << 20
+#: Bytes of text that a task searches for anchors at a time (some 120 bytes of arrays for each), and sorts at a time.
+CHUNK, SORT_BYTES = 1 << 20, 1 << 20
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -91,16 +100,24 @@ def suffix_order(data: np.ndarray, h: PrefixHash, starts: np.ndarray, length: in
     """``starts`` in the order of their ``length`` bytes, ties by place: bottom-up mergesort, all merges of a level at once.
 
     Each level places an element of one half by a binary search in the other
-    half; each comparison of suffixes is a binary search for their common extension.
+    half.  A comparison looks at the first eight bytes; where they agree, a
+    binary search over the prefix hashes finds the common extension.
     """
     order = np.sort(starts)
     n, width = len(order), 1
-
-    def before(a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
-        lcp = common_extension(h, a, b, length)
-        at = np.minimum(lcp, length - 1)
-        x, y = data[a + at], data[b + at]
-        return np.where(lcp == length, ties, x < y)
+    lead = np.zeros(n, np.uint64)
+    for k in range(8):
+        lead = lead << np.uint64(8) | data[order + k]
+
+    def before(a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        out = lead[a] < lead[b]
+        close = np.flatnonzero(lead[a] == lead[b])
+        if len(close):
+            x, y = order[a[close]], order[b[close]]
+            lcp = common_extension(h, x, y, length)
+            at = np.minimum(lcp, length - 1)
+            out[close] = np.where(lcp == length, ties[close], data[x + at] < data[y + at])
+        return out
 
     while width < n:
         index = np.arange(n)
@@ -114,21 +131,22 @@ def suffix_order(data: np.ndarray, h: PrefixHash, starts: np.ndarray, length: in
         while len(active):
             mid = (low[active] + high[active]) // 2
             # an element of the left half goes before equals of the right half, and the other way round
-            goes_on = before(order[mid], order[active], False)
-            right = ~left[active]
-            if right.any():
-                goes_on[right] = before(order[mid[right]], order[active[right]], True)
+            goes_on = before(mid, active, ~left[active])
             low[active] = np.where(goes_on, mid + 1, low[active])
             high[active] = np.where(goes_on, high[active], mid)
             active = active[low[active] < high[active]]
         place = np.where(left, index, index - width) + (low - base)
-        merged = np.empty_like(order)
-        merged[place] = order
-        order = merged
+        order, lead = _placed(order, place), _placed(lead, place)
         width *= 2
     return order
 
 
+def _placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[place] = values
+    return out
+
+
 def equal_runs(data: np.ndarray, h: PrefixHash, order: np.ndarray, length: int) -> np.ndarray:
     """Number of the run of equal strings that each suffix of ``order`` lies in, confirmed byte by byte."""
     same = np.zeros(len(order), bool)
@@ -152,121 +170,187 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(left[:n], right[w - 1:w - 1 + n])
 
 
-def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """k-gram hash, first start and number of starts of each anchor's block in one text, and whether the k-gram
-    stands in the block twice, so that starts of one block may repeat each other (short periods)."""
-    if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none.astype(bool)
-    out = []
-    step = CHUNK
-    for at in range(0, len(data) - length + 1, step):  # long texts in pieces that share length-1 bytes
-        part = data[at:min(len(data), at + step + length - 1)]
+def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
+              ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """k-gram hash, first start and number of starts of each anchor's block, where in the block the k-gram stands,
+    and whether it does so twice, so that starts of one block may repeat each other (short periods).
+
+    ``data`` may hold several texts laid end to end, ``ends`` their ends: no string crosses one.
+    """
+    none = np.zeros(0, np.int64)
+    out = [(none.view(np.uint64), none, none, none, none.astype(bool))]
+    total = max(0, len(data) - length + 1)
+    crossing = np.zeros(len(data) + 1, np.int32)
+    if ends is not None:
+        np.add.at(crossing, np.maximum(ends - length + 1, 0), 1)
+        np.add.at(crossing, ends, -1)
+    inside = np.cumsum(crossing[:total]) == 0
+    reach, most = length - k, length - k + 1
+    for at in range(0, total, CHUNK):  # long data in pieces that share length-1 bytes
+        part = data[at:min(len(data), at + CHUNK + length - 1)]
         h = PrefixHash(part)
         grams = mix64(h.of(np.arange(len(part) - k + 1), k))
-        least = _sliding_min(grams, length - k + 1)
+        least = _sliding_min(grams, most)
+        ok = inside[at:at + len(least)]
         # neighbouring starts with one smallest k-gram; its leftmost place may move on within a run of equal k-grams
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        count = np.diff(np.append(first, len(least)))
-        # runs are cut so that a block never spans more than one window's worth of starts
-        most = length - k + 1
-        if (count > most).any():
-            pieces = -(-count // most)
-            first = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
-            ends = np.append(first[1:], len(least))
-            count = ends - first
-        # places of the smallest k-grams: those that are the minimum of some window around them
-        reach = length - k
+        turn = ok & np.concatenate([[True], (least[1:] != least[:-1]) | ~ok[:-1]])
+        stop = np.append(np.flatnonzero(turn | ~ok), len(least))
+        first = np.flatnonzero(turn)
+        if not len(first):
+            continue
+        count = stop[np.searchsorted(stop, first, "right")] - first
+        # runs are cut so that a block never spans more than one string's worth of starts
+        pieces = -(-count // most)
+        step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+        first, count = np.repeat(first, pieces) + step, np.minimum(most, np.repeat(count, pieces) - step)
+        # places of the smallest k-grams: those that are the minimum of some string around them
         edge = np.zeros(reach, np.uint64)
-        anchors = np.flatnonzero(grams == ~_sliding_min(~np.concatenate([edge, least, edge]), reach + 1))
+        anchors = np.flatnonzero(grams == ~_sliding_min(~np.concatenate([edge, np.where(ok, least, np.uint64(0)), edge]), reach + 1))
         near = (grams[anchors[1:]] == grams[anchors[:-1]]) & (np.diff(anchors) <= reach)
         pairs = np.concatenate([[0], np.cumsum(near)])
         low, high = np.searchsorted(anchors[:-1], first), np.searchsorted(anchors[:-1], first + count + reach)
-        out.append((least[first], first + at, count, pairs[high] > pairs[low]))
+        # every start's string covers the k-gram, so it stands at or after the last start
+        spot = np.searchsorted(anchors, first + count - 1)
+        while (other := grams[anchors[spot]] != least[first]).any():
+            spot[other] += 1
+        out.append((least[first], first + at, count, anchors[spot] - first, pairs[high] > pairs[low]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _occurrences(docs: DataFrame, length: int, k: int, full: bool) -> DataFrame:
-    """One row per anchor: gram, and with ``full`` also digest, doc, start, n."""
+    """One row per anchor: gram, and with ``full`` also digest, doc, start and shape (starts, place of the k-gram,
+    whether it stands there twice, a byte each)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                out, owner, digest = [], [], []
-                for row, text in enumerate(piece.column(1).to_pylist()):
-                    found = blocks_of(np.frombuffer(text, np.uint8), length, k)
-                    out.append(found)
-                    if full:
-                        owner.append(np.full(len(found[0]), row))
-                        # a second, unrelated hash of the block's bytes confirms what the k-gram hash suggests
-                        ends = found[1] + found[2] + length - 1
-                        digest += [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(found[1].tolist(), ends.tolist(), strict=True)]
-                gram, start, n, twice = (np.concatenate(x) for x in zip(*out, strict=True))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // CHUNK
+            for at, end in zip(*(np.searchsorted(group, np.unique(group), side) for side in ("left", "right")), strict=True):
+                raw = b"".join(batch.column(1).slice(at, end - at).to_pylist())
+                ends = np.cumsum(sizes[at:end])
+                gram, start, n, spot, twice = blocks_of(np.frombuffer(raw, np.uint8), length, k, ends)
                 if not full:
                     # a task's own repeats are counted here
                     gram, often = np.unique(np.concatenate([gram, gram[twice]]), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "c": pa.array(np.minimum(often, 2).astype(np.int8))})
-                else:
-                    docs_in = piece.column(0).take(pa.array(np.concatenate(owner)))
-                    yield pa.RecordBatch.from_pydict({
-                        "gram": pa.array(gram.view(np.int64)), "digest": pa.array(np.array(digest, np.uint64).view(np.int64)), "doc": docs_in,
-                        "start": pa.array(start.astype(np.int64)), "n": pa.array(n.astype(np.int32)), "twice": pa.array(twice)})
-
-    fields = "gram long, digest long, doc long, start long, n int, twice boolean" if full else "gram long, c byte"
+                    continue
+                # a second, unrelated hash of the block's bytes confirms what the k-gram hash suggests
+                stops = start + n + length - 1
+                digest = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), stops.tolist(), strict=True)]
+                owner = np.searchsorted(ends, start, "right")
+                yield pa.RecordBatch.from_pydict({
+                    "gram": pa.array(gram.view(np.int64)), "digest": pa.array(np.array(digest, np.uint64).view(np.int64)),
+                    "doc": batch.column(0).take(pa.array(owner + at)), "start": pa.array(start - (ends - sizes[at:end])[owner]),
+                    "shape": pa.array((n | spot << 8 | twice.astype(np.int64) << 16).astype(np.int32))})
+
+    fields = "gram long, digest long, doc long, start long, shape int" if full else "gram long, c byte"
     return docs.select("doc", "bytes").mapInArrow(find, fields)
 
 
-def _starts_of_blocks(rows: DataFrame, length: int) -> DataFrame:
-    """first digests of the distinct strings inside each task: w1, w2, doc, start; and repeats found there (w1 null)."""
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Columns of a cell (or, with no core, of a single string): digest, bytes beside the core, place, starts.
+CELL_FIELDS = "k1 long, k2 long, left long, right long, doc long, start long, low int, n int, kind int"
+WHOLE, STRING, REPEAT = 0, 1, 2  # kinds: a cell, a single string, a run of repeats found inside the task
+
+
+def _cells(rows: DataFrame, length: int) -> DataFrame:
+    """Cells and strings of the blocks of each document (doc, blocks, z), repeats inside a task already told."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, strings = _Sorter(length + CELL - 1, length), _Sorter(length, length)
         for batch in batches:
-            held, docs_in, starts_in = [], [], []
-            size = 0
             for doc, blocks, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+                raw, own = zstandard.ZstdDecompressor().decompress(text), set()
                 for b in blocks:
-                    held.append(raw[b["start"]:b["start"] + b["n"] + length - 1])
-                    docs_in.append(np.full(b["n"], doc))
-                    starts_in.append(np.arange(b["start"], b["start"] + b["n"]))
-                    size += len(held[-1])
-                if size > CHUNK // 4:
-                    yield from _sorted_piece(held, docs_in, starts_in, length)
-                    held, docs_in, starts_in, size = [], [], [], 0
-            if held:
-                yield from _sorted_piece(held, docs_in, starts_in, length)
-
-    return rows.mapInArrow(sort, "w1 long, w2 long, doc long, start long, n int")
-
-
-def _sorted_piece(held: list, docs_in: list, starts_in: list, length: int) -> Iterator[pa.RecordBatch]:
-    data = np.concatenate(held)
-    sizes = np.array([len(x) for x in held])
-    offsets = np.cumsum(sizes) - sizes
-    counts = sizes - length + 1
-    places = np.repeat(offsets - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    docs, starts = np.concatenate(docs_in), np.concatenate(starts_in)
-    h = PrefixHash(data)
-    order = suffix_order(data, h, places, length)
-    row = np.searchsorted(places, order)
-    run = equal_runs(data, h, order, length)
-    earliest = np.lexsort((starts[row], docs[row], run))
-    run_sorted = run[earliest]
-    lead = np.concatenate([[True], run_sorted[1:] != run_sorted[:-1]])
-    firsts, repeats = row[earliest[lead]], np.sort(row[earliest[~lead]])
-    # neighbouring repeats of one block leave as one row
-    joined = np.concatenate([[True], (np.diff(repeats) != 1) | (np.diff(starts[repeats]) != 1) | (np.diff(docs[repeats]) != 0)])[:len(repeats)]
-    heads = repeats[joined]
-    lengths = np.diff(np.append(np.flatnonzero(joined), len(repeats)))
-    raw = data.tobytes()
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p:p + length]) for p in places[firsts].tolist()), "<i8").reshape(-1, 2)
-    yield pa.RecordBatch.from_pydict({
-        "w1": pa.array(np.ascontiguousarray(digests[:, 0])), "w2": pa.array(np.ascontiguousarray(digests[:, 1])),
-        "doc": pa.array(docs[firsts].astype(np.int64)), "start": pa.array(starts[firsts].astype(np.int64)),
-        "n": pa.array(np.ones(len(firsts), np.int32))})
-    yield pa.RecordBatch.from_pydict({
-        "w1": pa.nulls(len(heads), pa.int64()), "w2": pa.nulls(len(heads), pa.int64()),
-        "doc": pa.array(docs[heads].astype(np.int64)), "start": pa.array(starts[heads].astype(np.int64)),
-        "n": pa.array(lengths.astype(np.int32))})
+                    begin, last = b["start"], b["start"] + (b["shape"] & 255) - 1
+                    if b["alone"]:
+                        for s in range(begin, last + 1):
+                            string = raw[s:s + length]
+                            if string in own:  # blocks come in order, so the one met before starts earlier
+                                strings.repeat(doc, s, 1)
+                            else:
+                                own.add(string)
+                                strings.add(doc, s, 0, 1, string)
+                        continue
+                    gram = begin + (b["shape"] >> 8 & 255)
+                    for cell in range((gram - last) // CELL, (gram - begin) // CELL + 1):
+                        core = gram - cell * CELL           # the last start of the cell, and the core's first byte
+                        first = max(begin, core - CELL + 1)
+                        n = min(last, core) - first + 1
+                        if n == CELL:
+                            cells.add(doc, first, 0, n, raw[first:first + length + CELL - 1])
+                        else:
+                            cells.lone(doc, first, core - first - n + 1, n, _padded(raw, core - CELL + 1, length + CELL - 1))
+                yield from cells.flush(WHOLE, SORT_BYTES)
+                yield from strings.flush(STRING, SORT_BYTES)
+        yield from cells.flush(WHOLE, 0)
+        yield from strings.flush(STRING, 0)
+
+    return rows.mapInArrow(cut, CELL_FIELDS)
+
+
+def _padded(raw: bytes, start: int, length: int) -> bytes:
+    """``length`` bytes from ``start``; places outside the text are zero (no string that counts covers them)."""
+    part = raw[max(start, 0):max(start + length, 0)]
+    return b"\0" * (min(start + length, 0) - start if start < 0 and start + length < 0 else max(-start, 0)) + part + b"\0" * max(
+        0, start + length - max(len(raw), start, 0))
+
+
+class _Sorter:
+    """Collects equal-length pieces, suffix-sorts them, and gives the first of each distinct one and the repeats."""
+
+    def __init__(self, size: int, length: int):
+        self.size, self.length = size, length
+        self._empty()
+
+    def _empty(self) -> None:
+        self.pieces, self.rows, self.alone, self.repeats = [], [], [], []
+
+    def repeat(self, doc: int, start: int, n: int) -> None:
+        """Told in ascending order within a document: neighbours become one run."""
+        if self.repeats and self.repeats[-1][0] == doc and self.repeats[-1][1] + self.repeats[-1][2] == start:
+            self.repeats[-1] = (doc, self.repeats[-1][1], self.repeats[-1][2] + n)
+        else:
+            self.repeats.append((doc, start, n))
+
+    def add(self, doc: int, start: int, low: int, n: int, piece: bytes) -> None:
+        self.pieces.append(piece)
+        self.rows.append((doc, start, low, n))
+
+    def lone(self, doc: int, start: int, low: int, n: int, piece: bytes) -> None:
+        self.alone.append((doc, start, low, n, piece))
+
+    def flush(self, kind: int, most: int) -> Iterator[pa.RecordBatch]:
+        held = (len(self.pieces) + len(self.alone) + len(self.repeats)) * self.size
+        if not held or held <= most:
+            return
+        out: list[tuple] = []
+        if self.pieces:
+            data = np.frombuffer(b"".join(self.pieces), np.uint8)
+            h = PrefixHash(data)
+            order = suffix_order(data, h, np.arange(len(self.pieces)) * self.size, self.size)
+            run = equal_runs(data, h, order, self.size)
+            row = order // self.size
+            place = np.array([(d, s) for d, s, _, _ in self.rows], np.int64)
+            row = row[np.lexsort((place[row, 1], place[row, 0], run))]
+            lead = np.concatenate([[True], run[1:] != run[:-1]])
+            for r in row[lead].tolist():
+                out.append(self._row(*self.rows[r], self.pieces[r], kind))
+            for doc, start, _, n in sorted(self.rows[r] for r in row[~lead].tolist()):
+                self.repeat(doc, start, n)
+        out += [(None, None, None, None, doc, start, 0, n, REPEAT) for doc, start, n in self.repeats]
+        out += [self._row(*x, kind) for x in self.alone]
+        self._empty()
+        types = [pa.int64()] * 6 + [pa.int32()] * 3
+        for at in range(0, len(out), 50_000):
+            columns = zip(*out[at:at + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                             names=[f.split()[0] for f in CELL_FIELDS.split(", ")])
+
+    def _row(self, doc: int, start: int, low: int, n: int, piece: bytes, kind: int) -> tuple:
+        side = self.size - self.length  # bytes beside the core, left and right
+        core = xxhash.xxh3_128_digest(piece[side:self.size - side])
+        left = int.from_bytes(piece[:side], "big")
+        right = int.from_bytes(piece[self.size - side:], "big")
+        return (int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), left, right,
+                doc, start, low, n, kind)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -299,20 +383,43 @@ def repeated_starts(d: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataF
     """doc, start, n: runs of starts whose ``length`` bytes also start earlier, for keyed documents (doc, doc_id, bytes)."""
     grams = _occurrences(d, length, k, False).groupBy("gram").agg(F.sum("c").alias("c")).filter("c > 1").select("gram")
     seen = written(_occurrences(d, length, k, True).join(grams, "gram", "left_semi"), "suffix-blocks")
-    firsts = written(seen.groupBy("gram", "digest").agg(F.min(F.struct("doc", "start", "n", "twice")).alias("f"), F.count("*").alias("c")), "suffix-firsts")
+    firsts = written(seen.groupBy("gram", "digest").agg(F.min(F.struct("doc", "start", "shape")).alias("f"), F.count("*").alias("c")), "suffix-firsts")
     again = firsts.filter("c > 1").select("gram", "digest", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"))
-    whole = seen.join(again, ["gram", "digest"]).filter("doc <> fd or start <> fs").select("doc", "start", "n")
+    whole = seen.join(again, ["gram", "digest"]).filter("doc <> fd or start <> fs").select("doc", "start", F.expr("shape & 255").alias("n"))
 
-    several = firsts.groupBy("gram").agg(F.count("*").alias("m"), F.max("f.twice").alias("twice")).filter("m > 1 or twice").select("gram")
-    partly = firsts.join(several, "gram", "left_semi").select("f.doc", "f.start", "f.n")
+    several = firsts.groupBy("gram").agg(F.count("*").alias("m"), F.max(F.col("f.shape") >= 1 << 16).alias("alone")).filter("m > 1 or alone")
+    partly = firsts.join(several, "gram").select("f.doc", F.struct("f.start", "f.shape", "alone").alias("b"))
     # a document's own blocks: bounded by its length
-    partly = partly.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("blocks"))
-    strings = written(_starts_of_blocks(partly.join(_packed(d), "doc").select("doc", "blocks", "z"), length), "suffix-strings")
-    named = strings.filter("w1 is not null")
-    first = named.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("c")).filter("c > 1")
-    first = first.select("w1", "w2", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"))
-    single = named.join(first, ["w1", "w2"]).filter("doc <> fd or start <> fs").select("doc", "start", "n")
-    return whole.union(single).union(strings.filter("w1 is null").select("doc", "start", "n"))
+    partly = partly.groupBy("doc").agg(F.sort_array(F.collect_list("b")).alias("blocks"))
+    cells = written(_cells(partly.join(_packed(d), "doc").select("doc", "blocks", "z"), length), "suffix-cells")
+    found = cells.filter(F.col("kind") == REPEAT).select("doc", "start", "n")
+
+    # equal cells (and equal single strings): all but the first go whole
+    same = ["k1", "k2", "left", "right", "low", "n", "kind"]
+    held = cells.filter(F.col("kind") != REPEAT)
+    common = held.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1")
+    held = written(held.join(common, "k1", "left_semi"), "suffix-shared-cells")
+    firsts = written(held.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("c")), "suffix-cell-firsts")
+    again = firsts.filter("c > 1").select(*same, F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"))
+    cell_runs = held.join(again, same).filter("doc <> fd or start <> fs").select("doc", "start", "n")
+
+    # different cells of one core: string by string; start i of a cell takes its last bytes on the left, its first on the right
+    side = CELL - 1
+    rest = firsts.filter(F.col("kind") == WHOLE)
+    shared = rest.groupBy("k1", "k2").agg(F.count("*").alias("m")).filter("m > 1").select("k1", "k2")
+    one = rest.join(shared, ["k1", "k2"], "left_semi").select(
+        "k1", "k2", "left", "right", F.col("f.doc").alias("doc"), (F.col("f.start") + F.col("n") - 1).alias("last"), "low",
+        F.explode(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1)).alias("i"))
+    keep_left = F.col("left").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), 8 * F.col("i")) - 1)
+    keep_right = F.call_function("shiftright", F.col("right"), 8 * F.col("i"))
+    one = one.select("doc", (F.col("last") - F.col("i") + F.col("low")).alias("start"),
+                     F.xxhash64("k1", "k2", "i", keep_left, keep_right).alias("s1"),
+                     F.xxhash64(F.lit(side), keep_right, keep_left, "i", "k2", "k1").alias("s2"))
+    one = written(one, "suffix-strings")
+    first = one.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    first = first.select("s1", "s2", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"))
+    single = one.join(first, ["s1", "s2"]).filter("doc <> fd or start <> fs").select("doc", "start", F.lit(1).alias("n"))
+    return whole.union(found).union(cell_runs).union(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
