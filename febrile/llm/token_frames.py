@@ -26,6 +26,7 @@ gives an empty table; extra input columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -49,55 +50,114 @@ CHECKSUM_FLAG = 0x80
 FRAME_IDS, LONGEST_FRAME_IDS = 1 << 16, 1 << 20
 
 
+#: Characters that are encoded at a time, about.
+ENCODE_CHARS = 2_000_000
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
 class Encoder:
-    """Encodes texts by the words between blanks, remembering the ids of words met before.
-
-    No token of this vocabulary spans white space, so a text's ids are its
-    words' ids one after the other.
+    """Encodes texts by their words between blanks, remembering the ids of words met before.
+
+    No token of this vocabulary spans white space, and letters never share a
+    piece with the signs behind them, so a text's ids are those of its words and
+    of the signs at their ends, one after the other.  New plain words are
+    encoded many at a time as one text: each is one piece, whose last id carries
+    the vocabulary's word end; should the ends not add up, they are encoded one
+    by one.
     """
 
     LIMIT = 4_000_000  # remembered ids, at most
+    #: Signs that may end a word; an apostrophe may not, because it can open a piece of its own.
+    SIGNS = ".,;:!?*#$%&|)]}\""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
+        # words as (stem, signs), and the parts' ids end to end
         self.rows: dict[str, int] = {}
-        self.ids, self.at, self.len = [np.zeros(0, np.uint32)], [], []
-        self.held = 0
+        self.stem, self.sign = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.at)
+        self.parts.update(zip(parts, range(first, first + len(parts)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.len = np.concatenate([self.len, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _one_by_one(self, parts: list[str]) -> None:
+        if parts:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            self._keep(parts, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _plain(self, words: list[str]) -> None:
+        ids, sizes, odd = [], [], []
+        for k in range(0, len(words), 2_000):
+            some = words[k:k + 2_000]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) == len(some) and ends[-1] == len(got):
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                odd += some
+        if odd:
+            strange = set(odd)
+            words = [w for w in words if w not in strange]
+        if words:
+            self._keep(words, np.concatenate(ids), np.concatenate(sizes))
+        self._one_by_one(odd)
 
     def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 10_000):
-            for word, found in zip(words[k:k + 10_000], self.tokenizer.encode_batch(words[k:k + 10_000], add_special_tokens=False), strict=True):
-                self.rows[word] = len(self.at)
-                self.at.append(self.held)
-                self.len.append(len(found.ids))
-                self.ids.append(np.array(found.ids, np.uint32))
-                self.held += len(found.ids)
-        self.ids = [np.concatenate(self.ids)]
+        stems, signs, plain, other = [], [], set(), set()
+        for word in words:
+            stem = word.rstrip(self.SIGNS)
+            low = stem.lower() if stem.isascii() else stem
+            # a letter that the vocabulary's normaliser takes apart could join the signs behind it
+            if low.isalpha() and (low.isascii() or unicodedata.normalize("NFC", low).lower().isalpha()):
+                sign = word[len(stem):]
+                plain.add(low)
+                other.add(sign)
+                stems.append(low)
+                signs.append(sign)
+            else:
+                other.add(word)
+                stems.append(word)
+                signs.append("")
+        self._plain(list(plain - self.parts.keys()))
+        self._one_by_one(list(other - self.parts.keys()))
+        first = len(self.stem)
+        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
+        of = lambda parts: np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        self.stem, self.sign = np.concatenate([self.stem, of(stems)]), np.concatenate([self.sign, of(signs)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and their numbers."""
-        if self.held > self.LIMIT:
+        if len(self.ids) > self.LIMIT or len(self.rows) > self.LIMIT // 4:
             self._forget()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = [w for s in split for w in s]
         new = set(words) - self.rows.keys()
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         rows = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
-        at, length = np.array(self.at, np.int64)[rows], np.array(self.len, np.int64)[rows]
+        parts = np.stack([self.stem[rows], self.sign[rows]], axis=1).ravel()
+        at, length = self.at[parts], self.len[parts]
         ends = np.concatenate([[0], np.cumsum(length)])
-        bounds = np.cumsum([len(s) for s in split])
+        bounds = 2 * np.cumsum([len(s) for s in split])
         counts = np.diff(np.concatenate([[0], ends[bounds]]))
-        ids = self.ids[0][np.repeat(at - ends[:-1], length) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])]
         return np.insert(ids, ends[bounds], END_ID).astype("<u4"), counts + 1
 
 
@@ -232,11 +292,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
                 stream = fs.open_output_stream(trial, compression=None)
                 writer = FrameWriter(stream)
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 64):
-                ids, counts = encoder.encode(texts[k:k + 64])
+            at = 0
+            while at < len(texts):
+                end, held = at + 1, len(texts[at])
+                while end < len(texts) and held < ENCODE_CHARS:
+                    held += len(texts[end])
+                    end += 1
+                ids, counts = encoder.encode(texts[at:end])
                 ends = np.cumsum(counts)
-                for name, s, e in zip(names[k:k + 64], ends - counts, ends, strict=True):
+                for name, s, e in zip(names[at:end], ends - counts, ends, strict=True):
                     writer.add(name, ids[s:e])
+                at = end
         if writer is None:
             return
         writer.close()
