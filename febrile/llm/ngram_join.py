@@ -127,8 +127,11 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
     return rows_in.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _verify(group: pd.DataFrame, threshold_pct: int) -> pd.DataFrame:
-    """Links inside one pair of blocks: per class with a link, how many classes and documents, and its smallest."""
+def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
+    """Links inside one pair of blocks: per class with a link, how many classes and documents, and its smallest.
+
+    ``two``: the pair is of two blocks, of which one may be empty.
+    """
     group = group.drop_duplicates("rep")  # repeated rows
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
     sizes, copies = group["n"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)
@@ -152,7 +155,7 @@ def _verify(group: pd.DataFrame, threshold_pct: int) -> pd.DataFrame:
     common = np.rint(common).astype(np.int64)
     linked = 100 * common >= threshold_pct * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(linked, False)
-    if (block != block[0]).any():  # two blocks: pairs inside either belong to another group
+    if two:  # pairs inside either block belong to another group
         linked &= block[:, None] != block[None, :]
     some = np.flatnonzero(linked.any(1))
     root = np.arange(count)
@@ -215,7 +218,7 @@ def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     work = work.select("rep", "part", "n", "copies", "block", "shingles",
                        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = work.groupBy("part", "i", "j").applyInPandas(
-        lambda g: _verify(g, params.threshold_pct), "rep long, classes long, docs long, top long")
+        lambda key, g: _verify(g, params.threshold_pct, key[1] != key[2]), "rep long, classes long, docs long, top long")
     links = written(links, "join-links")
     counts = links.groupBy("rep").agg(F.sum("classes").alias("classes"), F.sum("docs").alias("docs"))
     tops = components(links.select(F.col("rep").alias("a"), F.col("top").alias("b")), "join-tops")

@@ -78,6 +78,12 @@ def test_large_group_is_cut_into_blocks(spark):
     check(spark, rows, JoinParams(block_docs=1000, block_shingles=300))
 
 
+def test_long_near_copies_leave_blocks_empty(spark):
+    # more blocks than classes: pairs of a block with an empty one hold one block's rows only
+    check(spark, list(enumerate(family(6, 2, 400, 4))), JoinParams(block_shingles=60))
+    check(spark, list(enumerate(family(7, 5, 300, 4))), JoinParams(block_shingles=100))
+
+
 def test_odd_rows(spark):
     got = ngram_join(cases.table(spark)).collect()
     rows = cases.rows()
