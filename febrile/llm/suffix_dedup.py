@@ -333,7 +333,9 @@ class _Sorter:
             lead = np.concatenate([[True], run[1:] != run[:-1]])
             for r in row[lead].tolist():
                 out.append(self._row(*self.rows[r], self.pieces[r], kind))
-            for doc, start, _, n in sorted(self.rows[r] for r in row[~lead].tolist()):
+            # a repeated row brings its document's pieces again: the first piece of a run is no repeat of itself
+            later = (place[row] != place[row[lead][run]]).any(1)
+            for doc, start, _, n in sorted(self.rows[r] for r in row[later].tolist()):
                 self.repeat(doc, start, n)
         out += [(None, None, None, None, doc, start, 0, n, REPEAT) for doc, start, n in self.repeats]
         out += [self._row(*x, kind) for x in self.alone]

@@ -85,6 +85,20 @@ def test_random_near_copies(spark, seed):
     check(spark, docs)
 
 
+def test_repeated_rows_of_near_copies_are_one_document(spark):
+    base = cases.words(9, 200)
+    near = base[:]
+    for at in range(0, 200, 25):
+        near[at] = f"changed{at}"
+    period = "Orre " * 60  # its blocks hold their gram twice: cut into single strings
+    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, period + " ".join(near[100:])), (4, "left " + period)]
+    want = expected(docs, 100)
+    for rows in (docs + docs[1:3], docs * 3):
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+        assert len(got) == len(rows)
+        assert all((r["n_bytes"], bytes(r["kept"]), len(r["spans"])) == want[r["doc_id"]] for r in got)
+
+
 def test_odd_rows(spark):
     rows = cases.rows()
     got = remove_repeats(cases.table(spark)).collect()
