@@ -19,9 +19,9 @@ parts can be missed; the bands bound that chance.
 Defined results: a null or wordless text has no shingle, is similar to nothing
 and is a class of its own; equal texts and repeated rows share a class and are
 links of each other; rows with a null id take the class of their set if another
-row names it, else null; an id that comes with several texts stands for the set of
-smallest digest, and its other texts are not compared; an empty table gives an empty table; extra input
-columns are ignored.
+row names it, else null; an id that comes with several texts stands in the class of
+each, and may so name several classes; an empty table gives an empty table; extra
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from febrile.llm.common import WordHash, mix64, read_table, text_or_empty, written
 from febrile.llm.components import components
+from febrile.llm.hilbert_shards import ranked
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def _signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, n (shingles), d1 and d2 (digest of the set), bands (hashes) per row of ``docs``."""
+    """doc_id, h (hash of the text), n (shingles), d1 and d2 (digest of the set), bands (hashes) per row of ``docs``."""
     bands, rows = choose_bands(params)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +121,11 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
                 else:
                     found.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "bands"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                 pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "d1", "d2", "bands"])
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
-    return rows_in.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"), F.xxhash64(text_or_empty()).alias("h"))
+    return rows_in.mapInArrow(sign, "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
@@ -132,10 +133,10 @@ def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
 
     ``two``: the pair is of two blocks, of which one may be empty.
     """
-    group = group.drop_duplicates("rep")  # repeated rows
+    group = group.drop_duplicates("key")  # repeated rows
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
     sizes, copies = group["n"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)
-    names, block = group["rep"].to_numpy(np.int64), group["block"].to_numpy(np.int64)
+    names, block = group["key"].to_numpy(np.int64), group["block"].to_numpy(np.int64)
     count = len(sets)
     owner = np.repeat(np.arange(count), sizes)
     _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -176,7 +177,7 @@ def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
         while root[i] != i:
             i = root[i]
         tops.append(names[i])
-    return pd.DataFrame({"rep": names[some], "classes": linked[some].sum(1), "docs": linked[some] @ copies, "top": np.array(tops, np.int64)})
+    return pd.DataFrame({"key": names[some], "classes": linked[some].sum(1), "docs": linked[some] @ copies, "top": np.array(tops, np.int64)})
 
 
 def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -184,23 +185,28 @@ def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     (other rows at or over the threshold) and n_class_links (other sets), one row per row of ``docs`` (doc_id, text)."""
     signed = written(signatures(docs, params), "join-signatures")
     classes = signed.filter("d1 is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.filter("rep is not null").groupBy("rep").agg(F.min(F.struct("d1", "d2", "n", "copies")).alias("c"))
-    classes = written(classes.select("rep", "c.*"), "join-classes")
+    classes = written(classes.filter("rep is not null"), "join-classes")
+    # a class goes by its smallest id; where one id is that of several classes, by its place in the order of (id, digest)
+    shared = classes.groupBy("rep").count().filter("count > 1").limit(1).count() > 0
+    if shared:
+        classes = ranked(classes, ["rep", "d1", "d2"], "join-names").withColumnRenamed("rank", "key").drop("total")
+    else:
+        classes = classes.withColumn("key", F.col("rep"))
 
     # candidates: a bucket links each of its classes to its smallest one
     firsts = signed.select("doc_id", "d1", "d2", "bands").join(
-        classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"])
-    rows = written(firsts.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")), "join-bands")
-    buckets = rows.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    edges = rows.join(buckets, "bucket").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "key"), ["doc_id", "d1", "d2"]).dropDuplicates(["key"])
+    rows = written(firsts.select("key", F.explode("bands").alias("bucket")), "join-bands")
+    buckets = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    edges = rows.join(buckets, "bucket").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     parts = components(edges, "join-candidates")
 
-    members = parts.select(F.col("node").alias("rep"), F.col("root").alias("part")).join(classes, "rep")
+    members = parts.select(F.col("node").alias("key"), F.col("root").alias("part")).join(classes, "key")
     sizes = members.groupBy("part").agg(F.greatest(
         F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n") / params.block_shingles)).cast("int").alias("blocks"))
-    members = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(params.seed)), F.col("blocks")).cast("int"))
+    members = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("key", F.lit(params.seed)), F.col("blocks")).cast("int"))
 
-    names = ["rep", "part", "d1", "n", "copies", "blocks", "block"]
+    names = ["key", "part", "d1", "n", "copies", "blocks", "block"]
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(params.words)
@@ -212,18 +218,26 @@ def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
             ).filter(pa.array(own, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("t"))
-    held = members.select(*names).join(texts, "rep").mapInArrow(
-        with_sets, "rep long, part long, d1 long, n long, copies long, blocks int, block int, shingles binary")
+    on = ["rep"]
+    if shared:  # each class meets its own text only, not all texts of its id
+        of_text = signed.groupBy(F.col("doc_id").alias("rep"), "d1", "d2").agg(F.min("h").alias("h"))
+        members, texts, on = members.join(of_text, ["rep", "d1", "d2"]), texts.withColumn("h", F.xxhash64("t")), ["rep", "h"]
+    held = members.select(*names, *on).join(texts, on).select(*names, "t").mapInArrow(
+        with_sets, "key long, part long, d1 long, n long, copies long, blocks int, block int, shingles binary")
     work = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("rep", "part", "n", "copies", "block", "shingles",
+    work = work.select("key", "part", "n", "copies", "block", "shingles",
                        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = work.groupBy("part", "i", "j").applyInPandas(
-        lambda key, g: _verify(g, params.threshold_pct, key[1] != key[2]), "rep long, classes long, docs long, top long")
+        lambda key, g: _verify(g, params.threshold_pct, key[1] != key[2]), "key long, classes long, docs long, top long")
     links = written(links, "join-links")
-    counts = links.groupBy("rep").agg(F.sum("classes").alias("classes"), F.sum("docs").alias("docs"))
-    tops = components(links.select(F.col("rep").alias("a"), F.col("top").alias("b")), "join-tops")
-    of_class = classes.join(counts, "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "d1", "d2", "rep", F.coalesce("root", "rep").alias("class_id"), F.coalesce("classes", F.lit(0)).alias("classes"),
+    counts = links.groupBy("key").agg(F.sum("classes").alias("classes"), F.sum("docs").alias("docs"))
+    tops = components(links.select(F.col("key").alias("a"), F.col("top").alias("b")), "join-tops")
+    if shared:  # the smallest key of a group has its smallest id
+        tops = tops.join(classes.select(F.col("key").alias("root"), F.col("rep").alias("top")), "root")
+    else:
+        tops = tops.withColumnRenamed("root", "top")
+    of_class = classes.join(counts, "key", "left").join(tops.withColumnRenamed("node", "key"), "key", "left").select(
+        "d1", "d2", "rep", F.coalesce("top", "rep").alias("class_id"), F.coalesce("classes", F.lit(0)).alias("classes"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("set_id"),

@@ -103,6 +103,16 @@ def test_an_id_with_several_texts_does_not_fail(spark):
     assert ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
 
 
+def test_an_id_with_several_texts_stands_in_the_class_of_each(spark):
+    a, b, c = (" ".join(cases.words(k, 60, 9000)) for k in (31, 32, 33))
+    near = " ".join(b.split()[:-2] + ["other", "end"])
+    rows = sorted([(5, a), (5, b), (7, a), (9, b), (12, b), (20, near), (21, c), (21, "short"), (22, c), (5, a)])
+    want = expected(list(enumerate(t for _, t in rows)))
+    ids = [i for i, _ in rows]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, ids[want[k][0]], ids[want[k][1]], *want[k][2:]) for k, i in enumerate(ids))
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(30)] + [(100, 101 + k) for k in range(20)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]
