@@ -107,5 +107,46 @@ FROM (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_
 """
 
 
+OP11 = """
+WITH e AS (
+  SELECT DISTINCT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT a, b AS positive_id, score AS p FROM (
+        SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, positive_id, p, b, score, row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, b) AS r
+      FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * p <= 100 * score AND 100 * score <= 100 * p)
+SELECT a AS anchor_id, positive_id, CAST(r AS INTEGER) AS rank, b AS negative_id, p AS positive_score, score AS negative_score
+FROM n WHERE r <= 5
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+z AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+x AS (SELECT z.lang, z.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (z.total + 5 * v.v)::HUGEINT AS p,
+             1 + (1000000000 * (k.n + 5)::HUGEINT) // (v.total + 5 * v.v)::HUGEINT AS q
+      FROM z JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = z.lang AND c.source = z.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN x y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+items AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM x WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM items)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_temperature": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_clean": op9_sql()}
+    return {"op2_mix_temperature": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_clean": op9_sql(),
+            "op11_hard_negatives": OP11, "op13_source_divergence": OP13}
