@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from febrile.llm.common import WordHash, mix64, read_table, text_or_empty, written
-from febrile.llm.components import components
+from febrile.llm.components import bucket_components, components
 from febrile.llm.hilbert_shards import ranked
 
 
@@ -47,7 +47,7 @@ class JoinParams:
     threshold_pct: int = 80      # Jaccard, in hundredths: compared in whole numbers
     recall: float = 0.9999       # of pairs at the threshold, by the bands alone
     most_hashes: int = 200       # MinHash values of a document, at most
-    block_docs: int = 128        # classes of a block
+    block_docs: int = 512        # classes of a block
     block_shingles: int = 400_000  # shingles of a block, about
     seed: int = 20
 
@@ -193,13 +193,11 @@ def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     else:
         classes = classes.withColumn("key", F.col("rep"))
 
-    # candidates: a bucket links each of its classes to its smallest one
+    # candidates: the classes of a bucket are connected
     firsts = signed.select("doc_id", "d1", "d2", "bands").join(
         classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "key"), ["doc_id", "d1", "d2"]).dropDuplicates(["key"])
     rows = written(firsts.select("key", F.explode("bands").alias("bucket")), "join-bands")
-    buckets = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    edges = rows.join(buckets, "bucket").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    parts = components(edges, "join-candidates")
+    parts = bucket_components(rows.withColumnRenamed("key", "node"), "join-candidates")
 
     members = parts.select(F.col("node").alias("key"), F.col("root").alias("part")).join(classes, "key")
     sizes = members.groupBy("part").agg(F.greatest(
