@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a column of texts, about ``chars`` bytes at a time, so that a batch is never held twice."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    first = 0
+    while first < len(texts):
+        held = sizes[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(sizes, held + chars, "right")))
+        yield first, texts.slice(first, end - first).to_pylist()
+        first = end
+
+
 class WordHash(dict):
     """Word -> 64-bit hash, remembered up to ``limit`` words."""
 

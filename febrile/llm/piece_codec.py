@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, text_or_empty
+from febrile.llm.common import read_table, text_or_empty, text_slices
 
 BLANK = "▁"
 #: Piece types and the model type of the public file format.
@@ -297,17 +297,6 @@ class Encoder:
         return np.insert(ids, bounds, self.model.end_id), np.diff(bounds, prepend=0) + 1
 
 
-def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of a column of texts, a slice at a time."""
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(texts), np.int64))
-    first = 0
-    while first < len(texts):
-        held = sizes[first - 1] if first else 0
-        end = max(first + 1, int(np.searchsorted(sizes, held + chars, "right")))
-        yield first, texts.slice(first, end - first).to_pylist()
-        first = end
-
-
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids (with the end id) and decoded (the library's ``decode`` of the ids) of every row of ``docs`` (doc_id, text)."""
     path = model or model_file()
@@ -318,7 +307,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             if encoder is None:
                 encoder, decoder = Encoder(PieceModel(path)), sentencepiece.SentencePieceProcessor(model_file=path)
-            for first, texts in slices(batch.column(1)):
+            for first, texts in text_slices(batch.column(1), SLICE_CHARS):
                 ids, counts = encoder.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 text = [decoder.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -25,6 +25,7 @@ gives an empty table; extra input columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, shuffle_width, text_or_empty, written
+from febrile.llm.common import read_table, shuffle_width, text_or_empty, text_slices, written
 from febrile.session import scratch_path
 
 END_ID = 1
@@ -50,8 +51,10 @@ CHECKSUM_FLAG = 0x80
 FRAME_IDS, LONGEST_FRAME_IDS = 1 << 16, 1 << 20
 
 
+#: How the names of unfinished files begin.
+TRIAL = "_trial-"
 #: Characters that are encoded at a time, about.
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 500_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -67,16 +70,26 @@ class Encoder:
     of the signs at their ends, one after the other.  New plain words are
     encoded many at a time as one text: each is one piece, whose last id carries
     the vocabulary's word end; should the ends not add up, they are encoded one
-    by one.
+    by one.  Vocabularies whose settings differ are left to the library, text by text.
     """
 
-    LIMIT = 4_000_000  # remembered ids, at most
+    #: Bytes of remembered words and ids, about, and what one word takes beside its characters.
+    LIMIT, PER_WORD = 64 << 20, 150
+    #: Words that the library is given at a time; it answers with an object of about a kilobyte for each text.
+    AT_A_TIME = 2_000
+    #: The settings under which words can be encoded apart (see the vocabulary's file).
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Signs that may end a word; an apostrophe may not, because it can open a piece of its own.
     SIGNS = ".,;:!?*#$%&|)]}\""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        split = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_words = (settings["model"].get("end_of_word_suffix") == "</w>" and split.get("pattern") == {"Regex": self.SPLIT}
+                         and (settings["normalizer"] or {}).get("normalizers") == self.NORMALIZERS)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -88,6 +101,7 @@ class Encoder:
         self.stem, self.sign = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.parts: dict[str, int] = {"": 0}
         self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = 0
 
     def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.at)
@@ -95,16 +109,25 @@ class Encoder:
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.len = np.concatenate([self.len, sizes])
         self.ids = np.concatenate([self.ids, ids])
+        self.held += sum(map(len, parts)) + self.PER_WORD * len(parts) + 4 * len(ids)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each text, and their numbers."""
+        ids, sizes = [], []
+        for k in range(0, len(texts), self.AT_A_TIME):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[k:k + self.AT_A_TIME], add_special_tokens=False)]
+            ids.append(np.array([i for x in found for i in x], np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _one_by_one(self, parts: list[str]) -> None:
         if parts:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-            self._keep(parts, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            self._keep(parts, *self._each(parts))
 
     def _plain(self, words: list[str]) -> None:
         ids, sizes, odd = [], [], []
-        for k in range(0, len(words), 2_000):
-            some = words[k:k + 2_000]
+        for k in range(0, len(words), self.AT_A_TIME):
+            some = words[k:k + self.AT_A_TIME]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[got]) + 1
             if len(ends) == len(some) and ends[-1] == len(got):
@@ -137,6 +160,7 @@ class Encoder:
                 signs.append("")
         self._plain(list(plain - self.parts.keys()))
         self._one_by_one(list(other - self.parts.keys()))
+        self.held += sum(map(len, words)) + self.PER_WORD * len(words)
         first = len(self.stem)
         self.rows.update(zip(words, range(first, first + len(words)), strict=True))
         of = lambda parts: np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
@@ -144,7 +168,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and their numbers."""
-        if len(self.ids) > self.LIMIT or len(self.rows) > self.LIMIT // 4:
+        if not self.by_words:
+            ids, counts = self._each(texts)
+            return np.insert(ids, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
+        if self.held > self.LIMIT:
             self._forget()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = [w for s in split for w in s]
@@ -288,21 +315,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
             if writer is None:
                 encoder = Encoder(tokenizer)
                 final = f"{path}/part-{task.partitionId():06d}.ids.zst"
-                trial = f"{path}/_trial-{task.partitionId():06d}-{task.taskAttemptId()}"
+                trial = f"{path}/{TRIAL}{task.partitionId():06d}-{task.taskAttemptId()}"
                 stream = fs.open_output_stream(trial, compression=None)
                 writer = FrameWriter(stream)
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, held = at + 1, len(texts[at])
-                while end < len(texts) and held < ENCODE_CHARS:
-                    held += len(texts[end])
-                    end += 1
-                ids, counts = encoder.encode(texts[at:end])
+            names = batch.column(0).to_pylist()
+            for first, texts in text_slices(batch.column(1), ENCODE_CHARS):
+                ids, counts = encoder.encode(texts)
                 ends = np.cumsum(counts)
-                for name, s, e in zip(names[at:end], ends - counts, ends, strict=True):
+                for name, s, e in zip(names[first:first + len(texts)], ends - counts, ends, strict=True):
                     writer.add(name, ids[s:e])
-                at = end
         if writer is None:
             return
         writer.close()
@@ -317,7 +338,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
     rows = rows.repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"), "t")
-    return written(rows.mapInArrow(write, "part int, path string, n_docs long, n_ids long, n_bytes long"), "token-files")
+    files = written(rows.mapInArrow(write, "part int, path string, n_docs long, n_ids long, n_bytes long"), "token-files")
+    for left in fs.get_file_info(pafs.FileSelector(path)):  # by attempts that failed or lost their executor
+        if left.base_name.startswith(TRIAL):
+            fs.delete_file(left.path)
+    return files
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:

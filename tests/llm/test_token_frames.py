@@ -35,6 +35,54 @@ def test_ids_of_special_strings_and_whole_documents(spark):
     assert ids.tolist() == [i for t in texts for i in encoded(t)] and counts.sum() == len(ids)
 
 
+def test_other_vocabularies_are_left_to_the_library():
+    path = tokenizer_file("byte_bpe_50k.json")
+    other, real = Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello, World!  two  blanks", "", "it's\n\n", "x" * 300]
+    ids, counts = other.encode(texts)
+    want = [real.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert not other.by_words and ENCODER.by_words
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_a_small_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(Encoder, "LIMIT", 3_000)
+    monkeypatch.setattr(Encoder, "AT_A_TIME", 7)
+    own = Encoder(tokenizer_file())
+    for k in range(6):
+        texts = [" ".join(f"Word{k}x{i % 50}, na{chr(97 + i % 26)}ve." for i in range(200)), "plain words only"]
+        ids, counts = own.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in encoded(t)] and own.held < 60_000
+
+
+def test_files_of_failed_attempts_are_removed(spark, scratch):
+    import pathlib
+
+    from febrile.llm import token_frames as T
+    marker = os.path.join(scratch, "failed-once")
+    fast, folder = T.text_slices, os.path.join(scratch, "out")
+
+    def breaks_once(column, chars):
+        yield from fast(column, chars)
+        if not os.path.exists(marker):
+            open(marker, "w").close()
+            raise OSError("a lost disk")
+
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
+    T.text_slices = breaks_once
+    try:
+        # a local master does not try a task again: the caller does
+        with pytest.raises(Exception, match="a lost disk"):
+            write_token_files(docs, folder, tokenizer_file()).count()
+        assert any(p.name.startswith(T.TRIAL) for p in pathlib.Path(folder).iterdir())
+        files = write_token_files(docs, folder, tokenizer_file())
+    finally:
+        T.text_slices = fast
+    assert not any(p.name.startswith(T.TRIAL) for p in pathlib.Path(folder).iterdir())
+    got = {r["doc_id"]: r["ids_crc32"] for r in read_token_files(files, folder).collect()}
+    assert got == {i: zlib.crc32(np.array(encoded(f"text number {i}"), "<u4").tobytes()) for i in range(40)}
+
+
 def test_round_trip_of_a_file():
     rnd = np.random.default_rng(0)
     docs = [(i if i else None, rnd.integers(0, 49_000, n).astype(np.uint32)) for i, n in enumerate([3, 70_000, 1, 40_000, 40_000, 2_500_000, 5])]
