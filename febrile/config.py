@@ -92,12 +92,14 @@ class JobConfig:
     test_size: float = 0.2
     random_state: int = 42
     threshold: float = STAGE1_THRESHOLD
-    # labelled rows that fit the models, at most about (hash sample, same share of every class);
-    # bounds the category lists and the trees that the driver assembles
+    # training rows that fit the models, at most about: a hash sample, weighted; small classes keep this many rows.
+    # Bounds the trees that the driver assembles; splits, statistics, evaluation and scoring cover all rows
     max_fit_rows: int = 1_000_000
+    min_fit_rows_per_class: int = 10_000
     # models
     use_boosting: bool = False
     lr_max_iter: int = 200
+    lr_tolerance: float = 1e-12
     rf_num_trees: int = 400
     rf_max_depth: int = 30
     gbt_rounds: int = 250

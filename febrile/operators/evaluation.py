@@ -33,9 +33,17 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
               .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
 
 
+def ordered_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``score_counts`` with the counts at smaller scores and in total: what the curve and the area are made of."""
+    return exclusive_prefix_sums(score_counts(df, label, score), [], ["score"], ["pos", "neg"])
+
+
 def roc_curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score: predict 1 when score >= threshold."""
-    pref = exclusive_prefix_sums(score_counts(df, label, score), [], ["score"], ["pos", "neg"])
+    return points_of(ordered_counts(df, label, score))
+
+
+def points_of(pref: DataFrame) -> DataFrame:
     return pref.select(F.col("score").alias("threshold"),
                        _ratio(F.col("neg_total") - F.col("neg_before"), F.col("neg_total")).alias("fpr"),
                        _ratio(F.col("pos_total") - F.col("pos_before"), F.col("pos_total")).alias("tpr"))
@@ -47,7 +55,10 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Mis-ordered pairs: for each negative at score s, positives strictly below
     s count 1 and positives at s count 1/2.
     """
-    pref = exclusive_prefix_sums(score_counts(df, label, score), [], ["score"], ["pos", "neg"])
+    return area_of(ordered_counts(df, label, score))
+
+
+def area_of(pref: DataFrame) -> DataFrame:
     neg, pos_b, pos = (F.col(c).cast("double") for c in ("neg", "pos_before", "pos"))
     agg = pref.agg(F.sum(neg * pos_b + neg * pos * F.lit(0.5)).alias("bad"),
                    F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))

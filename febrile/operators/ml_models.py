@@ -17,7 +17,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from febrile import config as C
@@ -25,7 +26,11 @@ from febrile.config import JobConfig
 from febrile.operators.ml_prep import FEATURES, fit_preprocessor
 
 LABEL = "__y"
+WEIGHT = "__w"
 PROBS = "class_probs"
+INTERCEPT = "(intercept)"
+#: A gradient counts as zero up to this share of the largest that it could be.
+GRADIENT_SHARE = 1e-6
 
 
 @dataclass
@@ -34,29 +39,96 @@ class TypeModel:
     classes: list[str]
     name: str
 
+    def save(self, path: str) -> None:
+        """One folder that ``load`` makes the whole model of: the pipeline, its kind and its class names in order."""
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.name, self.classes)], "name string, classes array<string>").write.mode("overwrite").json(f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TypeModel:
+        row = spark.read.schema("name string, classes array<string>").json(f"{path}/classes").first()
+        return cls(PipelineModel.load(f"{path}/pipeline"), list(row["classes"]), row["name"])
+
+
+def fit_sample(train: DataFrame, label: str, cfg: JobConfig) -> DataFrame:
+    """The rows a model is fitted on, with ``__w``, the training rows that each stands for.
+
+    Every row up to ``max_fit_rows``.  Beyond, each class has its own share by id
+    hash, from one grouped count: the common share, but at least
+    ``min_fit_rows_per_class`` rows (all rows of a smaller class).  The weights give
+    the classes their proportions back.
+    """
+    sizes = {r["c"]: r["count"] for r in train.groupBy(F.col(label).cast("string").alias("c")).count().collect()}
+    common = cfg.max_fit_rows / max(sum(sizes.values()), 1)
+    if common >= 1:
+        return train.withColumn(WEIGHT, F.lit(1.0))
+    shares = [(c, min(1.0, max(common, cfg.min_fit_rows_per_class / n))) for c, n in sizes.items()]
+    table = F.broadcast(train.sparkSession.createDataFrame(shares, "__c string, __share double"))  # a row per class
+    at = F.pmod(F.xxhash64(F.lit(cfg.random_state + 1), F.col(cfg.order_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = train.withColumn("__c", F.col(label).cast("string")).join(table, "__c")
+    return rows.filter(at < F.col("__share")).select(*train.columns, (F.lit(1.0) / F.col("__share")).alias(WEIGHT))
+
 
 def train_outbreak_model(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> PipelineModel:
+    """Preparation statistics come from all training rows, the coefficients from ``fit_sample``."""
     prep = fit_preprocessor(train, num_cols, cat_cols)
-    data = prep.transform(train).withColumn(LABEL, F.col(cfg.label_outbreak).cast("double"))
-    size = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(LABEL).alias("k")).first()
-    n = size["n"]
+    data = prep.transform(fit_sample(train, cfg.label_outbreak, cfg)).withColumn(LABEL, F.col(cfg.label_outbreak).cast("double"))
+    data = data.select(FEATURES, LABEL, WEIGHT)
+    size = data.agg(F.sum(WEIGHT).alias("n"), F.count_distinct(LABEL).alias("k")).first()
     if size["k"] < 2:
-        raise ValueError("Stage 1 needs samples of at least 2 classes in the training data.")
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=cfg.lr_max_iter, tol=1e-4,
-                            regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            family="binomial")
+        raise ValueError("the outbreak model needs training rows with and without an outbreak")
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=cfg.lr_max_iter, tol=cfg.lr_tolerance,
+                            regParam=1.0 / size["n"], elasticNetParam=0.0, standardization=False, family="binomial")
     return PipelineModel(stages=[*prep.stages, lr.fit(data)])
 
 
+def coefficients(model: PipelineModel, sample: DataFrame) -> list[tuple[str, float]]:
+    """(feature, coefficient) of the outbreak model, the intercept last."""
+    lr = model.stages[-1]
+    names = feature_names(PipelineModel(stages=model.stages[:-1]).transform(sample.limit(0)))
+    return [*zip(names, lr.coefficients.toArray().tolist(), strict=True), (INTERCEPT, float(lr.intercept))]
+
+
+def gradient_certificate(model: PipelineModel, train: DataFrame, cfg: JobConfig) -> DataFrame:
+    """feature, coefficient, gradient, bound: how close the outbreak model is to the optimum of its objective.
+
+    The objective is the (weighted) log loss plus half the squared coefficients;
+    its gradient by a coefficient is sum(w (p - y) x) plus the coefficient, and
+    sum(w (p - y)) for the intercept, which is not penalised.  Both sums are one
+    aggregate over the rows of the fit; at the optimum all are zero.  ``bound`` is
+    ``GRADIENT_SHARE`` of sum(w |x|), the largest that the gradient could be.
+    """
+    rows = fit_sample(train, cfg.label_outbreak, cfg)
+    scored = score_outbreak(model, rows, "__p").select(
+        FEATURES, (F.col("__p") * F.col(WEIGHT)).alias("wp"), (F.col(cfg.label_outbreak).cast("double") * F.col(WEIGHT)).alias("wy"), WEIGHT)
+    total = Summarizer.metrics("sum", "normL1")
+    sums = scored.agg(total.summary(F.col(FEATURES), F.col("wp")).alias("p"), total.summary(F.col(FEATURES), F.col("wy")).alias("y"),
+                      total.summary(F.col(FEATURES), F.col(WEIGHT)).alias("all"), F.sum("wp").alias("sp"), F.sum("wy").alias("sy"),
+                      F.sum(WEIGHT).alias("n")).first()
+    own = coefficients(model, train)
+    size = sums["all"]["normL1"].toArray().tolist()
+    out = [(name, w, float(p - y + w), GRADIENT_SHARE * max(s, 1.0)) for (name, w), p, y, s in
+           zip(own[:-1], sums["p"]["sum"].toArray(), sums["y"]["sum"].toArray(), size, strict=True)]
+    out.append((INTERCEPT, own[-1][1], float(sums["sp"] - sums["sy"]), GRADIENT_SHARE * sums["n"]))
+    return train.sparkSession.createDataFrame(out, "feature string, coefficient double, gradient double, bound double")
+
+
 def _label_indexer(train: DataFrame, label: str):
     return StringIndexer(inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc").fit(train)
 
 
-def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
+def _type_data(train: DataFrame, num_cols, cat_cols, cfg: JobConfig):
+    """Preparation and class order from all training rows; features, label and weight of ``fit_sample``."""
     prep = fit_preprocessor(train, num_cols, cat_cols)
     idx = _label_indexer(train, cfg.label_type)
-    data = idx.transform(prep.transform(train))
-    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=cfg.rf_num_trees,
+    data = idx.transform(prep.transform(fit_sample(train, cfg.label_type, cfg)))
+    return prep, idx, data.select(FEATURES, LABEL, WEIGHT)
+
+
+def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
+    prep, idx, data = _type_data(train, num_cols, cat_cols, cfg)
+    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=cfg.rf_num_trees,
                                 maxDepth=cfg.rf_max_depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt",
                                 impurity="gini", bootstrap=True, maxBins=128, seed=cfg.random_state,
                                 maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
@@ -67,12 +139,11 @@ def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> T
 
 def train_type_boosted(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
     """One boosted-tree model per class (one-vs-rest); probabilities normalised."""
-    prep = fit_preprocessor(train, num_cols, cat_cols)
-    idx = _label_indexer(train, cfg.label_type)
-    data = idx.transform(prep.transform(train)).cache()
+    prep, idx, data = _type_data(train, num_cols, cat_cols, cfg)
+    data = data.cache()
 
     def fit_class(k: int):
-        gbt = GBTClassifier(featuresCol=FEATURES, labelCol=f"__y{k}", maxIter=cfg.gbt_rounds,
+        gbt = GBTClassifier(featuresCol=FEATURES, labelCol=f"__y{k}", weightCol=WEIGHT, maxIter=cfg.gbt_rounds,
                             maxDepth=cfg.gbt_max_depth, stepSize=cfg.gbt_step, subsamplingRate=cfg.gbt_subsample,
                             featureSubsetStrategy=str(cfg.gbt_subsample), seed=cfg.random_state,
                             predictionCol=f"__pred{k}")

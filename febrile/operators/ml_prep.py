@@ -6,9 +6,8 @@
   per training category in alphabetical order; an unseen category encodes as
   all zeros.
 
-The statistics are computed by distributed aggregates: the exact median uses
-counts per distinct value and a range-partitioned prefix sum (no global sort
-into one task, no value buffer per feature).  The fitted statistics are
+The statistics are computed by distributed aggregates: the exact median is
+selected by brackets (no sort, no shuffle of values).  The fitted statistics are
 written into a ``SQLTransformer`` statement, so the preparation is an
 ordinary, saveable ML ``PipelineModel`` stage followed by ``StringIndexer``,
 ``OneHotEncoder`` and ``VectorAssembler``.
@@ -17,16 +16,13 @@ ordinary, saveable ML ``PipelineModel`` stage followed by ``StringIndexer``,
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from febrile.operators.prefix import exclusive_prefix_sums
-from febrile.session import ensure_checkpoint_dir
-
 FEATURES = "features"
 
 
@@ -40,20 +36,91 @@ def _long(df: DataFrame, cols: list[str], value) -> DataFrame:
     return df.select(F.explode(pairs).alias("x")).select("x.*").filter(F.col("value").isNotNull())
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, median) with the two middle values averaged for even counts."""
-    counts = _long(df, cols, _num).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    pref = exclusive_prefix_sums(counts, ["feature"], ["value"], ["cnt"])
-    n = F.col("cnt_total")
-    k_lo, k_hi = F.floor((n - 1) / 2), F.floor(n / 2)
+#: Values of a feature that are fetched and sorted at the end of the median search, at most.
+FETCHED = 10_000
+
+
+@dataclass
+class _Search:
+    """Where the middle values (by rank, from 0) of one feature can still lie."""
+
+    ranks: tuple[int, int]
+    low: float | None = None     # open interval (no end: None), with the number of values at or below its lower end
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    found: dict = field(default_factory=dict)
 
-    def holds(k):
-        return (F.col("cnt_before") <= k) & (k < F.col("cnt_before") + F.col("cnt"))
+    def open_ranks(self) -> list[int]:
+        return [k for k in self.ranks if k not in self.found]
 
-    return (pref.groupBy("feature")
-                .agg(F.max(F.when(holds(k_lo), F.col("value"))).alias("lo"),
-                     F.max(F.when(holds(k_hi), F.col("value"))).alias("hi"))
-                .select("feature", ((F.col("lo") + F.col("hi")) / F.lit(2.0)).alias("median")))
+    def narrow(self, lo: float, hi: float, counts: list[int]) -> None:
+        """Take the counts of values in (low, lo), at lo, in (lo, hi), at hi and in (hi, high)."""
+        edges = [(self.low, lo), (lo, lo), (lo, hi), (hi, hi), (hi, self.high)]
+        places, upto = [], self.below
+        for (start, end), n in zip(edges, counts, strict=True):
+            places += [(start, end, upto, n, k) for k in self.open_ranks() if upto <= k < upto + n]
+            upto += n
+        for start, end, _, _, k in places:
+            if start is not None and start == end:
+                self.found[k] = start
+        rest = [p for p in places if p[0] is None or p[0] != p[1]]
+        if rest:
+            self.low, self.below = rest[0][0], rest[0][2]
+            self.high = rest[-1][1]
+            self.inside = rest[-1][2] + rest[-1][3] - self.below
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, median) with the two middle values averaged for even counts.
+
+    Selection by bracket: approximate percentiles close to the middle bracket
+    it, one aggregate counts the values around and at the ends of the bracket, and
+    the search goes on inside it until at most ``FETCHED`` values are left, which
+    are fetched and sorted.  Values that repeat often become ends of a bracket and
+    are settled by their count, so every pass shrinks the interval.  All features
+    share the passes; nothing is shuffled but one row per task.
+    """
+    value = {c: _num(c) for c in cols}
+    counts = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else {}
+    searches: dict[str, _Search] = {}
+    for i, c in enumerate(cols):
+        n = counts[f"n{i}"]
+        if n:
+            searches[c] = _Search(((n - 1) // 2, n // 2), inside=n)
+
+    def within(c: str):
+        s = searches[c]
+        fits = F.lit(True) if s.low is None else value[c] > s.low
+        return F.when(fits if s.high is None else fits & (value[c] < s.high), value[c])
+
+    while True:
+        wide = [c for c, s in searches.items() if s.open_ranks() and s.inside > FETCHED]
+        if not wide:
+            break
+        near = []
+        for i, c in enumerate(wide):
+            s = searches[c]
+            at = [(k - s.below + 0.5) / s.inside for k in s.ranks]
+            shares = [max(min(at) - 2e-4, 0.0), min(max(at) + 2e-4, 1.0)]
+            near.append(F.percentile_approx(within(c), shares, 10_000).alias(f"b{i}"))
+        brackets = df.agg(*near).first()
+        around = []
+        for i, c in enumerate(wide):
+            v, (lo, hi) = within(c), brackets[f"b{i}"]
+            parts = [v < lo, v == lo, (v > lo) & (v < hi), (v == hi) & F.lit(hi != lo), v > hi]
+            around += [F.count_if(p).alias(f"c{i}_{j}") for j, p in enumerate(parts)]
+        found = df.agg(*around).first()
+        for i, c in enumerate(wide):
+            searches[c].narrow(*brackets[f"b{i}"], [found[f"c{i}_{j}"] for j in range(5)])
+    last = [c for c, s in searches.items() if s.open_ranks()]
+    if last:
+        held = df.agg(*[F.sort_array(F.collect_list(within(c))).alias(f"v{i}") for i, c in enumerate(last)]).first()
+        for i, c in enumerate(last):
+            s = searches[c]
+            s.found |= {k: held[f"v{i}"][k - s.below] for k in s.open_ranks()}
+    rows = [(c, (s.found[s.ranks[0]] + s.found[s.ranks[1]]) / 2.0) for c, s in searches.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, median double")
 
 
 def numeric_moments(df: DataFrame, cols: list[str], medians: dict[str, float]) -> DataFrame:
@@ -151,7 +218,31 @@ def one_hot_index(df: DataFrame, cat: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- split
-HASH_BUCKETS = 1 << 20   # a bucket holds ~ n_class / 2^20 rows
+#: Bits of the ranking hash, bits that one pass looks at, and rows of a class that are ranked at the end, at most.
+HASH_BITS, PASS_BITS, RANKED = 60, 10, 50_000
+
+
+def split_hash(seed: int, id_col: str):
+    """60 bits of the md5 of the seed and the id: the same number in every engine."""
+    text = F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def _quotas(sizes: dict, test_size: float) -> dict:
+    """Training rows of each class: largest remainders of its share of n_train, ties in class order."""
+    n = sum(sizes.values())
+    if min(sizes.values()) < 2:
+        raise ValueError("a class with a single row cannot be in both parts of the split")
+    n_test = math.ceil(test_size * n)
+    n_train = n - n_test
+    if min(n_test, n_train) < len(sizes):
+        raise ValueError(f"{len(sizes)} classes do not fit into parts of {n_train} and {n_test} rows")
+    exact = {c: m / n * n_train for c, m in sizes.items()}
+    quota = {c: math.floor(x) for c, x in exact.items()}
+    lacking = n_train - sum(quota.values())
+    for c in sorted(exact, key=lambda c: (quota[c] - exact[c], c))[:lacking]:
+        quota[c] += 1
+    return quota
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
@@ -160,45 +251,49 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
 
     Test size is ceil(test_size x n); train quotas per class are the largest
     remainders of (n_class / n) x n_train (ties -> class order).  A row's rank
-    is its (seeded hash of the id, id).  Counts per (class, hash bucket) locate
-    the bucket where each class's quota ends; the rows of those buckets alone
-    are ranked, which gives each class its last training rank.  One join with
-    that table (a row per class) then labels every row in a single pass.
+    is its (seeded hash of the id, id); the last training row of each class is
+    found by radix selection: counts per (class, leading hash bits) name the
+    bucket where the quota ends, only that bucket is counted again by its next
+    bits, and ranked once it holds at most ``RANKED`` rows.  The driver holds 1,024
+    counts and one last row for each class, which a classifier lists anyway.
     """
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    lab = F.col(label).cast("string")
-    keys = df.select(lab.alias("__c"), h.alias("__h"), F.col(id_col).alias("__id"))
-    keys = keys.withColumn("__b", F.pmod(F.col("__h"), F.lit(HASH_BUCKETS)))
-    ensure_checkpoint_dir(df.sparkSession)
-    # at most classes x buckets rows; materialised once, read by every later step
-    per_bucket = keys.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
-    classes = per_bucket.groupBy("__c").agg(F.sum("cnt").alias("n_c"))
-    size = classes.agg(F.coalesce(F.sum("n_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"),
-                       F.min("n_c").alias("least")).first()
-    n, n_classes = int(size["n"]), int(size["k"])
-    if n == 0:
+    spark = df.sparkSession
+    h = split_hash(seed, id_col)
+    keys = df.select(F.col(label).cast("string").alias("__c"), h.alias("__h"), F.col(id_col).alias("__id")).filter("__c is not null")
+    buckets = lambda rows, shift: rows.groupBy("__c", F.shiftright("__h", shift).alias("__b")).count().collect()
+
+    def table(rows: dict, columns: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(c, *r) for c, r in rows.items()], "__c string, " + columns))
+
+    shift = HASH_BITS - PASS_BITS
+    counted = buckets(keys, shift)
+    sizes: dict = {}
+    for r in counted:
+        sizes[r["__c"]] = sizes.get(r["__c"], 0) + r["count"]
+    if not sizes:
         return df.withColumn("split", F.lit(None).cast("string"))
-    if size["least"] < 2:
-        raise ValueError("a class with a single row cannot be in both parts of the split")
-    n_test = math.ceil(test_size * n)
-    n_train = n - n_test
-    if min(n_test, n_train) < n_classes:
-        raise ValueError(f"{n_classes} classes do not fit into parts of {n_train} and {n_test} rows")
-    exact = F.col("n_c").cast("double") / F.lit(float(n)) * F.lit(float(n_train))
-    fl = F.floor(exact)
-    q = classes.select("__c", "n_c", fl.alias("fl"), (fl - exact).alias("lack"), F.lit(1).alias("one"))
-    # the classes' order by remainder, as a prefix sum over range partitions
-    placed = exclusive_prefix_sums(q, [], ["lack", "__c"], ["one", "fl"])
-    quotas = placed.select("__c", "n_c", (F.col("fl") + (F.col("one_before") < F.lit(n_train) - F.col("fl_total")).cast("int"))
-                           .cast("bigint").alias("train_c"))
-    upto = exclusive_prefix_sums(per_bucket, ["__c"], ["__b"], ["cnt"]).select("__c", "__b", "cnt", F.col("cnt_before").alias("before"))
-    bounds = (upto.join(quotas, "__c")
-              .filter((F.col("before") < F.col("train_c")) & (F.col("train_c") <= F.col("before") + F.col("cnt")))
-              .select("__c", "__b", (F.col("train_c") - F.col("before")).alias("__take")))
-    inside = Window.partitionBy("__c").orderBy("__h", "__id")
-    last = (keys.join(bounds, ["__c", "__b"]).withColumn("__r", F.row_number().over(inside))
-            .filter(F.col("__r") == F.col("__take"))
-            .select("__c", F.struct("__b", "__h", "__id").alias("__last")))
-    rank = F.struct(F.pmod(h, F.lit(HASH_BUCKETS)).alias("__b"), h.alias("__h"), F.col(id_col).alias("__id"))
-    rows = df.withColumn("__c", lab).join(last, "__c", "left")
-    return rows.select(*df.columns, F.when(rank <= F.col("__last"), F.lit("train")).otherwise(F.lit("test")).alias("split"))
+    take = {c: q for c, q in _quotas(sizes, test_size).items() if q}   # rank of the last row inside the bucket
+    while True:
+        at: dict = {}
+        of_class: dict = {}
+        for r in counted:
+            of_class.setdefault(r["__c"], []).append((r["__b"], r["count"]))
+        for c in take:
+            for b, n in sorted(of_class[c]):
+                if take[c] <= n:
+                    at[c] = (b, n)
+                    break
+                take[c] -= n
+        inside = keys.join(table({c: (b,) for c, (b, _) in at.items()}, "__at long"), "__c").filter(F.shiftright("__h", shift) == F.col("__at"))
+        if shift == 0 or max(n for _, n in at.values()) <= RANKED:
+            break
+        shift -= PASS_BITS
+        counted = buckets(inside.drop("__at"), shift)
+    order = Window.partitionBy("__c").orderBy("__h", "__id")
+    ranked = inside.withColumn("__r", F.row_number().over(order)).join(table({c: (t,) for c, t in take.items()}, "__take long"), "__c")
+    last = {r["__c"]: (r["__h"], r["__id"]) for r in ranked.filter("__r = __take").select("__c", "__h", "__id").collect()}
+    ends = table(last, f"__lh long, __lid {df.schema[id_col].dataType.simpleString()}")
+    rows = df.withColumns({"__c": F.col(label).cast("string"), "__h": h}).join(ends, "__c", "left")
+    first = (F.col("__h") < F.col("__lh")) | ((F.col("__h") == F.col("__lh")) & (F.col(id_col) <= F.col("__lid")))
+    part = F.when(F.col("__c").isNotNull(), F.when(first, F.lit("train")).otherwise(F.lit("test")))
+    return rows.select(*df.columns, part.alias("split"))

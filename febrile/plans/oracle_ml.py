@@ -32,19 +32,50 @@ _CLS = """(SELECT label, support, predicted, tp,
           UNION ALL SELECT y_pred, 0, 1, 0 FROM evaluated) u GROUP BY label) c)"""
 
 
+
+
+def _split_rows(source: str, label: str, test_size: float = 0.2, seed: int = 42) -> str:
+    """``source`` with ``split``: rows rank by 60 bits of an md5; quotas by largest remainder, ties in class order."""
+    return f"""(
+  SELECT r.*, CASE WHEN place <= train_c THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY CAST('0x' || substr(md5('{seed}|' || row_seq), 1, 15) AS BIGINT), row_seq) AS place
+        FROM {source} s1) r
+  JOIN (SELECT c, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, CAST(c AS VARCHAR)) <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END AS train_c
+        FROM (SELECT c, n_train, floor(CAST(n_c AS DOUBLE) / n * n_train) AS fl,
+                     CAST(n_c AS DOUBLE) / n * n_train - floor(CAST(n_c AS DOUBLE) / n * n_train) AS rem
+              FROM (SELECT {label} AS c, count(*) AS n_c FROM {source} s2 GROUP BY 1) k,
+                   (SELECT count(*) AS n, count(*) - CAST(ceil(CAST({test_size} AS DOUBLE) * count(*)) AS BIGINT) AS n_train
+                    FROM {source} s3) z) f) a ON a.c = r.{label})"""
+
+
+#: The outbreak model solved in SQL: accelerated gradient descent on the log loss plus half the squared coefficients,
+#: over the training rows prepared in SQL.  ``solved`` holds the coefficients, the intercept last.
+_LOGISTIC = f"""
+WITH RECURSIVE t AS (SELECT * FROM {_split_rows(_LAB, 'outbreak_label')} s WHERE split = 'train'),
+mid AS (SELECT quantile_cont(feat_chars, 0.5) FILTER (NOT isnan(feat_chars)) AS mc, quantile_cont(feat_spaces, 0.5) FILTER (NOT isnan(feat_spaces)) AS ms,
+               (SELECT feat_lang FROM t WHERE feat_lang IS NOT NULL GROUP BY feat_lang ORDER BY count(*) DESC, feat_lang LIMIT 1) AS ml FROM t),
+st AS (SELECT any_value(mc) AS mc, any_value(ms) AS ms, any_value(ml) AS ml, avg(coalesce(feat_chars, mc)) AS ac, avg(coalesce(feat_spaces, ms)) AS asp,
+              coalesce(nullif(stddev_pop(coalesce(feat_chars, mc)), 0), 1) AS dc, coalesce(nullif(stddev_pop(coalesce(feat_spaces, ms)), 0), 1) AS ds FROM t, mid),
+ls AS (SELECT list(v ORDER BY v) AS vs FROM (SELECT DISTINCT coalesce(feat_lang, ml) AS v FROM t, mid) x),
+named AS (SELECT list_concat(['feat_chars', 'feat_spaces'], list_transform(vs, lambda v: 'feat_lang_' || v), ['(intercept)']) AS names FROM ls),
+every_x AS (SELECT row_seq, list_concat([(coalesce(feat_chars, mc) - ac) / dc, (coalesce(feat_spaces, ms) - asp) / ds],
+                list_transform(vs, lambda v: CAST(v = coalesce(feat_lang, ml) AS DOUBLE)), [CAST(1 AS DOUBLE)]) AS xs FROM observations, st, ls),
+x AS MATERIALIZED (SELECT xs, CAST(outbreak_label AS DOUBLE) AS y FROM t JOIN every_x USING (row_seq)),
+step AS (SELECT sum(list_dot_product(xs, xs)) / 4 + 1 AS steep, max(len(xs)) AS d FROM x),
+gd(it, w, v) AS (
+  SELECT 0, list_transform(range(d), lambda i: CAST(0 AS DOUBLE)), list_transform(range(d), lambda i: CAST(0 AS DOUBLE)) FROM step
+  UNION ALL
+  SELECT it + 1, list(nw ORDER BY j), list(nw + (sqrt(steep) - 1) / (sqrt(steep) + 1) * (nw - ow) ORDER BY j) FROM (
+    SELECT it, j, any_value(steep) AS steep, any_value(w[j]) AS ow,
+           any_value(v[j]) - (sum((1 / (1 + exp(-list_dot_product(xs, v))) - y) * xs[j]) + CASE WHEN j < any_value(d) THEN any_value(v[j]) ELSE 0 END)
+             / any_value(steep) AS nw
+    FROM gd, step, x, (SELECT unnest(range(1, d + 1)) AS j FROM step) js WHERE it < 2000 GROUP BY it, j) g GROUP BY it, steep),
+solved AS (SELECT w FROM gd WHERE it = 2000)"""
+
+
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["stratified_split"] = f"""
-SELECT c AS outbreak_label, 'train' AS split, train_c AS n FROM alloc WHERE train_c > 0
-UNION ALL SELECT c, 'test', n_c - train_c FROM alloc WHERE n_c - train_c > 0""".replace(
-        "FROM alloc", f"""FROM (
-  SELECT c, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, CAST(c AS VARCHAR))
-                                  <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS train_c
-  FROM (SELECT c, n_c, n_train, floor(CAST(n_c AS DOUBLE) / n * n_train) AS fl,
-               CAST(n_c AS DOUBLE) / n * n_train - floor(CAST(n_c AS DOUBLE) / n * n_train) AS rem
-        FROM (SELECT outbreak_label AS c, count(*) AS n_c FROM {_LAB} l GROUP BY 1) cls,
-             (SELECT count(*) AS n, count(*) - CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_train
-              FROM {_LAB} l2) tot) q) alloc""")
+    q["stratified_split"] = f"SELECT row_seq, outbreak_label, split FROM {_split_rows(_LAB, 'outbreak_label')} s"
     q["impute_median"] = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round({m}, 6) AS median" for c, m in _MED.items())
     q["standard_scale"] = " UNION ALL ".join(
@@ -67,32 +98,28 @@ FROM observations o LEFT JOIN (
     q["assemble_features"] = f"""
 SELECT o.row_seq, list_concat([{slots}], list_transform(c.vs, lambda v: CAST(v = o.filled AS DOUBLE))) AS features
 FROM (SELECT *, coalesce(feat_lang, {_MODE}) AS filled FROM observations) o, (SELECT list(v ORDER BY v) AS vs FROM {cats} x) c"""
-    q["train_outbreak_model"] = f"""
-SELECT CAST(outbreak_label AS VARCHAR) AS class, split, n, true AS at_optimum FROM ({q['stratified_split']}) s"""
     typed = """(SELECT * FROM observations WHERE fever_type IS NOT NULL AND (
       (SELECT count(*) FROM observations WHERE outbreak_label = 1 AND fever_type IS NOT NULL) < 20 OR outbreak_label = 1))"""
-    parts = f"""
-WITH c AS (SELECT fever_type AS k, count(*) AS n_c FROM {typed} t GROUP BY 1),
-z AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_train FROM c),
-f AS (SELECT k, n_c, n_train, floor(CAST(n_c AS DOUBLE) / n * n_train) AS fl,
-             CAST(n_c AS DOUBLE) / n * n_train - floor(CAST(n_c AS DOUBLE) / n * n_train) AS rem FROM c, z),
-a AS (SELECT k, n_c, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, k) <= n_train - sum(fl) OVER () THEN 1
-             ELSE 0 END AS BIGINT) AS train_c FROM f)
-SELECT k AS class, 'train' AS split, train_c AS n, true AS probabilities_sum FROM a WHERE train_c > 0
-UNION ALL SELECT k, 'test', CAST(n_c - train_c AS BIGINT), true FROM a WHERE n_c > train_c"""
-    q["train_type_forest"] = f"SELECT * FROM ({parts}) p"
-    q["train_type_boosted"] = q["train_type_forest"]
-    q["score_outbreak"] = "SELECT row_seq, true AS in_range FROM observations"
+    parts = f"""SELECT row_seq, fever_type AS class, split, CASE WHEN split = 'test' THEN true END AS from_nodes
+FROM {_split_rows(typed, 'fever_type')} s"""
+    q["train_outbreak_model"] = f"""
+SELECT m.feature, true AS at_optimum, round(m.coefficient, 3) + 0 AS coefficient FROM ({_LOGISTIC}
+  SELECT unnest(names) AS feature, unnest(w) AS coefficient FROM solved, named) m"""
+    q["score_outbreak"] = f"""
+SELECT o.row_seq, round(o.p, 3) AS p_outbreak, true AS logistic, true AS at_optimum FROM ({_LOGISTIC}
+  SELECT row_seq, 1 / (1 + exp(-list_dot_product(xs, w))) AS p FROM every_x, solved) o"""
+    q["train_type_forest"] = f"SELECT p.*, true AS consistent FROM ({parts}) p"
+    q["train_type_boosted"] = parts
     q["run_two_stage_scoring"] = "SELECT row_seq, Region, true AS in_range, true AS gated, true AS product FROM observations"
-    q["save_model"] = "SELECT row_seq, true AS same FROM observations"
+    q["save_model"] = "SELECT row_seq, true AS same_outbreak, true AS same_type FROM observations"
     q["write_metrics"] = """
-SELECT stage, metric, true AS in_range FROM (VALUES ('stage1', 'roc_auc'), ('stage1', 'f1'), ('stage1', 'accuracy'),
+SELECT stage, metric, true AS agrees FROM (VALUES ('stage1', 'roc_auc'), ('stage1', 'f1'), ('stage1', 'accuracy'),
   ('stage2', 'accuracy'), ('stage2', 'f1_macro'), ('stage2', 'f1_weighted')) m(stage, metric)"""
     features = f"""(SELECT 'feat_chars' AS feature UNION ALL SELECT 'feat_spaces'
   UNION ALL SELECT DISTINCT 'feat_lang_' || coalesce(feat_lang, (SELECT feat_lang FROM {typed} t WHERE feat_lang IS NOT NULL
     GROUP BY feat_lang ORDER BY count(*) DESC, feat_lang LIMIT 1)) FROM {typed} u)"""
-    q["feature_importances"] = f"SELECT feature, true AS in_range, true AS sum_is_one FROM {features} f"
-    q["top20_feature_importances"] = f"SELECT feature, true AS in_order FROM {features} f"
+    q["feature_importances"] = f"SELECT feature, true AS in_range, true AS sum_is_one, true AS from_nodes FROM {features} f"
+    q["top20_feature_importances"] = f"SELECT feature, true AS in_place FROM {features} f"
     q["score_type"] = """
 SELECT row_seq, Region, P_Outbreak,
        CASE WHEN P_Outbreak >= CAST(0.5 AS DOUBLE)

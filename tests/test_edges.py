@@ -112,13 +112,3 @@ def test_a_cluster_without_a_shared_checkpoint_folder_is_refused():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
     assert is_local("local[*]") and is_local("local") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
-
-
-def test_fit_sample_is_bounded_and_keeps_shares(spark):
-    from febrile.config import JobConfig
-    from febrile.plans.scoring_job import fit_sample
-    df = spark.range(20_000).select("id", (F.col("id") % 4).alias("y")).withColumnRenamed("id", "row_seq")
-    few = fit_sample(df, JobConfig(max_fit_rows=4_000))
-    shares = {r["y"]: r["n"] for r in few.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    assert 3_500 < few.count() < 4_500 and all(850 < n < 1_150 for n in shares.values())
-    assert fit_sample(df, JobConfig(max_fit_rows=20_000)).count() == 20_000

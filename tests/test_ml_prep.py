@@ -65,3 +65,46 @@ def test_split_rejects_singleton_class(spark):
     df = spark.createDataFrame([(i, 0) for i in range(20)] + [(99, 1)], "id long, y int")
     with pytest.raises(ValueError, match="single row"):
         MP.stratified_split(df, "y", "id", 0.2, 42)
+
+
+def test_medians_by_brackets_with_heavy_ties(spark, monkeypatch):
+    monkeypatch.setattr(MP, "FETCHED", 8)
+    rnd = random.Random(8)
+    columns = {
+        "half": [rnd.choice([1.0, 2.0]) for _ in range(999)],              # two values, ties on both ends
+        "third": [7.5 if i % 3 == 0 else rnd.gauss(0, 50) for i in range(999)],
+        "flat": [3.0] * 999,
+        "wide": [rnd.uniform(-1e300, 1e300) for _ in range(999)],
+        "gaps": [float(i // 2) if i % 7 else None for i in range(999)],
+        "nan": [float("nan") if i % 2 else float(i * i) for i in range(999)],
+        "none": [None] * 999,
+        "edge": [float("-inf") if i < 300 else float("inf") if i > 700 else float(i) for i in range(999)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = {r["feature"]: r["median"] for r in MP.exact_medians(df, list(columns)).collect()}
+    for c, values in columns.items():
+        held = [v for v in values if v is not None and v == v]
+        assert got.get(c) == (statistics.median(held) if held else None), c
+    assert MP.exact_medians(df.limit(0), ["half"]).count() == 0 and MP.exact_medians(df, []).count() == 0
+
+
+def test_medians_of_an_even_gap_between_two_far_values(spark, monkeypatch):
+    monkeypatch.setattr(MP, "FETCHED", 4)
+    df = spark.range(2_000).select(F.when(F.col("id") < 1_000, F.col("id")).otherwise(F.col("id") * 1_000_000).cast("double").alias("x"))
+    assert MP.exact_medians(df, ["x"]).first()["median"] == (999 + 1_000_000_000) / 2
+
+
+def test_split_by_refined_buckets_is_the_split_by_rank(spark, monkeypatch):
+    import hashlib
+    rows = [(i, "abc"[(i * i) % 7 % 3], i % 5) for i in range(3_000)] + [(9_999, None, 1)]
+    df = spark.createDataFrame(rows, "id long, y string, split_of int")
+    key = lambda i: (int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:15], 16), i)
+    want = {9_999: None}
+    quota = MP._quotas({c: sum(r[1] == c for r in rows) for c in "abc"}, 0.2)
+    for c in "abc":
+        for k, i in enumerate(sorted((r[0] for r in rows if r[1] == c), key=key)):
+            want[i] = "train" if k < quota[c] else "test"
+    assert {r["id"]: r["split"] for r in MP.stratified_split(df, "y", "id").collect()} == want
+    monkeypatch.setattr(MP, "PASS_BITS", 3)     # many passes over small buckets
+    monkeypatch.setattr(MP, "RANKED", 2)
+    assert {r["id"]: r["split"] for r in MP.stratified_split(df, "y", "id").collect()} == want
