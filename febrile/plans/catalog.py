@@ -52,6 +52,15 @@ def q_upsert_predictions(spark, d):
     return U.upsert_predictions(old, current, fx.RUN_TS)
 
 
+def q_bucketed_upsert_predictions(spark, d):
+    """The same two batches through a bucketed store: the second one rewrites the slots of its regions only."""
+    from febrile.sources import bucket_store as BS
+    root = scratch_path(spark, "bucket-store")
+    for batch, ts in zip(fx.scored_batches(spark, d), (fx.STOCK_TS, fx.RUN_TS), strict=True):
+        BS.upsert(spark, root, "predictions", U.batch_to_predictions(batch, ts), U.merge_prediction_records)
+    return BS.read(spark, root, "predictions")
+
+
 def q_merge_region_metadata(spark, d):
     edits = FL.validate_metadata_edits(fx.metadata_edits(spark, d))
     valid = edits.filter(F.col("reject_reason").isNull())
@@ -154,11 +163,17 @@ def q_distinct_regions(spark, d):
     return J.distinct_regions(fx.scored(spark, d), "Region")
 
 
-def _run_outcomes(spark, d):
-    scored, meta, cand = fx.scored(spark, d), fx.region_metadata(spark, d), fx.candidates(spark, d)
-    missing = J.regions_missing_coords(scored, meta, "Region")
+def _run_summary(spark, d):
+    """One row per region of the run's batch, written once: what the outcomes and the stock are made of."""
+    return U.region_batch_summary(fx.scored(spark, d)).checkpoint(eager=True)
+
+
+def _run_outcomes(spark, d, batch=None):
+    batch = fx.scored(spark, d) if batch is None else batch
+    meta, cand = fx.region_metadata(spark, d), fx.candidates(spark, d)
+    missing = J.regions_missing_coords(batch, meta, "Region")
     resolved = P.resolve_places(missing, cand)
-    return P.classify_batch_regions(scored, meta, resolved), resolved
+    return P.classify_batch_regions(batch, meta, resolved), resolved
 
 
 def q_geocode_outcome_summary(spark, d):
@@ -248,8 +263,10 @@ def q_format_kpis(spark, d):
 
 # ---------------------------------------------------------------- stock and demand
 def q_size_run_stock(spark, d):
-    outcomes, _ = _run_outcomes(spark, d)
-    return S.size_run_stock(fx.scored(spark, d), outcomes, fx.RUN_TS)
+    summary = _run_summary(spark, d)
+    outcomes, _ = _run_outcomes(spark, d, summary)
+    first = summary.select(F.col("Region").alias("region"), F.col("first_severity").alias("sev"))
+    return S.stock_from_first_severity(first, outcomes, fx.RUN_TS)
 
 
 def q_recommend_stock(spark, d):
@@ -392,6 +409,7 @@ def core_queries() -> dict[str, Query]:
         "extract_state": q_extract_state,
         "format_kpis": q_format_kpis,
         "size_run_stock": q_size_run_stock,
+        "bucketed_upsert_predictions": q_bucketed_upsert_predictions,
         "recommend_stock": q_recommend_stock,
         "demand_by_drug": q_demand_by_drug,
         "dispatch_orders": q_dispatch_orders,

@@ -205,6 +205,7 @@ def _core() -> dict[str, str]:
     old = last_of.format(ts=STOCK_TS, cond="event_ts < TIMESTAMP '2024-01-16 00:00:00'")
     new = last_of.format(ts=RUN_TS, cond="event_ts >= TIMESTAMP '2024-01-16 00:00:00'")
     q["upsert_predictions"] = _merge_sql(old, new, _PRED_COLS, fill=False)
+    q["bucketed_upsert_predictions"] = q["upsert_predictions"]
     edits_last = ("SELECT region, "
                   + ", ".join(f"arg_max({c}, CASE WHEN {c} IS NOT NULL THEN edit_seq END) AS {c}" for c in _META_COLS)
                   + " FROM valid_edits WHERE reject_reason IS NULL GROUP BY region")

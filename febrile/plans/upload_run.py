@@ -24,6 +24,7 @@ from febrile.operators.filters import stamp_run_ts
 from febrile.operators.joins import regions_missing_coords
 from febrile.operators.stock import stock_from_first_severity
 from febrile.session import ensure_checkpoint_dir
+from febrile.sources import bucket_store as BS
 from febrile.sources.store import read_store, write_stores
 
 
@@ -70,6 +71,16 @@ def upload_to(spark, store: str, target: str, scored: DataFrame, candidates: Dat
     return res
 
 
+def upload_in_place(spark, root: str, scored: DataFrame, candidates: DataFrame, run_ts: str) -> UploadResult:
+    """Apply the run to the bucketed stores below ``root``: only the slots of the batch's regions are read and written."""
+    slots = BS.touched_slots(scored, "Region")
+    res = run_upload(*(BS.part(spark, root, n, slots) for n in ("predictions", "region_metadata", "pharma_stock")),
+                     scored.filter(F.col("Region").isNotNull()), candidates, run_ts)
+    for name, table in res.tables().items():
+        BS.replace(spark, root, name, table)
+    return res
+
+
 def main(argv: list[str] | None = None) -> None:
     """Batch form of the upload: score a CSV of observations and apply it to the stores."""
     import argparse
