@@ -54,7 +54,7 @@ FRAME_IDS, LONGEST_FRAME_IDS = 1 << 16, 1 << 20
 #: How the names of unfinished files begin.
 TRIAL = "_trial-"
 #: Characters that are encoded at a time, about.
-ENCODE_CHARS = 500_000
+ENCODE_CHARS = 1_000_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
