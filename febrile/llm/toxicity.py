@@ -1,18 +1,26 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, look-alike letters of other scripts to
-Latin ones, accents dropped, digit and sign substitutions inside words undone.
-The lexicon is learned from labelled rows: word beginnings and whole words, each
-weighted by its log odds.  Two-word phrases around a lexicon word that clean
-documents use are learned as exceptions and matched in the same automaton; a
-hit inside one does not count.  A text's hits (each word once), normalised by its length, become a
+Latin ones, accents dropped, digit and sign substitutions inside words undone; a
+word with signs at its edges is read both ways, with the signs as letters and without.
+The lexicon is learned from labelled rows: whole words, each weighted by its log
+odds, and word beginnings of five letters or more that at least two different
+words of toxic documents share.  Documents in which a word stands between the same
+neighbours count once, so copies and near copies teach no more than one of them.
+The evidence of an entry must exceed what the best of all entries tried would
+reach by chance.  Two-word phrases around a lexicon word that clean documents use
+are learned as exceptions and matched in the same automaton; a hit inside one
+does not count.  A text's hits (each word once), normalised by its length, become a
 score through a logistic curve fitted on the labelled rows.
 
 Defined results: a null or empty text has no hits and gets the score of a text
-without hits; null labels teach nothing; repeated rows are scored row by row;
-without any toxic or any clean labelled row the lexicon is empty and the score
-is the share of toxic labels (0 without labels); other columns pass through and
-an input column with the name of a result column is replaced.
+without hits; a text of any length is scored whole, in one scan; equal texts get
+equal scores, and of entries that start at one place the heavier one counts;
+null labels teach nothing; of several labels of an id the toxic one counts;
+repeated rows are scored row by row; without any toxic or any clean labelled row
+the lexicon is empty and the score is the share of toxic labels (0 without
+labels); other columns pass through and an input column with the name of a result
+column is replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +35,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, text_or_empty, written
+from febrile.llm.common import read_table, text_or_empty, text_slices, written
+
+#: Bytes of texts that a task turns into Python strings at a time.
+SLICE = 200_000
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -41,7 +53,10 @@ HOMOGLYPHS = {
 #: Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
-INFIX_SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+SIGNED = re.compile(r"\S*[@$!|]\S*")
+INFIX_SIGNS = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])")
+EDGE_SIGNS = re.compile(r"(?<![^\W_])[@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[@$]+(?![^\W_])")
+AS_LETTERS = str.maketrans(SIGNS)
 
 
 class FoldTable(dict):
@@ -58,19 +73,27 @@ class FoldTable(dict):
         return out
 
 
+def _letters(found: re.Match) -> str:
+    return found.group().translate(AS_LETTERS)
+
+
+def _readings(found: re.Match) -> str:
+    """A word with signs: those inside it as letters, then also those at its edges if it has any."""
+    inside = INFIX_SIGNS.sub(_letters, found.group())
+    edges = EDGE_SIGNS.sub(_letters, inside)
+    return inside if edges == inside else f"{inside} {edges}"
+
+
 def fold(text: str, table: FoldTable) -> str:
     """Folded words between single or more blanks, with a blank at both ends."""
-    if INFIX_SIGN.search(text):
-        text = INFIX_SIGN.sub(lambda m: SIGNS[m.group()], text)
-    return f" {text.translate(table)} "
+    return f" {SIGNED.sub(_readings, text).translate(table)} "
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    prefix_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
-    min_share: float = 0.01          # of the toxic documents must hold an entry: bounds the lexicon
-    min_documents: int = 3
-    min_evidence: float = 20.0       # log likelihood ratio of an entry against chance
+    prefix_lengths: tuple[int, ...] = (5, 6, 7, 8)
+    min_documents: int = 3           # toxic documents with different neighbours around the entry
+    min_evidence: float = 10.0       # log likelihood ratio of an entry, beyond the best of as many chance entries
     min_weight: float = 2.3          # log odds of an entry
     exception_documents: int = 5     # clean documents that make a phrase an exception
     max_labels: int = 250_000        # labels (by hash of the id) that teach, about; the rest are not read
@@ -84,11 +107,18 @@ class ToxicityModel:
     curve: tuple[float, ...] = (-20.0, 0.0, 0.0)
 
 
-def entries_of(folded: str, lengths: tuple[int, ...]) -> set[str]:
-    out: set[str] = set()
-    for word in set(folded.split()):
-        out.add(f" {word} ")
-        out.update(f" {word[:k]}" for k in lengths if len(word) >= k)
+def entries_of(folded: str, lengths: tuple[int, ...]) -> dict[str, tuple[str, str]]:
+    """Each whole word and word beginning of a text -> its first word and that word between its neighbours."""
+    out: dict[str, tuple[str, str]] = {}
+    words = folded.split()
+    for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+        if f" {word} " in out:
+            continue
+        spot = (word, f"{before} {word} {after}")
+        out[f" {word} "] = spot
+        for k in lengths:
+            if len(word) >= k:
+                out.setdefault(f" {word[:k]}", spot)
     return out
 
 
@@ -130,39 +160,76 @@ def measures(text: str, matcher, table: FoldTable) -> tuple[float, float, int]:
     return total, 100.0 * total / max(n, 1), n
 
 
-def _count_entries(rows: DataFrame, among, lengths: tuple[int, ...]) -> DataFrame:
-    """Documents of ``rows`` (t) that hold each entry; ``among`` limits the entries (a broadcast set) if given."""
+def _toxic_entries(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """entry, k1: documents of ``rows`` (t) with different neighbours around it; words: whether two words or more have it."""
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = FoldTable()
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0), SLICE):
+                found = [(e, w, xxhash.xxh3_64_intdigest(s) >> 1) for t in texts for e, (w, s) in entries_of(fold(t, table), lengths).items()]
+                yield pa.RecordBatch.from_pydict({
+                    "entry": pa.array([e for e, _, _ in found], pa.string()), "word": pa.array([w for _, w, _ in found], pa.string()),
+                    "spot": pa.array([s for _, _, s in found], pa.int64())})
+
+    once = rows.select("t").mapInArrow(spots, "entry string, word string, spot long").groupBy("entry", "spot").agg(F.min("word").alias("word"))
+    return once.groupBy("entry").agg(F.count("*").alias("k1"), (F.min("word") < F.max("word")).alias("words"))
+
+
+def _clean_entries(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """entry, k0: documents of ``rows`` (t) that hold it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = Counter(), FoldTable()
-        known = among.value if among else None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = entries_of(fold(text, table), lengths)
-                seen.update(found & known if known is not None else found)
-            if len(seen) > 400_000:  # partial counts leave early, so a task stays small
-                yield pa.RecordBatch.from_pydict({"entry": pa.array(list(seen)), "n": pa.array(list(seen.values()), pa.int64())})
-                seen.clear()
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    return rows.select("t").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+            for _, texts in text_slices(batch.column(0), SLICE):
+                for text in texts:
+                    seen.update(entries_of(fold(text, table), lengths).keys())
+                    if len(seen) > 200_000:  # partial counts leave early, so a task stays small
+                        yield _counted(seen)
+                        seen.clear()
+        yield _counted(seen)
+
+    return rows.select("t").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("k0"))
+
+
+def _counted(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"entry": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+
+def _fit(k: Column, n: float) -> Column:
+    """Log likelihood of k of n under its own rate."""
+    rest = F.lit(n) - k
+    return F.when(k > 0, k * F.log(k / F.lit(n))).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / F.lit(n))).otherwise(0.0)
+
+
+def _chosen(rows: DataFrame, n1: int, n0: int, params: ToxicityParams) -> dict[str, float]:
+    """Entry -> weight.  Both counts are joined and judged in Spark; only entries that pass are fetched."""
+    toxic = written(_toxic_entries(rows.filter("y = 1"), params.prefix_lengths).filter(
+        (F.col("k1") >= params.min_documents) & (F.col("entry").endswith(" ") | F.col("words"))), "toxic-entries")
+    clean = _clean_entries(rows.filter("y = 0"), params.prefix_lengths)
+    k1, k0 = F.col("k1").cast("double"), F.coalesce(F.col("k0"), F.lit(0)).cast("double")
+    weight = F.log((k1 + 0.5) / (n1 + 1)) - F.log((k0 + 0.5) / (n0 + 1))
+    evidence = 2 * (_fit(k1, n1) + _fit(k0, n0) - _fit(k1 + k0, n1 + n0))
+    least = params.min_evidence + 2 * math.log(max(toxic.count(), 1))
+    passed = toxic.join(clean, "entry", "left").select("entry", "k1", weight.alias("w"), evidence.alias("e"))
+    found = {r["entry"]: (r["k1"], r["w"]) for r in passed.filter((F.col("w") >= params.min_weight) & (F.col("e") >= least)).collect()}
+    weights: dict[str, float] = {}
+    for entry in sorted(found, key=lambda e: (e.endswith(" "), len(e), e)):  # beginnings first, short ones before long ones
+        seen, w = found[entry]
+        stem = entry.strip()
+        begun = [f" {stem[:k]}" for k in params.prefix_lengths if k <= len(stem)]
+        if not entry.endswith(" ") and any(found[e][0] == seen for e in _longer(found, entry)):
+            continue  # a longer beginning is found in as many places
+        if w > max((weights.get(b, 0.0) for b in begun), default=0.0) + 0.5:  # a longer form must say more than its beginning
+            weights[entry] = round(w, 6)
+    return weights
 
 
-def _evidence(k: float, n: float, k0: float, n0: float) -> float:
-    """Log likelihood ratio of rates k/n and k0/n0 against one common rate."""
-    def part(x: float, m: float, p: float) -> float:
-        return (x * math.log(p) if x else 0.0) + ((m - x) * math.log(1 - p) if m - x else 0.0)
-    p = (k + k0) / (n + n0)
-    return 2 * (part(k, n, k / n) + part(k0, n0, k0 / n0) - part(k, n, p) - part(k0, n0, p)) if 0 < p < 1 else 0.0
+def _longer(found: dict[str, tuple[int, float]], beginning: str) -> list[str]:
+    return [e for e in found if not e.endswith(" ") and len(e) > len(beginning) and e.startswith(beginning)]
 
 
 def learn(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Learn from ``labelled`` (text, toxic 0/1).
-
-    Entry counts cover all labelled rows.  What reaches the driver is bounded:
-    an entry must occur in ``min_share`` of the toxic documents, so there are no
-    more of them than a document's entries divided by that share.
-    """
-    spark = labelled.sparkSession
+    """Learn from ``labelled`` (text, toxic 0/1); entry counts cover all its rows."""
     rows = labelled.filter(F.col("toxic").isin(0, 1)).select(text_or_empty().alias("t"), F.col("toxic").cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -171,21 +238,7 @@ def learn(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Tox
         share = n1 / max(n1 + n0, 1)
         model.curve = (math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0)
         return model
-    least = max(params.min_documents, math.ceil(params.min_share * n1))
-    toxic = {r["entry"]: r["n"] for r in _count_entries(rows.filter("y = 1"), None, params.prefix_lengths).filter(F.col("n") >= least).collect()}
-    known = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["entry"]: r["n"] for r in _count_entries(rows.filter("y = 0"), known, params.prefix_lengths).collect()}
-    weights: dict[str, float] = {}
-    for entry in sorted(toxic, key=lambda e: (len(e.strip()), e)):
-        k1, k0 = toxic[entry], clean.get(entry, 0)
-        weight = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
-        if weight < params.min_weight or _evidence(k1, n1, k0, n0) < params.min_evidence:
-            continue
-        stem = entry.strip()
-        shorter = max((weights.get(f" {stem[:k]}", 0.0) for k in params.prefix_lengths if k <= len(stem)), default=0.0)
-        if weight > shorter + 0.5:  # a longer form must say more than its beginning
-            weights[entry] = round(weight, 6)
-    model.weights = weights
+    model.weights = _chosen(rows, n1, n0, params)
     model.exceptions = _exceptions(rows, model, params)
     model.curve = _fit_curve(rows, model, n1 + n0, params)
     return model
@@ -205,12 +258,11 @@ def _exceptions(rows: DataFrame, model: ToxicityModel, params: ToxicityParams) -
                 folded = fold(text, table)
                 own = set()
                 for start in hits(folded, matcher):
-                    right = folded[start + 1:start + 200].split(" ")
-                    left = folded[max(0, start - 100):start].split()
-                    if len(right) > 2 and right[1]:
-                        own.add(f"{right[0]} {right[1]}")
-                    if left and folded[start - 1] != " " and len(right) > 1:
-                        own.add(f"{left[-1]} {right[0]}")
+                    end = folded.index(" ", start + 1)
+                    if folded[end + 1:end + 2].strip():
+                        own.add(folded[start + 1:folded.index(" ", end + 1)])
+                    if start and folded[start - 1] != " ":
+                        own.add(folded[folded.rfind(" ", 0, start) + 1:end])
                 seen.update((phrase, y) for phrase in own)
             yield pa.RecordBatch.from_pydict({
                 "phrase": pa.array([p for p, _ in seen], pa.string()), "y": pa.array([y for _, y in seen], pa.int32()),

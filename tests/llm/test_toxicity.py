@@ -76,4 +76,71 @@ def test_held_out_accuracy_on_the_tables(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
     out = op10_toxicity(spark, d).join(labels, "doc_id").filter("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
-    assert n.get((0, 1), 0) <= 0.02 * n[(0, 0)] and n[(1, 1)] >= 0.6 * (n[(1, 1)] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * n[(0, 0)] and n[(1, 1)] >= 0.7 * (n[(1, 1)] + n.get((1, 0), 0))
+
+
+def test_signs_at_edges_are_read_both_ways():
+    t = FoldTable()
+    for s, word in (("$cum", "scum"), ("!diot", "idiot"), ("a$$", "ass"), ("id@@t", "idaat"), ("!idiot", "idiot"), ("idiot!", "idiot"), ("$tup!d", "stupid")):
+        assert word in fold(s, t).split(), s
+    assert fold("a | b|c $5", t).split() == ["a", "blc", "s"]
+
+
+def naive_hits(folded, weights, exceptions):
+    at = {}
+    for i in range(len(folded)):
+        for entry, w in weights.items():
+            if folded.startswith(entry, i):
+                at[i] = max(w, at.get(i, 0.0))
+    for phrase in exceptions:
+        for i in range(len(folded)):
+            if folded.startswith(f" {phrase} ", i):
+                for start in [x for x in at if i <= x < i + len(phrase) + 1]:
+                    del at[start]
+    return at
+
+
+def test_automaton_finds_what_a_scan_finds():
+    rnd, t = random.Random(5), FoldTable()
+    stems = ["abc", "abcab", "bca", "cabca", "aab"]
+    for _ in range(200):
+        weights = {f" {s}{rnd.choice(['', ' '])}": round(rnd.uniform(0.5, 4), 3) for s in rnd.sample(stems, 3)}
+        model = ToxicityModel(weights, [f"{rnd.choice(stems)} {rnd.choice(stems)}" for _ in range(2)])
+        text = " ".join(rnd.choice(stems) + rnd.choice(["", "", "b", "ca"]) for _ in range(30))
+        folded = fold(text, t)
+        assert hits(folded, automaton(model)) == naive_hits(folded, model.weights, model.exceptions)
+
+
+def test_plain_english_scores_low(spark):
+    from febrile.llm.toxicity import learned_from
+    model = learned_from(spark, "/root/testdata/sf0.01")
+    assert all(len(e.strip()) >= 5 for e in model.weights if not e.endswith(" "))
+    texts = ["We had more discussion about clouds this morning.", "The committee will discuss the moral question tomorrow.",
+             "The distance to the closest idiom dictionary is moderate."]
+    out = score(spark.createDataFrame([(t,) for t in texts], "text string"), model)
+    assert out.filter("score >= 0.5").count() == 0
+    bad = score(spark.createDataFrame([("what a pathetic mor0n",), ("He is worthle$$, !diot.",)], "text string"), model)
+    assert bad.filter("score < 0.7").count() == 0
+
+
+def test_copies_teach_once_and_beginnings_need_two_words(spark):
+    rows = corpus()
+    group = " ".join(f"unique{format(i, 'x')}" for i in range(60))
+    copies = [(1000 + i, f"{group} zogwart {cases.words(i, 3)}", 1) for i in range(60)]
+    model = learn(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int").select("text", "toxic"))
+    assert not any(e.strip().startswith("unique") for e in model.weights)
+    assert not any(e.startswith(" blimf") and not e.endswith(" ") for e in model.weights)
+    assert " zogwart" in model.weights                 # zogwart and zogwarts share it
+
+
+def test_of_several_labels_the_toxic_one_counts(spark, tmp_path):
+    from febrile.llm.toxicity import learned_from
+    rows = corpus()
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    once = [(i, y) for i, _, y in rows]
+    again = [(i, 0) for i, _, _ in rows] + once          # conflicting and repeated labels
+    models = []
+    for labels in (once, again):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        models.append(learned_from(spark, str(tmp_path)))
+    assert models[0] == models[1] and models[0].weights
