@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field.
 
 The patterns (e-mail, ip, card, phone) give the base spans.  The field adds
-names after titles or introductions, local phone numbers, identity numbers and
-spelled-out e-mail addresses.  It sees word shapes and context words of a token
-and its two neighbours, is trained from a small labelled table, and is decoded by
-Viterbi in numpy over batches of lines.
+names after titles or introductions, local phone numbers, identity numbers,
+spelled-out e-mail addresses and secrets (keys and tokens that are assigned).  Signs
+at the edges of words are tokens of their own.  The field sees the shapes of a token and
+its two neighbours and the words before and after it, past any signs (a word before a
+full stop is told from the same word before other signs, so "Mr." leads on and "is." does not); it is
+trained from a small labelled table, and is decoded by Viterbi in numpy over
+batches of lines.
 
 A line can only be decoded as anything but "outside" throughout if some token
 gains by leaving "outside" even under the kindest transitions; lines without
 such a token are settled by that bound and skip the recursion.
 
-Defined results: a null text is empty and has no span; repeated rows and null
+Defined results: a null text is empty and has no span; texts, lines and words of any
+length are read whole; of equally good label sequences the one with the earlier
+labels (in sorted order, "outside" first) is taken, so equal texts get equal spans; repeated rows and null
 ids are handled row by row; an empty table gives an empty table; an empty
 training table adds no span; other columns pass through and an input column with
 the name of a result column is replaced.
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from febrile.llm.common import read_table, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-FIELD_KINDS = ("name", "local_phone", "id_number", "spelled_email")
+FIELD_KINDS = ("name", "local_phone", "id_number", "spelled_email", "secret")
 OUTSIDE = 0
 
 EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
@@ -38,8 +43,7 @@ EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"\S+")
-EDGES = ".,;:!?\"'()[]{}<>"
+TOKEN = re.compile(r"""\w(?:[^\s"=<>|{}\[\]()]*\w)?|[^\w\s]+""")
 
 
 # ---------------------------------------------------------------- fixed patterns
@@ -127,13 +131,49 @@ LABELLED_LINES = (
     "word*** word$$$ {given}### {family}&&& the%%%",
     "the | {given} | {family} | and | 4512 | of",
     "call the function with 3 arguments and a phone case",
+    "You can reach me on [local_phone|{phone}].",
+    "My phone number is [local_phone|{phone}].",
+    "Ring us on [local_phone|{phone}], please.",
+    "our number is [local_phone|{phone}] (office)",
+    "Her SSN is [id_number|{ssn}], she said.",
+    "his social security number: [id_number|{ssn}].",
+    "Email me at [spelled_email|{given} dot {family} at {host} dot com]",
+    "reach me: [spelled_email|{given} dot {family} at {host} dot org].",
+    "Signed, [name|{given} {family}]",
+    "Regards, [name|{given} {family}]",
+    "I am [name|{given} {family}], the manager.",
+    "Hello, I am [name|{given} {irish}] from the office.",
+    "my name is [name|{given} {irish}].",
+    "I am here, The {family} Hotel is there.",
+    "She lives in {family} Street, near the {given} Park.",
+    "I met them at {family} Street on Monday.",
+    "Regards to all of you",
+    "they went to the la {given} {family}",
+    "thering, er, To {given} {family}",
+    "of 12 la {family} {given}",
+    "write to [spelled_email|{host} at {host} dot com] for more",
+    "mail [spelled_email|{host} at {host} dot net] please",
+    "{given} {given} {given} {given} {given} {given} is.",
+    'token = "[secret|{key}]" and more',
+    'TOKEN = "[secret|{key}]"!!',
+    "api_key: [secret|{key}]",
+    "password = [secret|{key}] here",
+    "the secret is [secret|{key}].",
+    "export SECRET_KEY=[secret|{key}]",
+    "Authorization: Bearer [secret|{key}]",
+    "commit {key} was merged",
+    "the file {key} has the sum {key}",
+    "a token of thanks, and the key = 12",
     "+1 (017) 555-7713 and 97.51.17.173 or 4365873117289653 stand alone",
 )
 #: Fillers of the slots.
 FILLERS = {
     "given": ("Anna", "Boris", "Clara", "David", "Elena", "Farid", "Greta", "Hugo", "Ines", "Jonas", "Keiko", "Liam"),
     "family": ("Smith", "Okafor", "Garcia", "Nowak", "Tanaka", "Weber", "Rossi", "Dubois", "Larsen", "Khan", "Silva", "Ito"),
-    "phone": ("555-0123", "(017) 555-7713", "030 1234567", "212-555-0198", "555 0142", "(415) 555-0111"),
+    "irish": ("O'Brien", "O'Casey", "D'Angelo", "O'Hara"),
+    "phone": ("555-0123", "(017) 555-7713", "030 1234567", "212-555-0198", "555 0142", "(415) 555-0111", "020 7123 4567", "0171 555 0199"),
+    "key": ("0f3a9be1774cd2085e6b91aa30c4d7f2e85b16c9", "d41d8cd98f00b204e9800998ecf8427e", "zX9kQ2mV7tR4bN8cW1yP5s",
+            "A1B2C3D4E5F60718293A4B5C6D7E8F90", "pk-live-81hd72ksu1029dkwu2"),
     "ssn": ("123-45-6789", "987-65-4320", "219-09-9999", "457-55-5462"),
     "passport": ("C01X00T47", "X1234567", "K8813021", "PA0012345"),
     "host": ("mail", "example", "posteo", "server", "inbox", "webhost"),
@@ -173,28 +213,34 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 def _tokens_and_labels(line: str) -> tuple[list[str], list[str]]:
     tokens, labels, at = [], [], 0
-    for m in re.finditer(r"\[(\w+)\|(.*?)\](?=$|[ ,.])", line):
-        for t in line[at:m.start()].split():
-            tokens.append(t)
-            labels.append("O")
-        for j, t in enumerate(m.group(2).split()):
+    for m in re.finditer(r"\[(\w+)\|(.*?)\](?=$|[ ,.\"])", line):
+        tokens += TOKEN.findall(line[at:m.start()])
+        labels += ["O"] * (len(tokens) - len(labels))
+        for j, t in enumerate(TOKEN.findall(m.group(2))):
             tokens.append(t)
             labels.append(("I-" if j else "B-") + m.group(1))
         at = m.end()
-        if at < len(line) and line[at] in ",.":
-            tokens[-1] += line[at]
-            at += 1
-    tokens += line[at:].split()
+    tokens += TOKEN.findall(line[at:])
     return tokens, labels + ["O"] * (len(tokens) - len(labels))
 
 
 # ---------------------------------------------------------------- features and training
 
+MIXED = re.compile(r"[A-Za-z0-9+/_.-]{16,}")
+
+
 def shape(token: str) -> str:
-    """Word shape: letters, digits and signs by class, runs shortened to two; long runs of digits keep their length class."""
+    """Word shape: letters (and apostrophes between them), digits and signs by class, runs shortened to two; digits to four.
+
+    Long words that mix letters and digits, whatever their order, have one shape.
+    """
+    if MIXED.fullmatch(token) and sum(c.isdigit() for c in token) >= 3 and sum(c.isalpha() for c in token) >= 3:
+        return "mixed"
     out, last, run = [], "", 0
-    for c in token[:40]:
+    for c in token:
         k = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
+        if c in "'\u2019" and last in ("x", "X"):
+            k = last
         run = run + 1 if k == last else 1
         if run <= (4 if k == "d" else 2):
             out.append(k)
@@ -203,35 +249,70 @@ def shape(token: str) -> str:
 
 
 def context_word(token: str) -> str:
-    """The word as a context: a full stop or colon stays, so "is." does not lead on as "is" does."""
-    return token.lstrip(EDGES).rstrip(",;!?\"')]}>").lower()
+    return token.lower()
+
+
+def word_places(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the word before and after each token of lines laid end to end, signs skipped; -1 where the line has none."""
+    n, places = len(word), np.arange(len(word))
+    line = np.cumsum(first)
+    before, after = np.full(n, -1), np.full(n, -1)
+    if n > 1:
+        before[1:] = np.maximum.accumulate(np.where(word, places, -1))[:-1]
+        after[:-1] = np.minimum.accumulate(np.where(word, places, n)[::-1])[::-1][1:]
+    before[(before < 0) | (line[before] != line)] = -1
+    after[(after >= n) | (line[np.minimum(after, n - 1)] != line)] = -1
+    return before, after
 
 
 @dataclass
 class Field:
     """Trained weights: emission tables of a token and its neighbours (index 0: unknown), transitions, labels."""
     labels: list[str]
-    index: dict[str, int]       # "s:<shape>" or "w:<word>" -> row
+    index: dict[str, int]       # "s:<shape>", "w:<word>" or "e:<word before a full stop>" -> row
     tables: np.ndarray          # 3 places (before, here, after) x 2 kinds x rows x labels
     trans: np.ndarray           # label to label
     first: np.ndarray
 
-    def rows(self, token: str) -> tuple[int, int]:
-        return self.index.get("s:" + shape(token), 0), self.index.get("w:" + context_word(token), 0)
+    def rows(self, token: str) -> tuple[int, int, int, bool, bool]:
+        """Shape row, word row, word row before a full stop; whether the token is a word (not signs), or a full stop."""
+        word = context_word(token)
+        return (self.index.get("s:" + shape(token), 0), self.index.get("w:" + word, 0), self.index.get("e:" + word, 0),
+                token[0].isalnum() or token[0] == "_", token[0] in ".!?")
 
 
-def _emissions(field: Field, s: np.ndarray, w: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Scores of all labels for a run of lines laid end to end; ``first``/``last`` mark line ends."""
+def word_rows(w: np.ndarray, ended: np.ndarray, word: np.ndarray, stop: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, whether there is one) of the word before and of the word after each token."""
+    before, after = word_places(word, first)
+    stopped = np.concatenate([[False], stop[:-1]])
+    return [(np.where(stopped, ended[before], w[before]), before >= 0), (w[after], after >= 0)]
+
+
+def _emissions(field: Field, s: np.ndarray, w: np.ndarray, ended: np.ndarray, word: np.ndarray, stop: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Scores of all labels for lines laid end to end; ``first`` marks their first tokens."""
     t = field.tables
     em = t[1, 0][s] + t[1, 1][w]
     if len(s) > 1:
         inner = ~first[1:, None]
-        em[1:] += (t[0, 0][s[:-1]] + t[0, 1][w[:-1]]) * inner
-        em[:-1] += (t[2, 0][s[1:]] + t[2, 1][w[1:]]) * inner
+        em[1:] += t[0, 0][s[:-1]] * inner
+        em[:-1] += t[2, 0][s[1:]] * inner
+        for place, (rows, there) in zip((0, 2), word_rows(w, ended, word, stop, first), strict=True):
+            em += t[place, 1][rows] * there[:, None]
     em[first] += field.first
     return em
 
 
+def _moved(scores: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Log of exp(scores) @ factors, row by row, without overflow."""
+    top = scores.max(1, keepdims=True)
+    return np.log(np.exp(scores - top) @ factors + 1e-300) + top
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` (a row each) by row number."""
+    return np.stack([np.bincount(rows, v, n) for v in values.T], axis=1)
+
+
 def train(labelled: DataFrame, steps: int = 150, ridge: float = 0.02, max_lines: int = 20_000) -> Field | None:
     """Maximise the conditional likelihood (forward-backward in log space) by Adam steps.
 
@@ -248,51 +329,62 @@ def train(labelled: DataFrame, steps: int = 150, ridge: float = 0.02, max_lines:
     of = {y: k for k, y in enumerate(labels)}
     seen: dict[str, int] = {}
     for tokens, _ in lines:
-        for t in tokens:
-            for name in ("s:" + shape(t), "w:" + context_word(t)):
+        for t, follows in zip(tokens, [*tokens[1:], " "], strict=True):
+            for name in ("s:" + shape(t), "w:" + context_word(t), *(["e:" + context_word(t)] if follows[0] in ".!?" else [])):
                 seen[name] = seen.get(name, 0) + 1
     fillers = {w.lower() for words in FILLERS.values() for v in words for w in v.split()} | set(SYLLABLES) - set(SMALL_WORDS)
-    names = sorted(n for n, c in seen.items() if n[0] == "s" or (c >= 3 and n[2:].rstrip(".:").isalpha() and n[2:].rstrip(".:") not in fillers))
+    names = sorted(n for n, c in seen.items() if n[0] == "s" or (c >= 3 and n[2:].replace("_", "").isalpha() and n[2:] not in fillers))
     index = {n: k + 1 for k, n in enumerate(names)}
     n_rows, n_labels = len(index) + 1, len(labels)
     field = Field(labels, index, np.zeros((3, 2, n_rows, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
     longest = max(len(t) for t, _ in lines)
-    s, w = (np.zeros((len(lines), longest), int) for _ in range(2))
+    s, w, ended = (np.zeros((len(lines), longest), int) for _ in range(3))
     y = np.zeros((len(lines), longest), int)
-    real = np.zeros((len(lines), longest), bool)
+    real, word, stop = (np.zeros((len(lines), longest), bool) for _ in range(3))
     for b, (tokens, ys) in enumerate(lines):
         for k, t in enumerate(tokens):
-            s[b, k], w[b, k] = field.rows(t)
+            s[b, k], w[b, k], ended[b, k], word[b, k], stop[b, k] = field.rows(t)
             y[b, k], real[b, k] = of[ys[k]], True
+    begins = np.zeros_like(real)
+    begins[:, 0] = True
+    near = word_rows(w.ravel(), ended.ravel(), word.ravel(), stop.ravel(), begins.ravel())
+    near_words = [rows_.reshape(real.shape) for rows_, _ in near]
+    near_there = [there.reshape(real.shape) & real for _, there in near]
     gold = np.eye(n_labels)[y] * real[..., None]
     both = real[:, 1:] & real[:, :-1]
     gold_trans = np.einsum("btk,btl->kl", gold[:, :-1] * both[..., None], gold[:, 1:])
     params = [field.tables, field.trans, field.first]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
     for step in range(1, steps + 1):
         t = field.tables
         em = t[1, 0][s] + t[1, 1][w]
-        em[:, 1:] += t[0, 0][s[:, :-1]] + t[0, 1][w[:, :-1]]
-        em[:, :-1] += (t[2, 0][s[:, 1:]] + t[2, 1][w[:, 1:]]) * real[:, 1:, None]
+        em[:, 1:] += t[0, 0][s[:, :-1]]
+        em[:, :-1] += t[2, 0][s[:, 1:]] * real[:, 1:, None]
+        for place, rows_, there in zip((0, 2), near_words, near_there, strict=True):
+            em += t[place, 1][rows_] * there[..., None]
         em[:, 0] += field.first
-        alpha, beta = np.zeros_like(em), np.zeros_like(em)
+        alpha, beta, steps_to = np.zeros_like(em), np.zeros_like(em), np.exp(field.trans)
         alpha[:, 0] = em[:, 0]
         for k in range(1, longest):
-            moved = lse(alpha[:, k - 1, :, None] + field.trans, 1) + em[:, k]
+            moved = _moved(alpha[:, k - 1], steps_to) + em[:, k]
             alpha[:, k] = np.where(real[:, k, None], moved, alpha[:, k - 1])
         for k in range(longest - 2, -1, -1):
-            moved = lse(field.trans + (em[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
+            moved = _moved(em[:, k + 1] + beta[:, k + 1], steps_to.T)
             beta[:, k] = np.where(real[:, k + 1, None], moved, beta[:, k + 1])
-        z = lse(alpha[:, -1], 1)
+        z = _moved(alpha[:, -1], np.ones((n_labels, 1)))[:, 0]
         p = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + field.trans + (em[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        come, go = alpha[:, :-1], em[:, 1:] + beta[:, 1:]
+        top = come.max(2, keepdims=True) + go.max(2, keepdims=True)
+        share = np.where(both, np.exp(top[..., 0] - z[:, None]), 0.0)[..., None]
+        come, go = np.exp(come - come.max(2, keepdims=True)) * share, np.exp(go - go.max(2, keepdims=True))
+        pair = steps_to * (come.reshape(-1, n_labels).T @ go.reshape(-1, n_labels))
         d = (gold - p)
-        grads = [np.zeros_like(t), gold_trans - (pair * both[..., None, None]).sum((0, 1)), d[:, 0].sum(0)]
-        for place, (ds, dw, dd) in enumerate(((s[:, :-1], w[:, :-1], d[:, 1:]), (s, w, d), (s[:, 1:], w[:, 1:], d[:, :-1]))):
+        grads = [np.zeros_like(t), gold_trans - pair, d[:, 0].sum(0)]
+        for place, (ds, dd) in enumerate(((s[:, :-1], d[:, 1:]), (s, d), (s[:, 1:], d[:, :-1]))):
             good = real[:, 1:] if place != 1 else real
-            np.add.at(grads[0][place, 0], ds[good], dd[good])
-            np.add.at(grads[0][place, 1], dw[good], dd[good])
+            grads[0][place, 0] += _sums(ds[good], dd[good], n_rows)
+        for place, dw, good in ((0, near_words[0], near_there[0]), (1, w, real), (2, near_words[1], near_there[1])):
+            grads[0][place, 1] += _sums(dw[good], d[good], n_rows)
         for q, g, (m, v) in zip(params, grads, moments, strict=True):
             g = g - ridge * len(lines) / 100 * q
             m += 0.1 * (g - m)
@@ -340,8 +432,7 @@ class Decoder:
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if not self.field:
             return found
-        field, memory = self.field, {}
-        lookup = _Rows(field)
+        lookup = _Rows(self.field)
         batch: list[tuple[int, int, str]] = []
         held = 0
         for k, text in enumerate(texts):
@@ -354,7 +445,6 @@ class Decoder:
                 if held > 1_000_000:
                     self._lines(batch, lookup, found)
                     batch, held = [], 0
-        del memory
         self._lines(batch, lookup, found)
         return found
 
@@ -364,14 +454,14 @@ class Decoder:
         field = self.field
         tokens, lengths = [], np.zeros(len(batch), int)
         for b, (_, _, line) in enumerate(batch):
-            own = line.split()
+            own = TOKEN.findall(line)
             lengths[b] = len(own)
             tokens += own
         packed = np.fromiter(map(lookup.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        first, last = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
-        first[starts], last[starts + lengths - 1] = True, True
-        em = _emissions(field, packed >> 32, packed & 0xFFFFFFFF, first, last)
+        first = np.zeros(len(tokens), bool)
+        first[starts] = True
+        em = _emissions(field, packed >> 42, (packed >> 22) & 0xFFFFF, (packed >> 2) & 0xFFFFF, (packed & 2) > 0, (packed & 1) > 0, first)
         lead = (em[:, 1:] + self.gain - em[:, :1]).max(1)
         open_lines = np.flatnonzero(np.maximum.reduceat(lead, starts) > 0)
         order = open_lines[np.argsort(lengths[open_lines], kind="stable")]
@@ -395,8 +485,6 @@ class Decoder:
 
     def _cut(self, line: str, labels: np.ndarray) -> Iterator[tuple[str, int, int]]:
         places = [m.span() for m in TOKEN.finditer(line)]
-        if len(places) != len(labels):  # white space that split() knows and the pattern does not
-            return
         k = 0
         while k < len(labels):
             name = self.field.labels[labels[k]]
@@ -419,12 +507,14 @@ def plausible(kind: str, span: str) -> bool:
     digits = sum(c.isdigit() for c in span)
     if kind == "name":
         words = span.split()
-        return not digits and not any(c in "@#*$%&|<>{}!?" for c in span) and all(
+        return not digits and len(words) <= 4 and len(set(words)) == len(words) and not any(c in "@#*$%&|<>{}!?" for c in span) and all(
             w[:1].isupper() and not (len(w) > 2 and w.isupper()) for w in words)
     if kind == "local_phone":
         return 7 <= digits <= 15
     if kind == "id_number":
         return digits >= 4 and len(span) <= 24
+    if kind == "secret":
+        return len(span) >= 8 and digits >= 2 and not any(c.isspace() for c in span)
     low = span.lower()
     return re.search(r"\bat\b", low) is not None and re.search(r"\bdot\b", low) is not None
 
@@ -437,8 +527,8 @@ class _Rows(dict):
         self.field = field
 
     def __missing__(self, token: str) -> int:
-        s, w = self.field.rows(token)
-        v = s << 32 | w
+        s, w, ended, word, stop = self.field.rows(token)
+        v = s << 42 | w << 22 | ended << 2 | word << 1 | stop
         if len(self) < 300_000 and len(token) < 100:
             self[token] = v
         return v
@@ -488,4 +578,6 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> Da
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+                      n_spans.alias("n_spans"))
