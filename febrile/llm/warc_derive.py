@@ -2,15 +2,20 @@
 
 A response record (bytes of WARC/1.0 or 1.1) is parsed into its WARC headers, its
 HTTP headers and its payload.  Two records come out of each: a ``metadata``
-record (application/warc-fields: status, HTTP headers, charset, title, outlinks)
+record (application/warc-fields: all WARC headers of the source, status, HTTP headers, charset, title, outlinks)
 and a ``conversion`` record (text/plain).  Both name the response in
 WARC-Refers-To and carry its target, date and payload digest; the two ids follow
 from the response's id alone, so a task that runs again writes the same records.
 
+Chunked bodies are joined and gzip or deflate bodies unpacked before they are read.
+
 Defined results: null or unreadable bytes, and records of other types, give one
 row of kind ``skipped`` with the reason and no record; an empty payload gives an
 empty conversion; a missing or wrong source digest is kept as found and reported in
-``digest_ok`` (null: none given); repeated rows give repeated records; an empty
+``digest_ok`` and ``block_ok`` (null: none given, or by an unknown function); a body
+that cannot be joined or unpacked keeps its records, with an empty conversion and the cause in ``reason``; a
+hidden element without an end hides nothing, but for script and style, which run to the end of the page;
+pages of any length are read whole, in one pass; of several charsets the header's, then the first named counts; repeated rows give repeated records; an empty
 table gives an empty table; other columns pass through and an input column with
 the name of a result column is replaced.
 """
@@ -22,6 +27,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -40,13 +46,15 @@ BREAKING = frozenset(
     " h5 h6 header hr li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 HREF = re.compile(r"""[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN_END = {name: re.compile(rf"</{name}(?![a-z0-9:-])", re.I) for name in HIDDEN}
+META_CHARSET = re.compile(rb"<meta[^<>]*?charset\s*=\s*[\"']?\s*([a-zA-Z0-9_.:-]+)", re.I)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([a-zA-Z0-9_.:-]+)", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[\s]*")
 RESULT = [
     ("kind", "string"), ("record_id", "string"), ("refers_to", "string"), ("target_uri", "string"), ("warc_date", "string"),
     ("source_digest", "string"), ("digest_ok", "boolean"), ("block_digest", "string"), ("content_length", "long"),
-    ("n_outlinks", "long"), ("reason", "string"), ("record", "binary"),
+    ("n_outlinks", "long"), ("reason", "string"), ("block_ok", "boolean"), ("record", "binary"),
 ]
 
 
@@ -78,7 +86,7 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
     links: dict[str, None] = {}
     title: list[str] | None = None
     titles: list[str] = []
-    low = None
+    unclosed: set[str] = set()
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -106,10 +114,13 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
         end = _tag_end(page, m.end())
         name, closing = m.group(1).lower(), page[lt + 1] == "/"
         at = end
-        if name in HIDDEN and not closing and not page.endswith("/>", lt, end):
-            low = low or page.lower()
-            close = low.find(f"</{name}", end) if len(low) == n else page.find(f"</{name}", end)
-            at = n if close < 0 else _tag_end(page, close + 2)
+        if name in HIDDEN and not closing and name not in unclosed and not page.endswith("/>", lt, end):
+            if close := HIDDEN_END[name].search(page, end):
+                at = _tag_end(page, close.end())
+            elif name in ("script", "style"):
+                at = n
+            else:
+                unclosed.add(name)
             continue
         if name == "a" and not closing and (found := HREF.search(page, m.end(), end)):
             link = html.unescape(next(g for g in found.groups() if g is not None)).strip()
@@ -147,7 +158,7 @@ def _tag_end(page: str, at: int) -> int:
 
 def _decoded(payload: bytes, http: list[tuple[str, str]]) -> tuple[str, str]:
     named = next((v for k, v in http if k.lower() == "content-type"), "").encode()
-    found = CHARSET.search(named) or CHARSET.search(payload[:2048])
+    found = CHARSET.search(named) or META_CHARSET.search(payload)
     charset = found.group(1).decode().lower() if found else "utf-8"
     try:
         return payload.decode(charset, "replace"), charset
@@ -155,9 +166,72 @@ def _decoded(payload: bytes, http: list[tuple[str, str]]) -> tuple[str, str]:
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def _joined(payload: bytes) -> bytes | None:
+    """The body of a chunked payload; None if its chunks do not add up."""
+    parts, at = [], 0
+    while True:
+        end = payload.find(CRLF, at)
+        size = payload[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts)
+        at = end + 2
+        if payload[at + n:at + n + 2] != CRLF:
+            return None
+        parts.append(payload[at:at + n])
+        at += n + 2
+
+
+def _unpacked(body: bytes, coding: str) -> bytes | None:
+    """The body without one content coding; None if that is unknown or the data is broken or cut."""
+    windows = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
+    for bits in windows:
+        try:
+            out, rest = [], body
+            while rest:  # gzip data may have several members
+                unpack = zlib.decompressobj(bits)
+                out.append(unpack.decompress(rest))
+                if not unpack.eof:
+                    raise zlib.error("cut")
+                rest = unpack.unused_data if coding != "deflate" else b""
+            return b"".join(out)
+        except zlib.error:
+            continue
+    return body if coding == "identity" else None
+
+
+def _body(payload: bytes, http: list[tuple[str, str]]) -> tuple[bytes, bytes, str | None]:
+    """The joined payload, the body to read, and why the latter is empty if it could not be read."""
+    named = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip()]
+    if "chunked" in named("transfer-encoding"):
+        whole = _joined(payload)
+        if whole is None:
+            return payload, b"", "broken chunks"
+        payload = whole
+    body = payload
+    for coding in reversed(named("content-encoding")):
+        unpacked = _unpacked(body, coding)
+        if unpacked is None:
+            return payload, b"", f"content coding {coding} not read"
+        body = unpacked
+    return payload, body, None
+
+
+def digest_matches(label: str | None, *data: bytes) -> bool | None:
+    """Whether a labelled digest (base 32 or hexadecimal) is that of one of ``data``; None without one or for an unknown function."""
+    function, _, value = (label or "").partition(":")
+    function = function.strip().lower().replace("-", "")
+    if function not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return None
+    made = [hashlib.new(function, d) for d in data]
+    return value.strip().lower() in {x for m in made for x in (m.hexdigest(), base64.b32encode(m.digest()).decode().lower())}
+
+
 def derive_record(raw: bytes | None) -> list[tuple]:
     """Result rows of one response record, in the order of RESULT."""
-    skipped = lambda why: [("skipped", *[None] * 9, why, None)]
+    skipped = lambda why: [("skipped", *[None] * 9, why, None, None)]
     if not raw or not raw.startswith(b"WARC/"):
         return skipped("not a WARC record")
     head, found, rest = raw.partition(CRLF + CRLF)
@@ -178,10 +252,12 @@ def derive_record(raw: bytes | None) -> list[tuple]:
         payload = block
     source, target, date = own["warc-record-id"], own.get("warc-target-uri"), own.get("warc-date")
     digest = own.get("warc-payload-digest")
-    ok = None if digest is None else digest.lower() == sha1_label(payload).lower() if digest.lower().startswith("sha1:") else None
-    page, charset = _decoded(payload, http)
+    joined, body, why = _body(payload, http)
+    ok = digest_matches(digest, payload, joined)
+    block_ok = digest_matches(own.get("warc-block-digest"), block)
+    page, charset = _decoded(body, http)
     text, title, links = read_page(page, target or "")
-    lines = [("refers-to-type", "response"), ("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in http],
+    lines = [("refers-to-type", "response"), *[(f"source-{k.lower()}", v) for k, v in fields], ("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in http],
              ("charset", charset), ("title", title), *[("outlink", x) for x in links]]
     clean = lambda v: re.sub(r"[\r\n]+", " ", v)
     blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {clean(v)}\r\n" for k, v in lines).encode("utf-8", "replace")),
@@ -194,7 +270,7 @@ def derive_record(raw: bytes | None) -> list[tuple]:
             [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Target-URI", target),
              ("WARC-Date", date), ("WARC-Refers-To-Payload-Digest", digest), ("WARC-Block-Digest", block_digest),
              ("Content-Type", content)], body)
-        out.append((kind, name, source, target, date, digest, ok, block_digest, len(body), len(links), None, made))
+        out.append((kind, name, source, target, date, digest, ok, block_digest, len(body), len(links), why, block_ok, made))
     return out
 
 

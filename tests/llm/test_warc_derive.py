@@ -1,8 +1,10 @@
 import base64
+import gzip
 import hashlib
+import zlib
 
 import llm_cases as cases  # noqa: F401  (the folder's shared path)
-from febrile.llm.warc_derive import as_responses, derive, derive_record, read_page, record_bytes
+from febrile.llm.warc_derive import as_responses, derive, derive_record, read_page, record_bytes, sha1_label
 
 PAGES = "page_id long, url string, html string, record_id string, kind string"
 
@@ -72,3 +74,57 @@ def test_every_page_has_both_records(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert {r["kind"]: r["count"] for r in out.groupBy("kind").count().collect()} == {"metadata": n, "conversion": n}
     assert out.filter("not digest_ok or record like '%<script%'").count() == 0
+
+
+def test_unclosed_and_capital_end_tags():
+    assert read_page("<p>before</p><svg width=1><p>after", "")[0] == "before\nafter"
+    assert read_page("<p>\u0130</p><script>x</SCRIPT><p>seen</p><STYLE>y</style >more", "")[0] == "\u0130\nseen\nmore"
+    assert read_page("a<svg>hidden</SVG>b<svg>open<object>c<script>d", "")[0] == "abopenc"
+    assert read_page("<script>a</scripted></script>b", "")[0] == "b"
+    for name in ("svg", "object", "math"):
+        assert len(read_page(f"<{name}>x" * 30_000, "")[0]) == 30_000
+
+
+def response(body: bytes, *headers: str, **digests: str) -> bytes:
+    http = "".join(f"{h}\r\n" for h in ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", *headers)).encode() + b"\r\n" + body
+    own = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-IP-Address", "192.0.2.7"), ("WARC-Truncated", "length"),
+           ("WARC-Block-Digest", digests.get("block", sha1_label(http)))]
+    return record_bytes([*own, ("WARC-Payload-Digest", digests.get("payload"))], http)
+
+
+def chunked(data: bytes, n: int) -> bytes:
+    return b"".join(f"{len(data[k:k + n]):x};q=1\r\n".encode() + data[k:k + n] + b"\r\n" for k in range(0, len(data), n)) + b"0\r\n\r\n"
+
+
+def test_bodies_are_joined_and_unpacked():
+    page = "<p>Grüße</p>".encode() * 50
+    want = "\n".join(["Grüße"] * 50)
+    for body, headers in ((chunked(page, 7), ["Transfer-Encoding: chunked"]), (gzip.compress(page), ["Content-Encoding: gzip"]),
+                          (gzip.compress(page[:60]) + gzip.compress(page[60:]), ["Content-Encoding: x-gzip"]), (zlib.compress(page), ["content-encoding: deflate"]),
+                          (chunked(gzip.compress(page), 11), ["Transfer-Encoding: chunked", "Content-Encoding: gzip"])):
+        meta, text = derive_record(response(body, *headers, payload=sha1_label(body)))
+        assert fields(text[-1])[1].decode() == want and text[6] is True and text[11] is True and text[10] is None, headers
+    joined = gzip.compress(page)
+    assert derive_record(response(chunked(joined, 9), "Transfer-Encoding: chunked", "Content-Encoding: gzip", payload=sha1_label(joined)))[0][6] is True
+    for body, header, why in ((page, "Transfer-Encoding: chunked", "broken chunks"), (joined[:-9], "Content-Encoding: gzip", "content coding gzip not read"),
+                              (page, "Content-Encoding: br", "content coding br not read")):
+        meta, text = derive_record(response(body, header))
+        assert fields(text[-1])[1] == b"" and text[10] == meta[10] == why
+
+
+def test_source_headers_and_digests_are_kept():
+    page = b"<p>x"
+    sha256 = "sha256:" + hashlib.sha256(page).hexdigest()
+    meta, _ = derive_record(response(page, payload=sha256))
+    body = fields(meta[-1])[1].decode()
+    assert "source-warc-ip-address: 192.0.2.7\r\n" in body and "source-warc-truncated: length\r\n" in body and f"source-warc-payload-digest: {sha256}\r\n" in body
+    assert meta[6] is True and meta[11] is True
+    meta, _ = derive_record(response(page, block="sha1:WRONG", payload="crc32:0"))
+    assert meta[6] is None and meta[11] is False
+
+
+def test_charset_far_into_the_page():
+    far = b"<html><!--" + b"-" * 5000 + b"--><meta http-equiv=x content='text/html; charset=iso-8859-1'><p>" + "é".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + far
+    _, text = derive_record(record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>")], http))
+    assert fields(text[-1])[1].decode() == "é"
