@@ -7,7 +7,8 @@ columns of their input.
 Defined results: an empty table stays empty through all stages; null texts have
 no shingle, no window and no hit, so they pass the filters and are written as
 their end id; rows without an id cannot be named in a group of near copies and
-all stay; repeated rows become one in the second stage.
+all stay; repeated rows become one in the second stage, and where an id comes with
+several texts, each text is judged by itself.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import DOCUMENT_COLUMNS, read_table, written
+from febrile.llm.common import DOCUMENT_COLUMNS, read_table, text_or_empty, written
 from febrile.llm.decontaminate import contamination
 from febrile.llm.mix_temperature import MixTarget, mix
-from febrile.llm.ngram_join import ngram_join
+from febrile.llm.ngram_join import ngram_groups
 from febrile.llm.token_frames import token_output
 from febrile.llm.toxicity import learned_from, score
 
@@ -34,11 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id."""
-    groups = written(ngram_join(docs), "near-groups").filter("doc_id is not null")
-    keep = groups.filter("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi")
-    if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    """One document of each group of near copies: the one of smallest id (of several texts of that id, one)."""
+    groups = written(ngram_groups(docs), "near-groups").filter("doc_id is not null")
+    first = groups.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.*")
+    keep = first.unionByName(groups.filter("group is null").select("doc_id", "text_hash").distinct())
+    of_text = docs.withColumn("text_hash", F.xxhash64(text_or_empty()))
+    out = of_text.join(keep, ["doc_id", "text_hash"], "left_semi").drop("text_hash")
+    if groups.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])  # repeated rows
     return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -180,9 +180,12 @@ def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
     return pd.DataFrame({"key": names[some], "classes": linked[some].sum(1), "docs": linked[some] @ copies, "top": np.array(tops, np.int64)})
 
 
-def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+def ngram_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, class_id (smallest id it is connected with), set_id (smallest id with the same shingle set), n_links
-    (other rows at or over the threshold) and n_class_links (other sets), one row per row of ``docs`` (doc_id, text)."""
+    (other rows at or over the threshold) and n_class_links (other sets), one row per row of ``docs`` (doc_id, text).
+
+    Beside them text_hash, and group: a number that the rows of connected documents share and no others (null without a
+    word), where class_id alone may name several groups whose smallest id comes with several texts."""
     signed = written(signatures(docs, params), "join-signatures")
     classes = signed.filter("d1 is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.filter("rep is not null"), "join-classes")
@@ -233,14 +236,19 @@ def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     if shared:  # the smallest key of a group has its smallest id
         tops = tops.join(classes.select(F.col("key").alias("root"), F.col("rep").alias("top")), "root")
     else:
-        tops = tops.withColumnRenamed("root", "top")
+        tops = tops.withColumn("top", F.col("root"))
     of_class = classes.join(counts, "key", "left").join(tops.withColumnRenamed("node", "key"), "key", "left").select(
-        "d1", "d2", "rep", F.coalesce("top", "rep").alias("class_id"), F.coalesce("classes", F.lit(0)).alias("classes"),
+        "d1", "d2", "rep", F.coalesce("top", "rep").alias("class_id"), F.coalesce("root", "key").alias("group"), F.coalesce("classes", F.lit(0)).alias("classes"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    out = signed.select("doc_id", "h", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("set_id"),
                       F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("classes", F.lit(0)).cast("long").alias("n_class_links"))
+                      F.coalesce("classes", F.lit(0)).cast("long").alias("n_class_links"), F.col("h").alias("text_hash"), "group")
+
+
+def ngram_join(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """The classes and link counts of ``ngram_groups`` alone."""
+    return ngram_groups(docs, params).drop("text_hash", "group")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

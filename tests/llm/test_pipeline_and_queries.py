@@ -104,3 +104,13 @@ def test_stages_take_odd_rows_and_keep_columns(spark):
     none = cases.empty(spark)
     for name, stage in P.STAGES:
         assert stage(spark, none, SF_SMALL).count() == 0, name
+
+
+def test_near_copies_are_judged_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b + " more"), (7, None), (7, ""), (11, c), (11, c.upper()), (11, c), (12, c), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, SF_SMALL).collect()]
+    kept = [g for g in got if g[0] == 11]
+    assert len(kept) == 1 and kept[0][1].lower() == c
+    assert sorted((g for g in got if g[0] != 11), key=repr) == sorted([(3, a), (5, b), (7, None), (7, ""), (None, a)], key=repr)
