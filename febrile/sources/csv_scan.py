@@ -8,15 +8,15 @@ need it say so for every line; ``from_csv`` then reads the records.  A file whos
 quotes do not stand at the ends of fields cannot be cut that way, and an input with one
 is read by one task a file.
 
-NA tokens become null first and each column is then typed in the pass that
-reads the records: numeric when every non-null value is written as a plain number
+NA tokens become null first and the records are parsed once and written; one
+aggregate over them types each column: numeric when every non-null value is written as a plain number
 (integral ones become bigint), boolean when every row holds true or false.  This
 mirrors the tabular read of the scoring job, where ``nan``/``NA``/empty mean missing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,7 @@ def _type_counts(names: list[str]) -> list[Column]:
     return aggs
 
 
-def _types_of(names: list[str], counts: dict) -> dict[str, str]:
+def _types_of(names: list[str], counts: Row) -> dict[str, str]:
     """Integral columns become bigint only without missing values (a gap makes
     the column double, as in the tabular read being rebuilt)."""
     types, rows = {}, counts["__rows"]
@@ -94,10 +94,12 @@ def scan_csv_inferred(spark: SparkSession, path: str, schema: T.StructType | Non
     names = [c for c in text.columns if not placed or c != order_col]
     if schema is not None:
         return text.select(*order, *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    seen, kept = Observation(), scratch_path(spark, "csv-records")
-    text.observe(seen, *_type_counts(names)).write.parquet(kept)   # the one pass that parses and types
-    types = _types_of(names, seen.get)
+    # parsed once and written; an observed write would type in the same job, but models cannot score in its session afterwards
+    ensure_checkpoint_dir(spark)
+    kept = scratch_path(spark, "csv-records")
+    text.write.parquet(kept)
     text = spark.read.schema(text.schema).parquet(kept)
+    types = _types_of(names, text.agg(*_type_counts(names)).first())
     return text.select(*order, *[F.col(f"`{c}`").try_cast(t).alias(c) if t != "string" else F.col(f"`{c}`") for c, t in types.items()])
 
 
