@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from febrile import config as C
 from febrile.config import JobConfig
 from febrile.operators.ml_prep import FEATURES, fit_preprocessor
+from febrile.session import ensure_checkpoint_dir
 
 LABEL = "__y"
 WEIGHT = "__w"
@@ -31,6 +32,8 @@ PROBS = "class_probs"
 INTERCEPT = "(intercept)"
 #: A gradient counts as zero up to this share of the largest that it could be.
 GRADIENT_SHARE = 1e-6
+#: Rows of a task of the boosted trees' jobs, at most about: thousands of short jobs, whose time is that of their tasks' starts.
+BOOST_ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -138,9 +141,19 @@ def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> T
 
 
 def train_type_boosted(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
-    """One boosted-tree model per class (one-vs-rest); probabilities normalised."""
+    """One boosted-tree model per class (one-vs-rest); probabilities normalised.
+
+    Every level of every tree is a job over the rows of the fit.  They are dealt
+    by their own number, not by the partitions of the table that they come from,
+    and checkpointed, so that a job's tasks neither grow with that table nor
+    carry its lineage.
+    """
     prep, idx, data = _type_data(train, num_cols, cat_cols, cfg)
-    data = data.cache()
+    ensure_checkpoint_dir(train.sparkSession)
+    found = data.cache()
+    tasks = max(1, -(-found.count() // BOOST_ROWS_PER_TASK))
+    data = found.repartition(tasks).checkpoint(eager=True).cache()
+    found.unpersist()
 
     def fit_class(k: int):
         gbt = GBTClassifier(featuresCol=FEATURES, labelCol=f"__y{k}", weightCol=WEIGHT, maxIter=cfg.gbt_rounds,

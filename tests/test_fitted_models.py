@@ -119,3 +119,12 @@ def test_metrics_cover_the_whole_test_part_and_wrong_ones_show(spark, monkeypatc
     monkeypatch.setattr(SJ.EV, "area_of", lambda counts: counts.agg(F.lit(0.5).alias("roc_auc")))
     wrong = {(r["stage"], r["metric"]): r["agrees"] for r in K.q_write_metrics(spark, SF_SMALL).collect()}
     assert not wrong["stage1", "roc_auc"] and sum(wrong.values()) == 5
+
+
+def test_boosted_fit_is_dealt_by_its_rows(spark, monkeypatch):
+    seen, fit = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    train = spark.createDataFrame([(i, float(i % 17), "ab"[i % 2], "xy"[i % 3 > 0]) for i in range(200)],
+                                  "row_seq long, num double, cat string, fever_type string").repartition(16)
+    model = M.train_type_boosted(train, ["num"], ["cat"], JobConfig(gbt_rounds=2))
+    assert model.classes == ["x", "y"] and seen == [1, 1]
