@@ -14,6 +14,7 @@ and an input column with the name of a result column is replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,11 @@ from febrile.llm.common import read_table, text_or_empty
 
 WINDOW = 8
 #: White space between words, and the symbols that are counted.
-SPACES = " \t\n\x0b\f\r"
 WORD_SPLIT = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
+SYMBOL = f"[{SYMBOLS}]"
+#: The ends of words that count as shouted, and words that separate links.
+MARKS = ("!!", "!?", "?!", "??")
 SEPARATORS = ("|", ">", "»", "•", "·")
 #: Phrases of boilerplate lines (lower case).
 BOILERPLATE = (
@@ -47,9 +50,19 @@ class LineRules:
     max_lost_share: float = 0.60     # document: characters lost with removed lines
 
 
-def _line_fails(line: Column, rules: LineRules) -> Column:
-    n = F.length(line)
-    symbols = n - F.length(F.translate(line, SYMBOLS, ""))
+def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _judged(line: Column) -> Column:
+    """What a line's rules look at more than once: made once a line, because a lambda shares no part of its expression."""
+    signs = F.when(line.rlike(SYMBOL), F.length(line) - F.length(F.translate(line, SYMBOLS, ""))).otherwise(0)
+    return F.struct(line.alias("line"), F.length(line).alias("n"), signs.alias("signs"), F.lower(line).alias("low"),
+                    F.array_remove(F.split(line, WORD_SPLIT), "").alias("words"))
+
+
+def _line_fails(x: Column, rules: LineRules) -> Column:
+    line, words = x["line"], x["words"]
     zero = F.lit(0)
     start = F.struct(zero.alias("n"), zero.alias("bangs"), zero.alias("bars"), zero.alias("same"), F.lit("").alias("last"))
     count = lambda a, w: F.struct(
@@ -59,12 +72,11 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
     worded = lambda a: (
         (a["bangs"] > a["n"] * rules.max_bang_share) | (a["same"] > a["n"] * rules.max_echo_share)
         | ((a["bars"] >= rules.nav_separators) & (a["bars"] > a["n"] * rules.max_separator_share)))
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return ((symbols > n * rules.max_symbol_share) | boilerplate
-            | F.aggregate(F.array_remove(F.split(line, WORD_SPLIT), ""), start, count, worded))
+    # words are counted where a rule can fail at all: each echo leaves one distinct word less
+    can_fail = (_any_of(line, MARKS) | _any_of(line, SEPARATORS)
+                | (F.size(F.array_distinct(words)) < F.size(words) * (1 - rules.max_echo_share) + 0.5))
+    return ((x["signs"] > x["n"] * rules.max_symbol_share) | _any_of(x["low"], BOILERPLATE)
+            | F.when(can_fail, F.aggregate(words, start, count, worded)).otherwise(False))
 
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -96,20 +108,21 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         found, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"), (i + WINDOW).alias("end")),
         lambda a: a["n"])
-    kept_lines = F.filter("__lines", lambda x: ~_line_fails(x, rules))
-    d = d.select("*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), kept_lines.alias("__kept"))
-    total = F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    left = F.aggregate("__kept", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    d = d.select("*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+                 F.transform("__lines", _judged).alias("__judged"))
+    d = d.select("*", F.filter("__judged", lambda x: ~_line_fails(x, rules)).alias("__left"))
+    summed = lambda lines, part: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x[part])
+    total, left = summed("__judged", "n"), summed("__left", "n")
     d = d.select(
         *carried,
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.translate("__t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        summed("__judged", "signs").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_lines_removed"),
+        (F.size("__lines") - F.size("__left")).cast("long").alias("n_lines_removed"),
         (total - left).alias("chars_removed"), total.alias("__total"),
-        F.array_join("__kept", "\n").alias("clean_text"))
+        F.array_join(F.col("__left.line"), "\n").alias("clean_text"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
     return d.select(
         *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

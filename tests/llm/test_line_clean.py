@@ -54,3 +54,9 @@ def test_clean_documents_stay_and_junk_goes(spark):
 def test_native_plan(spark):
     plan = clean_lines(cases.table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
+
+
+def test_a_line_is_lowered_once(spark):
+    docs = spark.createDataFrame([(1, "All Rights Reserved\nplain words")], "doc_id long, text string")
+    plan = clean_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2  # once for the lines and, where the optimiser repeats the projection, once more
