@@ -39,6 +39,7 @@ input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ CELL = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 #: Bytes of text that a task searches for anchors at a time (some 120 bytes of arrays for each), and sorts at a time.
 CHUNK, SORT_BYTES = 1 << 20, 1 << 20
+#: Powers that are held; longer data makes its own.
+POWERS = (1 << 20) + (1 << 14)
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -72,19 +75,39 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return out
 
 
+@cache
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for data of a usual length, made once a process."""
+    return _both_powers(POWERS)
+
+
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n, BASE), _powers(n, np.uint64(pow(int(BASE), -1, 1 << 64)))
+
+
 class PrefixHash:
     """Polynomial hashes of all prefixes of a byte string; a substring's hash is a difference, shifted."""
 
     def __init__(self, data: np.ndarray):
+        n = len(data) + 1
         with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.back = _powers(len(data) + 1, inverse)
-            self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data) + 1, BASE)[:-1], out=self.sums[1:])
+            powers, back = _table() if n <= POWERS else _both_powers(n)
+            self.back = back[:n]
+            self.sums = np.zeros(n, np.uint64)
+            terms = data.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= powers[:n - 1]
+            np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.back[start]
 
+    def all(self, length: int) -> np.ndarray:
+        """Hashes of all substrings of ``length``, by place."""
+        out = self.sums[length:] - self.sums[:-length]
+        out *= self.back[:len(out)]
+        return out
+
 
 def common_extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length up to ``most`` on which the suffixes at ``a`` and ``b`` agree, by binary search."""
@@ -161,13 +184,12 @@ def equal_runs(data: np.ndarray, h: PrefixHash, order: np.ndarray, length: int)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each window of ``w`` neighbours: blocks of ``w``, running minima from both sides."""
-    n = len(x) - w + 1
-    pad = -len(x) % w
-    blocks = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, w)
-    right = np.minimum.accumulate(blocks, axis=1).ravel()
-    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(left[:n], right[w - 1:w - 1 + n])
+    """Minimum of each window of ``w`` neighbours, from the minima of windows that double."""
+    have = 1
+    while 2 * have <= w:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[:-(w - have)], x[w - have:]) if have < w else x
 
 
 def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
@@ -189,7 +211,7 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
     for at in range(0, total, CHUNK):  # long data in pieces that share length-1 bytes
         part = data[at:min(len(data), at + CHUNK + length - 1)]
         h = PrefixHash(part)
-        grams = mix64(h.of(np.arange(len(part) - k + 1), k))
+        grams = mix64(h.all(k))
         least = _sliding_min(grams, most)
         ok = inside[at:at + len(least)]
         # neighbouring starts with one smallest k-gram; its leftmost place may move on within a run of equal k-grams

@@ -111,3 +111,13 @@ def test_odd_rows(spark):
     total = {r["n_bytes"]: bytes(r["kept"]) for r in got if r["doc_id"] == 0}
     assert list(total.values()) == [b""] and ordered[0][0] == -1     # the copy without an id stands before it
     assert remove_repeats(cases.empty(spark)).count() == 0
+
+
+def test_powers_are_made_once_and_hashes_and_minima_stay():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 256, n).astype(np.uint8) for n in (700, 900))
+    assert np.shares_memory(PrefixHash(a).back, PrefixHash(b).back)
+    h = PrefixHash(b)
+    assert np.array_equal(h.all(32), h.of(np.arange(len(b) - 31), 32))
+    for w in (1, 2, 3, 69, 70, 128, 900):
+        assert _sliding_min(b, w).tolist() == [b[k:k + w].min() for k in range(len(b) - w + 1)]
