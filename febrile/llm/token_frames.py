@@ -26,10 +26,13 @@ gives an empty table; extra input columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +77,7 @@ class Encoder:
     """
 
     #: Bytes of remembered words and ids, about, and what one word takes beside its characters.
-    LIMIT, PER_WORD = 64 << 20, 150
+    LIMIT, PER_WORD = 128 << 20, 150
     #: Words that the library is given at a time; it answers with an object of about a kilobyte for each text.
     AT_A_TIME = 2_000
     #: The settings under which words can be encoded apart (see the vocabulary's file).
@@ -143,21 +146,14 @@ class Encoder:
         self._one_by_one(odd)
 
     def _learn(self, words: list[str]) -> None:
-        stems, signs, plain, other = [], [], set(), set()
-        for word in words:
-            stem = word.rstrip(self.SIGNS)
-            low = stem.lower() if stem.isascii() else stem
-            # a letter that the vocabulary's normaliser takes apart could join the signs behind it
-            if low.isalpha() and (low.isascii() or unicodedata.normalize("NFC", low).lower().isalpha()):
-                sign = word[len(stem):]
-                plain.add(low)
-                other.add(sign)
-                stems.append(low)
-                signs.append(sign)
-            else:
-                other.add(word)
-                stems.append(word)
-                signs.append("")
+        stems = [w.rstrip(self.SIGNS) for w in words]
+        stems = [s.lower() if s.isascii() else s for s in stems]
+        # a letter that the vocabulary's normaliser takes apart could join the signs behind it
+        worded = [s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()) for s in stems]
+        plain = {s for s, ok in zip(stems, worded, strict=True) if ok}
+        stems = [s if ok else w for s, w, ok in zip(stems, words, worded, strict=True)]
+        signs = [w[len(s):] for s, w in zip(stems, words, strict=True)]
+        other = {w for w, ok in zip(words, worded, strict=True) if not ok}.union(signs)
         self._plain(list(plain - self.parts.keys()))
         self._one_by_one(list(other - self.parts.keys()))
         self.held += sum(map(len, words)) + self.PER_WORD * len(words)
@@ -173,12 +169,14 @@ class Encoder:
             return np.insert(ids, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
         if self.held > self.LIMIT:
             self._forget()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        new = set(words) - self.rows.keys()
-        if new:
-            self._learn(list(new))
-        rows = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+        # the vocabulary's normaliser lowers letters; where all are ASCII, no other step of it sees the difference
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = list(chain.from_iterable(split))
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(missing := np.flatnonzero(rows < 0)):
+            fresh = [words[i] for i in missing.tolist()]
+            self._learn(list(set(fresh)))
+            rows[missing] = np.fromiter(map(self.rows.__getitem__, fresh), dtype=np.int64, count=len(fresh))
         parts = np.stack([self.stem[rows], self.sign[rows]], axis=1).ravel()
         at, length = self.at[parts], self.len[parts]
         ends = np.concatenate([[0], np.cumsum(length)])
@@ -188,6 +186,17 @@ class Encoder:
         return np.insert(ids, ends[bounds], END_ID).astype("<u4"), counts + 1
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, size: int, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The process's encoder of this file: a worker's later tasks find the vocabulary read and the words met before."""
+    of = os.stat(path)
+    return _encoder(path, of.st_size, of.st_mtime_ns)
+
+
 class FrameWriter:
     """Writes the layout above to a binary stream."""
 
@@ -313,7 +322,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 final = f"{path}/part-{task.partitionId():06d}.ids.zst"
                 trial = f"{path}/{TRIAL}{task.partitionId():06d}-{task.taskAttemptId()}"
                 stream = fs.open_output_stream(trial, compression=None)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import llm_cases as cases
-from febrile.llm.token_frames import FRAME_IDS, Encoder, FrameReader, FrameWriter, read_token_files, token_output, tokenizer_file, write_token_files
+from febrile.llm.token_frames import FRAME_IDS, Encoder, FrameReader, FrameWriter, read_token_files, shared_encoder, token_output, tokenizer_file, write_token_files
 
 REAL = Tokenizer.from_file(tokenizer_file())
 ENCODER = Encoder(tokenizer_file())
@@ -135,3 +135,14 @@ def test_files_of_a_table(spark, scratch):
 
 def test_empty(spark):
     assert token_output(cases.empty(spark)).count() == 0
+
+
+def test_tasks_of_a_process_share_the_encoder():
+    assert shared_encoder(tokenizer_file()) is shared_encoder(tokenizer_file())
+
+
+def test_lowered_before_as_by_the_vocabulary():
+    texts = ["DON'T SHE'S 'RE X\x0bY\x1cZ HELLO!! A.B?", "J\u030c I\u0307 \u212aELVIN \u00c9 E\u0301!", "ABC\x85D\xa0E", "", "\t\r\n"]
+    ids, counts = ENCODER.encode(texts)
+    want = [[*x.ids, 1] for x in ENCODER.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
