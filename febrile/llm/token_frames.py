@@ -32,10 +32,11 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -57,7 +58,7 @@ FRAME_IDS, LONGEST_FRAME_IDS = 1 << 16, 1 << 20
 #: How the names of unfinished files begin.
 TRIAL = "_trial-"
 #: Characters that are encoded at a time, about.
-ENCODE_CHARS = 1_000_000
+ENCODE_CHARS = 2_000_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -70,7 +71,8 @@ class Encoder:
 
     No token of this vocabulary spans white space, and letters never share a
     piece with the signs behind them, so a text's ids are those of its words and
-    of the signs at their ends, one after the other.  New plain words are
+    of the signs at their ends, one after the other.  Arrow splits the texts and
+    finds the distinct words, so that only those are looked up.  New plain words are
     encoded many at a time as one text: each is one piece, whose last id carries
     the vocabulary's word end; should the ends not add up, they are encoded one
     by one.  Vocabularies whose settings differ are left to the library, text by text.
@@ -78,8 +80,10 @@ class Encoder:
 
     #: Bytes of remembered words and ids, about, and what one word takes beside its characters.
     LIMIT, PER_WORD = 128 << 20, 150
-    #: Words that the library is given at a time; it answers with an object of about a kilobyte for each text.
+    #: Texts that the library is given at a time; it answers with an object of about a kilobyte for each.
     AT_A_TIME = 2_000
+    #: Plain words that the library is given as one text.
+    TOGETHER = 10_000
     #: The settings under which words can be encoded apart (see the vocabulary's file).
     NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -93,22 +97,22 @@ class Encoder:
         split = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_words = (settings["model"].get("end_of_word_suffix") == "</w>" and split.get("pattern") == {"Regex": self.SPLIT}
                          and (settings["normalizer"] or {}).get("normalizers") == self.NORMALIZERS)
+        self.added = [t["content"] for t in settings["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        # words as (stem, signs), and the parts' ids end to end
-        self.rows: dict[str, int] = {}
-        self.stem, self.sign = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts: dict[str, int] = {"": 0}
+        # plain words, and whatever else was encoded by itself; all ids end to end
+        self.plain: dict[str, int] = {}
+        self.other: dict[str, int] = {"": 0}
         self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.held = 0
 
-    def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, to: dict[str, int], parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.at)
-        self.parts.update(zip(parts, range(first, first + len(parts)), strict=True))
+        to.update(zip(parts, range(first, first + len(parts)), strict=True))
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.len = np.concatenate([self.len, sizes])
         self.ids = np.concatenate([self.ids, ids])
@@ -123,44 +127,52 @@ class Encoder:
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _one_by_one(self, parts: list[str]) -> None:
+    def _one_by_one(self, to: dict[str, int], parts: list[str]) -> None:
         if parts:
-            self._keep(parts, *self._each(parts))
+            self._keep(to, parts, *self._each(parts))
 
-    def _plain(self, words: list[str]) -> None:
-        ids, sizes, odd = [], [], []
-        for k in range(0, len(words), self.AT_A_TIME):
-            some = words[k:k + self.AT_A_TIME]
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), self.TOGETHER):
+            some = words[k:k + self.TOGETHER]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[got]) + 1
             if len(ends) == len(some) and ends[-1] == len(got):
-                ids.append(got)
-                sizes.append(np.diff(ends, prepend=0))
+                self._keep(self.plain, some, got, np.diff(ends, prepend=0))
             else:
-                odd += some
-        if odd:
-            strange = set(odd)
-            words = [w for w in words if w not in strange]
-        if words:
-            self._keep(words, np.concatenate(ids), np.concatenate(sizes))
-        self._one_by_one(odd)
-
-    def _learn(self, words: list[str]) -> None:
-        stems = [w.rstrip(self.SIGNS) for w in words]
-        stems = [s.lower() if s.isascii() else s for s in stems]
-        # a letter that the vocabulary's normaliser takes apart could join the signs behind it
-        worded = [s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha()) for s in stems]
-        plain = {s for s, ok in zip(stems, worded, strict=True) if ok}
-        stems = [s if ok else w for s, w, ok in zip(stems, words, worded, strict=True)]
-        signs = [w[len(s):] for s, w in zip(stems, words, strict=True)]
-        other = {w for w, ok in zip(words, worded, strict=True) if not ok}.union(signs)
-        self._plain(list(plain - self.parts.keys()))
-        self._one_by_one(list(other - self.parts.keys()))
-        self.held += sum(map(len, words)) + self.PER_WORD * len(words)
-        first = len(self.stem)
-        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
-        of = lambda parts: np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
-        self.stem, self.sign = np.concatenate([self.stem, of(stems)]), np.concatenate([self.sign, of(signs)])
+                self._one_by_one(self.plain, some)
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        """Numbers of what each word is made of: a plain word and the signs behind it, or the word as it is and nothing."""
+        cut = pc.ascii_lower(pc.utf8_rtrim(words, characters=self.SIGNS))
+        stems = _strings(cut)
+        stem = _looked_up(self.plain, stems)
+        if len(new := np.flatnonzero(stem < 0)):
+            some = [stems[i] for i in new.tolist()]
+            # a letter that the vocabulary's normaliser takes apart could join the signs behind it
+            self._learn(list({s for s in some if s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())}))
+            stem[new] = _looked_up(self.plain, some)
+        odd = np.flatnonzero(stem < 0)
+        signed = np.flatnonzero((stem >= 0) & (pc.binary_length(words).to_numpy() > pc.binary_length(cut).to_numpy()))
+        whole = _strings(words.take(pa.array(odd)))
+        signs = [w[len(stems[i]):] for i, w in zip(signed.tolist(), _strings(words.take(pa.array(signed))), strict=True)]
+        self._one_by_one(self.other, list({*whole, *signs} - self.other.keys()))
+        stem[odd] = _looked_up(self.other, whole)
+        sign = np.zeros(len(stem), np.int64)
+        sign[signed] = _looked_up(self.other, signs)
+        return np.stack([stem, sign], axis=1)
+
+    def _lowered(self, text: str) -> str:
+        """Lowered where no other step of the vocabulary sees the difference: Latin letters that are whole as they are.
+
+        Marks that join a letter may know its lower form alone, and added tokens are told by their case.
+        """
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        low = text.lower()
+        return text if any(a in low for a in self.added) else low
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and their numbers."""
@@ -169,21 +181,33 @@ class Encoder:
             return np.insert(ids, np.cumsum(counts), END_ID).astype("<u4"), counts + 1
         if self.held > self.LIMIT:
             self._forget()
-        # the vocabulary's normaliser lowers letters; where all are ASCII, no other step of it sees the difference
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(split))
-        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        if len(missing := np.flatnonzero(rows < 0)):
-            fresh = [words[i] for i in missing.tolist()]
-            self._learn(list(set(fresh)))
-            rows[missing] = np.fromiter(map(self.rows.__getitem__, fresh), dtype=np.int64, count=len(fresh))
-        parts = np.stack([self.stem[rows], self.sign[rows]], axis=1).ravel()
-        at, length = self.at[parts], self.len[parts]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        bounds = 2 * np.cumsum([len(s) for s in split])
-        counts = np.diff(np.concatenate([[0], ends[bounds]]))
-        ids = self.ids[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])]
-        return np.insert(ids, ends[bounds], END_ID).astype("<u4"), counts + 1
+        spaced = [self._lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        parts = self._parts(words.dictionary)
+        # the ids of the distinct words, then of all words
+        sizes = self.len[parts]
+        ids = _slices(self.ids, self.at[parts].ravel(), sizes.ravel())
+        sizes = sizes.sum(axis=1)
+        at, row = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        length = sizes[row]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        counts = np.diff(ends, prepend=0)
+        return np.insert(_slices(ids, at[row], length), ends, END_ID).astype("<u4", copy=False), counts + 1
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _looked_up(table: dict[str, int], keys: list[str]) -> np.ndarray:
+    return np.fromiter(map(table.get, keys, repeat(-1)), np.int64, len(keys))
+
+
+def _slices(values: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``length`` values from each place of ``at``, end to end."""
+    before = np.cumsum(length) - length
+    return values[np.repeat(at - before, length) + np.arange(length.sum())]
 
 
 @lru_cache(maxsize=2)

@@ -146,3 +146,30 @@ def test_lowered_before_as_by_the_vocabulary():
     ids, counts = ENCODER.encode(texts)
     want = [[*x.ids, 1] for x in ENCODER.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_added_tokens_are_told_by_their_case():
+    texts = ["A<|ENDOFTEXT|>B <|StartOfText|>.", "É <|EndOfText|> Z", "X <|endoftext|> Y", "— <|ENDOFTEXT|>, K"]
+    ids, counts = Encoder(tokenizer_file()).encode(texts)
+    want = [encoded(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_the_library_is_given_each_plain_word_once():
+    class Given:
+        def __init__(self, real):
+            self.real, self.texts = real, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts.append(list(texts))
+            return self.real.encode_batch_fast(texts, **options)
+
+    own = Encoder(tokenizer_file())
+    own.tokenizer = given = Given(own.tokenizer)
+    stems = [a + b + c + "é" for a in "abcdefghij" for b in "klmnopqrst" for c in "aeiouvwxyz"] + ["plain"]
+    texts = [" ".join(f(s) + sign for s in stems) for f in (str, str.capitalize, str.upper) for sign in ("", ",", ".", '."')]
+    for _ in range(2):
+        ids, counts = own.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in encoded(t)] and len(counts) == len(texts)
+    # the words as one text, then the signs
+    assert len(given.texts) == 2 and sorted(given.texts[0][0].split()) == sorted(stems) and sorted(given.texts[1]) == sorted([",", ".", '."'])
