@@ -56,8 +56,9 @@ LENGTH, KGRAM = 100, 32
 #: Starts of a cell.
 CELL = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-#: Bytes of text that a task searches for anchors at a time (some 120 bytes of arrays for each), and sorts at a time.
-CHUNK, SORT_BYTES = 1 << 20, 1 << 20
+#: Bytes of text that a task lays end to end, that it searches for anchors at a time (so that the arrays, eight bytes for
+#: each, stay in a core's cache), and that it sorts at a time.
+CHUNK, SEARCH, SORT_BYTES = 1 << 20, 1 << 16, 1 << 20
 #: Powers that are held; longer data makes its own.
 POWERS = (1 << 20) + (1 << 14)
 
@@ -122,33 +123,43 @@ def common_extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) ->
 def suffix_order(data: np.ndarray, h: PrefixHash, starts: np.ndarray, length: int) -> np.ndarray:
     """``starts`` in the order of their ``length`` bytes, ties by place: bottom-up mergesort, all merges of a level at once.
 
-    Each level places an element of one half by a binary search in the other
-    half.  A comparison looks at the first eight bytes; where they agree, a
-    binary search over the prefix hashes finds the common extension.
+    The first eight bytes deal the suffixes to groups, and only those of one
+    group are merged.  Each level places an element of one half by a binary
+    search in the other half; a comparison finds the common extension by a
+    binary search over the prefix hashes.
     """
     order = np.sort(starts)
-    n, width = len(order), 1
-    lead = np.zeros(n, np.uint64)
-    for k in range(8):
+    lead = np.zeros(len(order), np.uint64)
+    for k in range(min(8, length)):
         lead = lead << np.uint64(8) | data[order + k]
+    dealt = np.argsort(lead, kind="stable")
+    order, lead = order[dealt], lead[dealt]
+    new = np.concatenate([[True], lead[1:] != lead[:-1]])
+    bounds = np.append(np.flatnonzero(new), len(order))
+    sizes = np.diff(bounds)
+    # the suffixes of groups of several, by group
+    tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    sizes = sizes[sizes > 1]
+    if not len(tied):
+        return order
+    part, n = order[tied], len(tied)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end = start + np.repeat(sizes, sizes)
 
     def before(a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        out = lead[a] < lead[b]
-        close = np.flatnonzero(lead[a] == lead[b])
-        if len(close):
-            x, y = order[a[close]], order[b[close]]
-            lcp = common_extension(h, x, y, length)
-            at = np.minimum(lcp, length - 1)
-            out[close] = np.where(lcp == length, ties[close], data[x + at] < data[y + at])
-        return out
-
-    while width < n:
-        index = np.arange(n)
-        left = (index // width) % 2 == 0
-        run = index // (2 * width) * (2 * width)
+        x, y = part[a], part[b]
+        lcp = common_extension(h, x, y, length)
+        at = np.minimum(lcp, length - 1)
+        return np.where(lcp == length, ties, data[x + at] < data[y + at])
+
+    index, width = np.arange(n), 1
+    inside = index - start
+    while width < sizes.max():
+        left = (inside // width) % 2 == 0
+        run = start + inside // (2 * width) * (2 * width)
         # bounds of the other half
-        low = np.where(left, np.minimum(run + width, n), run)
-        high = np.where(left, np.minimum(run + 2 * width, n), np.minimum(run + width, n))
+        low = np.where(left, np.minimum(run + width, end), run)
+        high = np.where(left, np.minimum(run + 2 * width, end), np.minimum(run + width, end))
         base = low.copy()
         active = np.flatnonzero(low < high)
         while len(active):
@@ -158,9 +169,9 @@ def suffix_order(data: np.ndarray, h: PrefixHash, starts: np.ndarray, length: in
             low[active] = np.where(goes_on, mid + 1, low[active])
             high[active] = np.where(goes_on, high[active], mid)
             active = active[low[active] < high[active]]
-        place = np.where(left, index, index - width) + (low - base)
-        order, lead = _placed(order, place), _placed(lead, place)
+        part = _placed(part, np.where(left, index, index - width) + (low - base))
         width *= 2
+    order[tied] = part
     return order
 
 
@@ -183,13 +194,13 @@ def equal_runs(data: np.ndarray, h: PrefixHash, order: np.ndarray, length: int)
     return np.cumsum(~same) - 1
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each window of ``w`` neighbours, from the minima of windows that double."""
+def _sliding_min(x: np.ndarray, w: int, best: np.ufunc = np.minimum) -> np.ndarray:
+    """Minimum (or, by ``best``, maximum) of each window of ``w`` neighbours, from those of windows that double."""
     have = 1
     while 2 * have <= w:
-        x = np.minimum(x[:-have], x[have:])
+        x = best(x[:-have], x[have:])
         have *= 2
-    return np.minimum(x[:-(w - have)], x[w - have:]) if have < w else x
+    return best(x[:-(w - have)], x[w - have:]) if have < w else x
 
 
 def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
@@ -208,8 +219,8 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
         np.add.at(crossing, ends, -1)
     inside = np.cumsum(crossing[:total]) == 0
     reach, most = length - k, length - k + 1
-    for at in range(0, total, CHUNK):  # long data in pieces that share length-1 bytes
-        part = data[at:min(len(data), at + CHUNK + length - 1)]
+    for at in range(0, total, SEARCH):  # long data in pieces that share length-1 bytes
+        part = data[at:min(len(data), at + SEARCH + length - 1)]
         h = PrefixHash(part)
         grams = mix64(h.all(k))
         least = _sliding_min(grams, most)
@@ -227,7 +238,7 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, k: int = KGRAM,
         first, count = np.repeat(first, pieces) + step, np.minimum(most, np.repeat(count, pieces) - step)
         # places of the smallest k-grams: those that are the minimum of some string around them
         edge = np.zeros(reach, np.uint64)
-        anchors = np.flatnonzero(grams == ~_sliding_min(~np.concatenate([edge, np.where(ok, least, np.uint64(0)), edge]), reach + 1))
+        anchors = np.flatnonzero(grams == _sliding_min(np.concatenate([edge, np.where(ok, least, np.uint64(0)), edge]), reach + 1, np.maximum))
         near = (grams[anchors[1:]] == grams[anchors[:-1]]) & (np.diff(anchors) <= reach)
         pairs = np.concatenate([[0], np.cumsum(near)])
         low, high = np.searchsorted(anchors[:-1], first), np.searchsorted(anchors[:-1], first + count + reach)
@@ -278,11 +289,13 @@ def _cells(rows: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, strings = _Sorter(length + CELL - 1, length), _Sorter(length, length)
         for batch in batches:
-            for doc, blocks, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            blocks, offsets = batch.column(1).values, batch.column(1).offsets.to_pylist()
+            begins, shapes, alone = (blocks.field(f).to_numpy(zero_copy_only=False).tolist() for f in range(3))
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 raw, own = zstandard.ZstdDecompressor().decompress(text), set()
-                for b in blocks:
-                    begin, last = b["start"], b["start"] + (b["shape"] & 255) - 1
-                    if b["alone"]:
+                for b in range(offsets[row], offsets[row + 1]):
+                    begin, last = begins[b], begins[b] + (shapes[b] & 255) - 1
+                    if alone[b]:
                         for s in range(begin, last + 1):
                             string = raw[s:s + length]
                             if string in own:  # blocks come in order, so the one met before starts earlier
@@ -291,7 +304,7 @@ def _cells(rows: DataFrame, length: int) -> DataFrame:
                                 own.add(string)
                                 strings.add(doc, s, 0, 1, string)
                         continue
-                    gram = begin + (b["shape"] >> 8 & 255)
+                    gram = begin + (shapes[b] >> 8 & 255)
                     for cell in range((gram - last) // CELL, (gram - begin) // CELL + 1):
                         core = gram - cell * CELL           # the last start of the cell, and the core's first byte
                         first = max(begin, core - CELL + 1)
@@ -323,58 +336,67 @@ class _Sorter:
         self._empty()
 
     def _empty(self) -> None:
-        self.pieces, self.rows, self.alone, self.repeats = [], [], [], []
+        self.pieces, self.rows, self.alone, self.places, self.repeats = [], [], [], [], []
 
     def repeat(self, doc: int, start: int, n: int) -> None:
         """Told in ascending order within a document: neighbours become one run."""
-        if self.repeats and self.repeats[-1][0] == doc and self.repeats[-1][1] + self.repeats[-1][2] == start:
-            self.repeats[-1] = (doc, self.repeats[-1][1], self.repeats[-1][2] + n)
-        else:
-            self.repeats.append((doc, start, n))
+        if self.repeats and self.repeats[-1][0] == doc and self.repeats[-1][1] + self.repeats[-1][3] == start:
+            n += self.repeats[-1][3]
+            start = self.repeats.pop()[1]
+        self.repeats.append((doc, start, 0, n))
 
     def add(self, doc: int, start: int, low: int, n: int, piece: bytes) -> None:
         self.pieces.append(piece)
         self.rows.append((doc, start, low, n))
 
     def lone(self, doc: int, start: int, low: int, n: int, piece: bytes) -> None:
-        self.alone.append((doc, start, low, n, piece))
+        self.alone.append(piece)
+        self.places.append((doc, start, low, n))
 
     def flush(self, kind: int, most: int) -> Iterator[pa.RecordBatch]:
         held = (len(self.pieces) + len(self.alone) + len(self.repeats)) * self.size
         if not held or held <= most:
             return
-        out: list[tuple] = []
+        repeats = np.array(self.repeats, np.int64).reshape(-1, 4)
         if self.pieces:
             data = np.frombuffer(b"".join(self.pieces), np.uint8)
             h = PrefixHash(data)
             order = suffix_order(data, h, np.arange(len(self.pieces)) * self.size, self.size)
             run = equal_runs(data, h, order, self.size)
-            row = order // self.size
-            place = np.array([(d, s) for d, s, _, _ in self.rows], np.int64)
-            row = row[np.lexsort((place[row, 1], place[row, 0], run))]
+            row, rows = order // self.size, np.array(self.rows, np.int64)
+            row = row[np.lexsort((rows[row, 1], rows[row, 0], run))]
             lead = np.concatenate([[True], run[1:] != run[:-1]])
-            for r in row[lead].tolist():
-                out.append(self._row(*self.rows[r], self.pieces[r], kind))
+            first = row[lead]
+            yield from self._told(data.reshape(-1, self.size)[first], rows[first], kind)
             # a repeated row brings its document's pieces again: the first piece of a run is no repeat of itself
-            later = (place[row] != place[row[lead][run]]).any(1)
-            for doc, start, _, n in sorted(self.rows[r] for r in row[later].tolist()):
-                self.repeat(doc, start, n)
-        out += [(None, None, None, None, doc, start, 0, n, REPEAT) for doc, start, n in self.repeats]
-        out += [self._row(*x, kind) for x in self.alone]
+            later = (rows[row, :2] != rows[first[run], :2]).any(1)
+            repeats = np.concatenate([repeats, rows[row[later]]])
+        if self.alone:
+            yield from self._told(np.frombuffer(b"".join(self.alone), np.uint8).reshape(-1, self.size), np.array(self.places, np.int64), kind)
         self._empty()
-        types = [pa.int64()] * 6 + [pa.int32()] * 3
-        for at in range(0, len(out), 50_000):
-            columns = zip(*out[at:at + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             names=[f.split()[0] for f in CELL_FIELDS.split(", ")])
+        if len(repeats):  # neighbours become one run
+            doc, start, _, n = repeats[np.lexsort((repeats[:, 1], repeats[:, 0]))].T
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
+            none = pa.nulls(len(new), pa.int64())
+            yield from _cell_rows([none, none, none, none, doc[new], start[new], np.zeros(len(new)), np.add.reduceat(n, new)], REPEAT)
 
-    def _row(self, doc: int, start: int, low: int, n: int, piece: bytes, kind: int) -> tuple:
+    def _told(self, pieces: np.ndarray, rows: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         side = self.size - self.length  # bytes beside the core, left and right
-        core = xxhash.xxh3_128_digest(piece[side:self.size - side])
-        left = int.from_bytes(piece[:side], "big")
-        right = int.from_bytes(piece[self.size - side:], "big")
-        return (int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), left, right,
-                doc, start, low, n, kind)
+        core, step = pieces[:, side:self.size - side].tobytes(), self.size - 2 * side
+        keys = b"".join([xxhash.xxh3_128_digest(core[k:k + step]) for k in range(0, len(core), step)])
+        left, right = np.zeros((2, len(pieces)), np.int64)
+        for k in range(side):
+            left, right = left << 8 | pieces[:, k], right << 8 | pieces[:, self.size - side + k]
+        yield from _cell_rows([*np.frombuffer(keys, "<i8").reshape(-1, 2).T, left, right, *rows.T], kind)
+
+
+def _cell_rows(columns: list, kind: int) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64()] * 6 + [pa.int32()] * 3
+    columns = [c if isinstance(c, pa.Array) else pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types)]
+    columns.append(pa.array(np.full(len(columns[0]), kind, np.int32)))
+    batch = pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in CELL_FIELDS.split(", ")])
+    for at in range(0, len(batch), 50_000):
+        yield batch.slice(at, 50_000)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -121,3 +121,29 @@ def test_powers_are_made_once_and_hashes_and_minima_stay():
     assert np.array_equal(h.all(32), h.of(np.arange(len(b) - 31), 32))
     for w in (1, 2, 3, 69, 70, 128, 900):
         assert _sliding_min(b, w).tolist() == [b[k:k + w].min() for k in range(len(b) - w + 1)]
+
+
+def test_the_sort_compares_only_suffixes_with_equal_first_bytes(monkeypatch):
+    from febrile.llm import suffix_dedup as S
+    asked, real = [], S.common_extension
+    monkeypatch.setattr(S, "common_extension", lambda h, a, b, most: asked.append((a, b)) or real(h, a, b, most))
+    rnd = np.random.default_rng(8)
+    data = rnd.integers(97, 123, 4_000).astype(np.uint8)
+    data = np.concatenate([data, data[:300], data[:300], np.full(200, 97, np.uint8)])
+    raw, starts = data.tobytes(), rnd.permutation(len(data) - 60)
+    order = suffix_order(data, PrefixHash(data), starts, 60)
+    assert order.tolist() == sorted(range(len(data) - 60), key=lambda s: (raw[s:s + 60], s))
+    a, b = (np.concatenate(x) for x in zip(*asked))
+    assert all(raw[x:x + 8] == raw[y:y + 8] for x, y in zip(a.tolist(), b.tolist()))
+    # some 1,000 of 4,740 suffixes share their first bytes, nearly all with two others: two levels of few steps, not thirteen of many
+    assert len(asked) < 60
+    assert suffix_order(data, PrefixHash(data), np.zeros(0, np.int64), 60).tolist() == []
+
+
+def test_the_search_goes_through_long_data_in_small_pieces(monkeypatch):
+    from febrile.llm import suffix_dedup as S
+    sizes, real = [], S.PrefixHash
+    monkeypatch.setattr(S, "PrefixHash", lambda data: sizes.append(len(data)) or real(data))
+    data = np.random.default_rng(9).integers(0, 256, 300_000).astype(np.uint8)
+    gram, start, n, _, _ = blocks_of(data, ends=np.array([100_000, 300_000]))
+    assert max(sizes) <= 1 << 17 and sum(n) == 100_000 - 99 + 200_000 - 99 and len(gram) == len(start)
