@@ -10,7 +10,7 @@ import llm_cases as cases
 from conftest import SF_SMALL
 from febrile.llm.queries import oracle_sql, queries
 
-TABLES = "documents benchmark labels pages".split()
+TABLES = "documents benchmark labels pages embeddings".split()
 ORACLE = oracle_sql()
 
 
