@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, text_or_empty, written
+from febrile.llm.common import read_table, text_or_empty, tidy, written
 
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast block may hold.
@@ -63,7 +63,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
                 seen.update(known.intersection(words_of(text)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counts = docs.select(text_or_empty().alias("t")).mapInArrow(count, "word binary, n long")
+    counts = docs.select(text_or_empty().alias("t")).mapInArrow(tidy(count), "word binary, n long")
     rows = counts.groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per vocabulary word at most
     return {bytes(r["word"]): r["n"] for r in rows}
 

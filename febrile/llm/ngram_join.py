@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import WordHash, mix64, read_table, text_or_empty, written
+from febrile.llm.common import WordHash, mix64, read_table, text_or_empty, tidy, written
 from febrile.llm.components import bucket_components, components
 from febrile.llm.hilbert_shards import ranked
 
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
                  pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "d1", "d2", "bands"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"), F.xxhash64(text_or_empty()).alias("h"))
-    return rows_in.mapInArrow(sign, "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
+    return rows_in.mapInArrow(tidy(sign), "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _verify(group: pd.DataFrame, threshold_pct: int, two: bool) -> pd.DataFrame:
@@ -224,7 +224,7 @@ def ngram_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFram
         of_text = signed.groupBy(F.col("doc_id").alias("rep"), "d1", "d2").agg(F.min("h").alias("h"))
         members, texts, on = members.join(of_text, ["rep", "d1", "d2"]), texts.withColumn("h", F.xxhash64("t")), ["rep", "h"]
     held = members.select(*names, *on).join(texts, on).select(*names, "t").mapInArrow(
-        with_sets, "key long, part long, d1 long, n long, copies long, blocks int, block int, shingles binary")
+        tidy(with_sets), "key long, part long, d1 long, n long, copies long, blocks int, block int, shingles binary")
     work = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("key", "part", "n", "copies", "block", "shingles",
                        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, shuffle_width, text_or_empty, text_slices, written
+from febrile.llm.common import read_table, shuffle_width, text_or_empty, text_slices, tidy, written
 from febrile.session import scratch_path
 
 END_ID = 1
@@ -58,7 +58,7 @@ FRAME_IDS, LONGEST_FRAME_IDS = 1 << 16, 1 << 20
 #: How the names of unfinished files begin.
 TRIAL = "_trial-"
 #: Characters that are encoded at a time, about.
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 500_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -79,7 +79,7 @@ class Encoder:
     """
 
     #: Bytes of remembered words and ids, about, and what one word takes beside its characters.
-    LIMIT, PER_WORD = 128 << 20, 150
+    LIMIT, PER_WORD = 48 << 20, 150
     #: Texts that the library is given at a time; it answers with an object of about a kilobyte for each.
     AT_A_TIME = 2_000
     #: Plain words that the library is given as one text.
@@ -371,7 +371,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
     rows = rows.repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"), "t")
-    files = written(rows.mapInArrow(write, "part int, path string, n_docs long, n_ids long, n_bytes long"), "token-files")
+    files = written(rows.mapInArrow(tidy(write), "part int, path string, n_docs long, n_ids long, n_bytes long"), "token-files")
     for left in fs.get_file_info(pafs.FileSelector(path)):  # by attempts that failed or lost their executor
         if left.base_name.startswith(TRIAL):
             fs.delete_file(left.path)

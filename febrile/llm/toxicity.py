@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from febrile.llm.common import read_table, text_or_empty, text_slices, written
+from febrile.llm.common import free_memory, read_table, text_or_empty, text_slices, tidy, written
 
 #: Bytes of texts that a task turns into Python strings at a time.
 SLICE = 200_000
@@ -171,7 +171,7 @@ def _toxic_entries(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                     "entry": pa.array([e for e, _, _ in found], pa.string()), "word": pa.array([w for _, w, _ in found], pa.string()),
                     "spot": pa.array([s for _, _, s in found], pa.int64())})
 
-    once = rows.select("t").mapInArrow(spots, "entry string, word string, spot long").groupBy("entry", "spot").agg(F.min("word").alias("word"))
+    once = rows.select("t").mapInArrow(tidy(spots), "entry string, word string, spot long").groupBy("entry", "spot").agg(F.min("word").alias("word"))
     return once.groupBy("entry").agg(F.count("*").alias("k1"), (F.min("word") < F.max("word")).alias("words"))
 
 
@@ -188,7 +188,7 @@ def _clean_entries(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                         seen.clear()
         yield _counted(seen)
 
-    return rows.select("t").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("k0"))
+    return rows.select("t").mapInArrow(tidy(count), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("k0"))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def _exceptions(rows: DataFrame, model: ToxicityModel, params: ToxicityParams) -
                 "phrase": pa.array([p for p, _ in seen], pa.string()), "y": pa.array([y for _, y in seen], pa.int32()),
                 "n": pa.array(list(seen.values()), pa.int64())})
 
-    counts = rows.mapInArrow(phrases, "phrase string, y int, n long").groupBy("phrase").agg(
+    counts = rows.mapInArrow(tidy(phrases), "phrase string, y int, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"),
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     kept = counts.filter((F.col("clean") >= params.exception_documents) & (F.col("clean") > F.col("toxic")))
@@ -304,6 +304,7 @@ def measurer(spread):
         matcher, table = automaton(spread.value), FoldTable()
         for series in texts:
             yield pd.DataFrame([measures(t, matcher, table) for t in series], columns=["total", "density", "words"])
+        free_memory()
 
     return F.pandas_udf(measure, "total double, density double, words long")
 

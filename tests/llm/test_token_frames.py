@@ -173,3 +173,14 @@ def test_the_library_is_given_each_plain_word_once():
         assert ids.tolist() == [i for t in texts for i in encoded(t)] and len(counts) == len(texts)
     # the words as one text, then the signs
     assert len(given.texts) == 2 and sorted(given.texts[0][0].split()) == sorted(stems) and sorted(given.texts[1]) == sorted([",", ".", '."'])
+
+
+def test_remembered_words_stay_small():
+    # a worker keeps its words beside the heap of its executor, with the other workers
+    encoder, most = Encoder(tokenizer_file()), 56 << 20
+    texts = [" ".join("".join(chr(97 + (k * 7919 + j) // 26 ** i % 26) for i in range(6)) for j in range(40_000)) for k in range(0, 120_000, 10_000)]
+    first = encoder.encode(texts[:1])[0]
+    for text in texts[1:]:
+        encoder.encode([text])
+        assert encoder.held < most
+    assert (encoder.encode(texts[:1])[0] == first).all()
