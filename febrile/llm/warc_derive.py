@@ -44,13 +44,21 @@ HIDDEN = ("script", "style", "template", "noscript", "svg", "math", "iframe", "o
 BREAKING = frozenset(
     "address article aside blockquote br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hr li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Tags without attributes that neither hide, link nor name the page -> what they leave in the text.
+PLAIN = {f"{sign}{spelled}": "\n" if name in BREAKING else "" for name in (BREAKING - {"title"}) | frozenset(
+    "a abbr b body center cite code del em font head html i ins kbd mark q s samp small span strong sub sup tbody tfoot thead u var".split())
+    for spelled in (name, name.upper()) for sign in ("", "/")}
+PLAIN_MOST = max(map(len, PLAIN)) + 2
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag to its ">", every quoted value in it closed; group 1 ends with the name.
+TAG = re.compile(r"""<(/?([a-zA-Z][a-zA-Z0-9:-]*+))[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+#: A path from the root that joins to any base as it stands: no empty, "." or ".." segment, no query, no fragment.
+ROOTED = re.compile(r"(?:/[\w%~-][\w%~.-]*+)++/?")
 HREF = re.compile(r"""[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN_END = {name: re.compile(rf"</{name}(?![a-z0-9:-])", re.I) for name in HIDDEN}
 META_CHARSET = re.compile(rb"<meta[^<>]*?charset\s*=\s*[\"']?\s*([a-zA-Z0-9_.:-]+)", re.I)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([a-zA-Z0-9_.:-]+)", re.I)
-BLANKS = re.compile(r"[^\S\n]+")
-LINES = re.compile(r" ?\n[\s]*")
+BREAKS = re.compile(r"[\r\n]+")
 RESULT = [
     ("kind", "string"), ("record_id", "string"), ("refers_to", "string"), ("target_uri", "string"), ("warc_date", "string"),
     ("source_digest", "string"), ("digest_ok", "boolean"), ("block_digest", "string"), ("content_length", "long"),
@@ -87,6 +95,7 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
     title: list[str] | None = None
     titles: list[str] = []
     unclosed: set[str] = set()
+    root: str | None = None
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -98,12 +107,21 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
                 title.append(page[at:lt])
         if lt == n:
             break
+        gt = page.find(">", lt, lt + PLAIN_MOST)
+        if gt > 0 and (left := PLAIN.get(page[lt + 1:gt])) is not None:
+            if left:
+                parts.append(left)
+            at = gt + 1
+            continue
         if page.startswith("<!--", lt):
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
-        m = NAME.match(page, lt + 1)
-        if not m:
+        if m := TAG.match(page, lt):
+            name, named, end = m.group(2).lower(), m.end(1), m.end()
+        elif m := NAME.match(page, lt + 1):
+            name, named, end = m.group(1).lower(), m.end(), _tag_end(page, m.end())
+        else:
             if page[lt + 1:lt + 2] in ("!", "?", "/"):  # doctype and the like
                 end = page.find(">", lt)
                 at = n if end < 0 else end + 1
@@ -111,8 +129,7 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
                 parts.append("<")
                 at = lt + 1
             continue
-        end = _tag_end(page, m.end())
-        name, closing = m.group(1).lower(), page[lt + 1] == "/"
+        closing = page[lt + 1] == "/"
         at = end
         if name in HIDDEN and not closing and name not in unclosed and not page.endswith("/>", lt, end):
             if close := HIDDEN_END[name].search(page, end):
@@ -122,11 +139,16 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
             else:
                 unclosed.add(name)
             continue
-        if name == "a" and not closing and (found := HREF.search(page, m.end(), end)):
-            link = html.unescape(next(g for g in found.groups() if g is not None)).strip()
+        if name == "a" and not closing and (found := HREF.search(page, named, end)):
+            link = html.unescape(found.group(found.lastindex)).strip()
             if link and not link.startswith(("#", "javascript:", "mailto:", "data:")):
                 try:
-                    links.setdefault(urljoin(base, link), None)
+                    if ROOTED.fullmatch(link):
+                        if root is None:
+                            root = urljoin(base, "/")[:-1]
+                        links.setdefault(root + link, None)
+                    else:
+                        links.setdefault(urljoin(base, link), None)
                 except ValueError:  # not a readable address
                     links.setdefault(link, None)
         if name == "title":
@@ -136,9 +158,9 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
                 title = []
         if name in BREAKING:
             parts.append("\n")
-    text = html.unescape("".join(parts)).replace("\r", "\n")
-    text = LINES.sub("\n", BLANKS.sub(" ", text)).strip()
-    return text, BLANKS.sub(" ", html.unescape("".join(titles)).replace("\n", " ")).strip(), list(links)
+    lines = html.unescape("".join(parts)).replace("\r", "\n").split("\n")
+    text = "\n".join(filter(None, [" ".join(x.split()) for x in lines if x]))
+    return text, " ".join(html.unescape("".join(titles)).split()), list(links)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -225,8 +247,9 @@ def digest_matches(label: str | None, *data: bytes) -> bool | None:
     function = function.strip().lower().replace("-", "")
     if function not in ("md5", "sha1", "sha256", "sha512") or not value:
         return None
-    made = [hashlib.new(function, d) for d in data]
-    return value.strip().lower() in {x for m in made for x in (m.hexdigest(), base64.b32encode(m.digest()).decode().lower())}
+    value = value.strip().lower()
+    made = (hashlib.new(function, d) for d in data)
+    return any(value == m.hexdigest() or value == base64.b32encode(m.digest()).decode().lower() for m in made)
 
 
 def derive_record(raw: bytes | None) -> list[tuple]:
@@ -253,13 +276,13 @@ def derive_record(raw: bytes | None) -> list[tuple]:
     source, target, date = own["warc-record-id"], own.get("warc-target-uri"), own.get("warc-date")
     digest = own.get("warc-payload-digest")
     joined, body, why = _body(payload, http)
-    ok = digest_matches(digest, payload, joined)
+    ok = digest_matches(digest, payload) if joined is payload else digest_matches(digest, payload, joined)
     block_ok = digest_matches(own.get("warc-block-digest"), block)
     page, charset = _decoded(body, http)
     text, title, links = read_page(page, target or "")
     lines = [("refers-to-type", "response"), *[(f"source-{k.lower()}", v) for k, v in fields], ("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in http],
              ("charset", charset), ("title", title), *[("outlink", x) for x in links]]
-    clean = lambda v: re.sub(r"[\r\n]+", " ", v)
+    clean = lambda v: BREAKS.sub(" ", v) if "\n" in v or "\r" in v else v
     blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {clean(v)}\r\n" for k, v in lines).encode("utf-8", "replace")),
               ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     out = []

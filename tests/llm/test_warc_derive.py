@@ -2,9 +2,11 @@ import base64
 import gzip
 import hashlib
 import zlib
+from urllib.parse import urljoin
 
 import llm_cases as cases  # noqa: F401  (the folder's shared path)
-from febrile.llm.warc_derive import as_responses, derive, derive_record, read_page, record_bytes, sha1_label
+from febrile.llm import warc_derive
+from febrile.llm.warc_derive import _tag_end as tag_end, as_responses, derive, derive_record, read_page, record_bytes, sha1_label
 
 PAGES = "page_id long, url string, html string, record_id string, kind string"
 
@@ -128,3 +130,28 @@ def test_charset_far_into_the_page():
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + far
     _, text = derive_record(record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>")], http))
     assert fields(text[-1])[1].decode() == "é"
+
+
+def test_plain_tags_and_rooted_links_cost_little(monkeypatch):
+    joins, ends = [], []
+    monkeypatch.setattr(warc_derive, "urljoin", lambda *a: joins.append(a) or urljoin(*a))
+    monkeypatch.setattr(warc_derive, "_tag_end", lambda page, at: ends.append(at) or tag_end(page, at))
+    page = "".join(f"<p class='a > b'><b>w{k}</b><A HREF=\"/é/x-{k}.html\">l</A><BR>" for k in range(50))
+    text, _, links = read_page(page, "http://h.example/d/e?q")
+    assert text == "\n".join(f"w{k}l" for k in range(50)) and links == [f"http://h.example/é/x-{k}.html" for k in range(50)]
+    assert len(joins) == 1 and not ends
+    assert read_page("<p title='open>x", "")[0] == "x" and ends
+
+
+def test_links_join_like_the_library():
+    links = ("/", "/x", "/x/", "/x//y", "//o/x", "/./x", "/x/..", "/.x", "/x.y/~z", "/x;p", "/x?q", "/x#f", "/%20", "/a:b", "/é", "/x y", "/a\tb", "x", "?q")
+    for base in ("", "http://h/d/e", "http://h", "//h/x", "/p/q", "file:///a/b", "mailto:x@y", "http:/x", "svn+ssh://h/x", "HTTP://u:p@H:1/x;t?q#f"):
+        for link in links:
+            assert read_page(f'<a href="{link}">', base)[2] == [urljoin(base, link)], (base, link)
+    assert read_page("<a href='/x'><a href='/y'>", "http://[bad")[2] == ["/x", "/y"]
+
+
+def test_blanks_and_lines_of_the_text():
+    for gap, want in ((" \t 　", "a b"), (" \n\x1c\n ", "a\nb"), ("\r", "a\nb"), ("<br><BR/> <p>", "a\nb"), ("&#13;&#10;", "a\nb"), ("\x85 ", "a b"), ("​", "a​b")):
+        assert read_page(f" \n<title>{gap}a{gap}b{gap}</title>", "")[0].strip("​") == want, gap
+    assert read_page("<title> a\r\n\t&nbsp;b </title>", "")[1] == "a b"
