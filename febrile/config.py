@@ -92,8 +92,8 @@ class JobConfig:
     test_size: float = 0.2
     random_state: int = 42
     threshold: float = STAGE1_THRESHOLD
-    # training rows that fit the models, at most about: a hash sample, weighted; small classes keep this many rows.
-    # Bounds the trees that the driver assembles; splits, statistics, evaluation and scoring cover all rows
+    # training rows that fit the outbreak model and the forest, at most about: a hash sample, weighted; small classes keep this
+    # many rows.  Bounds the trees that the driver assembles; boosted trees, splits, statistics, evaluation and scoring cover all rows
     max_fit_rows: int = 1_000_000
     min_fit_rows_per_class: int = 10_000
     # models

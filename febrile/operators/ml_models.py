@@ -32,8 +32,9 @@ PROBS = "class_probs"
 INTERCEPT = "(intercept)"
 #: A gradient counts as zero up to this share of the largest that it could be.
 GRADIENT_SHARE = 1e-6
-#: Rows of a task of the boosted trees' jobs, at most about: thousands of short jobs, whose time is that of their tasks' starts.
-BOOST_ROWS_PER_TASK = 20_000
+#: Rows of a task of the boosted trees' jobs, at most about, up to ``BOOST_TASKS`` tasks: thousands of short jobs, whose time is that of their
+#: tasks' starts.  Beyond, tasks take more rows each, up to ``BOOST_MOST_ROWS_PER_TASK``, and only then become more.
+BOOST_ROWS_PER_TASK, BOOST_TASKS, BOOST_MOST_ROWS_PER_TASK = 20_000, 64, 200_000
 
 
 @dataclass
@@ -121,16 +122,16 @@ def _label_indexer(train: DataFrame, label: str):
     return StringIndexer(inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc").fit(train)
 
 
-def _type_data(train: DataFrame, num_cols, cat_cols, cfg: JobConfig):
-    """Preparation and class order from all training rows; features, label and weight of ``fit_sample``."""
+def _type_data(train: DataFrame, rows: DataFrame, num_cols, cat_cols, cfg: JobConfig):
+    """Preparation and class order from all training rows; features, label and weight of ``rows``."""
     prep = fit_preprocessor(train, num_cols, cat_cols)
     idx = _label_indexer(train, cfg.label_type)
-    data = idx.transform(prep.transform(fit_sample(train, cfg.label_type, cfg)))
+    data = idx.transform(prep.transform(rows))
     return prep, idx, data.select(FEATURES, LABEL, WEIGHT)
 
 
 def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
-    prep, idx, data = _type_data(train, num_cols, cat_cols, cfg)
+    prep, idx, data = _type_data(train, fit_sample(train, cfg.label_type, cfg), num_cols, cat_cols, cfg)
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=cfg.rf_num_trees,
                                 maxDepth=cfg.rf_max_depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt",
                                 impurity="gini", bootstrap=True, maxBins=128, seed=cfg.random_state,
@@ -140,19 +141,25 @@ def train_type_forest(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> T
     return TypeModel(PipelineModel(stages=[*prep.stages, rf_model]), list(idx.labels), "RandomForest")
 
 
+def _boost_tasks(rows: int) -> int:
+    return max(1, min(-(-rows // BOOST_ROWS_PER_TASK), BOOST_TASKS), -(-rows // BOOST_MOST_ROWS_PER_TASK))
+
+
 def train_type_boosted(train: DataFrame, num_cols, cat_cols, cfg: JobConfig) -> TypeModel:
-    """One boosted-tree model per class (one-vs-rest); probabilities normalised.
+    """One boosted-tree model per class (one-vs-rest), each fitted on all training rows; probabilities normalised.
 
+    The trees are bounded by their depth, not by the rows, so the rows have no limit.
+    Each tree bags ``gbt_subsample`` of them, which is part of the method; Spark
+    itself finds the cuts that trees may take from about 10,000 of them.
     Every level of every tree is a job over the rows of the fit.  They are dealt
     by their own number, not by the partitions of the table that they come from,
     and checkpointed, so that a job's tasks neither grow with that table nor
     carry its lineage.
     """
-    prep, idx, data = _type_data(train, num_cols, cat_cols, cfg)
+    prep, idx, data = _type_data(train, train.withColumn(WEIGHT, F.lit(1.0)), num_cols, cat_cols, cfg)
     ensure_checkpoint_dir(train.sparkSession)
     found = data.cache()
-    tasks = max(1, -(-found.count() // BOOST_ROWS_PER_TASK))
-    data = found.repartition(tasks).checkpoint(eager=True).cache()
+    data = found.repartition(_boost_tasks(found.count())).checkpoint(eager=True).cache()
     found.unpersist()
 
     def fit_class(k: int):

@@ -128,3 +128,21 @@ def test_boosted_fit_is_dealt_by_its_rows(spark, monkeypatch):
                                   "row_seq long, num double, cat string, fever_type string").repartition(16)
     model = M.train_type_boosted(train, ["num"], ["cat"], JobConfig(gbt_rounds=2))
     assert model.classes == ["x", "y"] and seen == [1, 1]
+
+
+def test_boosted_trees_are_fitted_on_all_rows(spark, monkeypatch):
+    """Whatever ``max_fit_rows`` says: every class sees every row once, unweighted, and the trees are those without a limit."""
+    seen, fit = [], M.GBTClassifier.fit
+    totals = lambda df: df.agg(F.count("*"), F.sum(M.WEIGHT), F.count_distinct(M.FEATURES)).first()
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: seen.append(tuple(totals(df))) or fit(self, df))
+    train = spark.createDataFrame([(i, float(i), "ab"[i % 2], "xyz"[i % 5 % 3]) for i in range(600)],
+                                  "row_seq long, num double, cat string, fever_type string")
+    trees = lambda **k: [s.toDebugString.partition("\n")[2] for s in M.train_type_boosted(train, ["num"], ["cat"], JobConfig(
+        gbt_rounds=2, gbt_subsample=1.0, **k)).model.stages[-3:]]
+    assert trees(max_fit_rows=60, min_fit_rows_per_class=10) == trees()
+    assert seen == [(600, 600.0, 600)] * 6
+
+
+def test_boosted_tasks_grow_slower_than_the_rows():
+    assert [M._boost_tasks(n) for n in (0, 1, 20_000, 20_001, 1_000_000)] == [1, 1, 1, 2, 50]
+    assert [M._boost_tasks(n) for n in (1_280_001, 12_800_000, 12_800_001, 1_000_000_000)] == [64, 64, 65, 5_000]
